@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ._tables import arrow_rows
 
@@ -247,7 +248,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     arrow_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Codec.load(model))
     keep = [c for c in docs.columns if c not in ("token_ids", "decoded")]
-    schema = docs.select(*keep).schema.add("token_ids", "array<int>").add("decoded", "string")
+    schema = docs.select(*keep).schema.add("token_ids", ArrayType(IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
