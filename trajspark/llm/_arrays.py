@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -40,10 +40,10 @@ from ._tables import arrow_rows, cut
 U = np.uint64
 SPAN, GRAM = 200, 64
 REACH = SPAN - GRAM + 1  # grams in a window; an anchor lies at 0..REACH-1 in it
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Open neighbourhoods of one gram up to which one task sorts them.
 HOT = 20_000
-CHUNK = 16_384
+CHUNK = 8_192
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
