@@ -80,8 +80,11 @@ def _shares(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, dict[str, np
     of_words = lambda mask: np.bincount(w["row"][mask], minlength=n) / np.maximum(1, words)
     last, lead = kind[w["end"] - 1] if len(words) else kind, kind[w["start"]]
     lone = (w["end"] - w["start"] == 1) & (last >= 4)
-    key = np.unique(np.stack([w["row"].astype(U), w["h"]]), axis=1)[0] if len(w["h"]) else np.zeros(0, U)
-    distinct = np.bincount(key.astype(np.int64), minlength=n)
+    order = np.lexsort((w["h"], w["row"]))
+    row, h = w["row"][order], w["h"][order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    distinct = np.bincount(row[new], minlength=n)
     def bytes_in(marks: list[int]) -> np.ndarray:
         sums = np.concatenate(([0], np.cumsum(np.isin(buf, marks))))
         return sums[offs[1:]] - sums[offs[:-1]]
@@ -173,9 +176,9 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, feature = features(buf, offs)
             for k in range(len(offs) - 1):
                 f, c = np.unique(feature[row == k], return_counts=True)
-                cols[0].append(f)
-                cols[1].append(c / max(1, c.sum() / 2))
-        yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.int64()), pa.array(cols[0], pa.list_(pa.int64())), pa.array(cols[1], pa.list_(pa.float64()))], ["pattern", "feature", "value"])
+                cols[0].append(f.astype("<i4").tobytes())
+                cols[1].append((c / max(1, c.sum() / 2)).astype("<f8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["pattern", "feature", "value"])
 
 
 def train(docs: DataFrame) -> tuple[dict[int, float], np.ndarray, float]:
@@ -192,9 +195,9 @@ def train(docs: DataFrame) -> tuple[dict[int, float], np.ndarray, float]:
         share = min(1.0, 1.2 * SAMPLE / total)
         text = text.where(order < int(-(2**63) + share * (2**64 - 1)))
     chosen = text.orderBy(order, "doc_id", F.xxhash64("text")).limit(SAMPLE)
-    rows = chosen.mapInArrow(_featurise, "pattern long, feature array<long>, value array<double>").collect()
+    rows = chosen.mapInArrow(_featurise, "pattern long, feature binary, value binary").collect()
     rows.sort(key=lambda r: (r.pattern, r.feature, r.value))
-    weights, bias = fit([(np.array(r.feature, np.int64), np.array(r.value)) for r in rows], np.array([posterior[r.pattern] for r in rows]), prior)
+    weights, bias = fit([(np.frombuffer(r.feature, "<i4"), np.frombuffer(r.value, "<f8")) for r in rows], np.array([posterior[r.pattern] for r in rows]), prior)
     return posterior, weights, bias
 
 
