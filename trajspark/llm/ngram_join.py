@@ -9,14 +9,16 @@ Two sets link when `den * intersection >= num * union`.  Steps:
    in both; sets meet at the hash of an equal segment.  Common shingles are left out
    where enough others remain (leaving out the same ones on both sides can only lower
    the difference), so that frequent passages bring no strangers together.
-3. Sets that met, directly or through others, form a candidate cluster.  Clusters are
-   cut by size band and by blocks of bounded size into tiles; in a tile, bit counts of
-   hashed bitmaps bound each overlap from above and sorted arrays settle the rest.
-   Pairs that the tile has already connected are skipped.
+3. Pairs that met are sifted by the bit counts of hashed bitmaps, which bound the overlap
+   from above (at keys where very many met, each is tied to one of them instead, unsifted).
+   Sets that stay tied, directly or through others, form a cluster.  Clusters are cut by
+   size band and by blocks of bounded size into tiles; in a tile, bit counts bound each
+   overlap again and sorted arrays settle the rest.  Pairs that the tile has already
+   connected are skipped.
 4. Components of the links.
 
-Skew: equal sets collapse first; a key that meets often inside one task leaves that task
-as one row and pairs of its own; hot clusters are dealt over many tiles.
+Skew: equal sets collapse first; a key where many meet inside one task leaves that task
+as one row and ties of its own; hot clusters are dealt over many tiles.
 
 Nulls and empty texts have no shingles and link with nothing; a text of fewer than n
 words is one shingle; repeated doc_ids count as one node's rows and are returned as
@@ -31,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _arrays as A
@@ -43,9 +45,11 @@ PLACE = A.mix(np.arange(101, 165, dtype=np.uint64) * A.GOLD) | U(1)
 #: (mean set size / COMMON) entries, whatever the number of rows.
 COMMON = 0.0005
 #: A tile's side holds about so many sets and shingles at most (one set may be larger).
-BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
+#: Sets at one key up to which every pair is looked at; of more, each is tied to one of them.
+FEW = 48
 #: Cluster members up to which their ids are broadcast; beyond, texts are joined by shuffle.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 200_000
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n_words: int) -> list[np.ndarray]:
@@ -142,25 +146,54 @@ def meeting_keys(s: np.ndarray, common: np.ndarray, num: int, den: int, ratio: f
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """A hashed bitmap of 2 to 4 bits for each shingle; folding its halves gives the one of half as many bits."""
+    bits = 64 << max(0, (2 * len(s) - 1).bit_length() - 6)
+    out = np.zeros(bits, bool)
+    out[(s & U(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out).view(U)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n: int, m: int, num: int, den: int) -> bool:
+    """Whether the bit counts of two signatures leave room for enough overlap of sets of n and m."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    most = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return den * most >= num * (n + m - most)
+
+
+def _sift(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, n, m, a, b = (batch.column(c).to_pylist() for c in ("u", "v", "n", "m", "a", "b"))
+            keep = [den * min(n[i], m[i]) >= num * max(n[i], m[i]) and may_link(np.frombuffer(a[i], U), np.frombuffer(b[i], U), n[i], m[i], num, den) for i in range(len(u))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).filter(pa.array(keep, pa.bool_())) for c in (u, v)], ["u", "v"])
+
+    return run
+
+
 def _survey(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: dict[str, list] = {"doc_id": [], "n": [], "k1": [], "k2": []}
-            seen = []
+            seen, signs = [], []
             for ids, sets in _sets(batch, n_words):
                 cols["doc_id"] += ids
                 cols["n"] += [len(s) for s in sets]
                 m = [A.mix(s ^ PLACE[3]) for s in sets]
                 cols["k1"].append(np.array([x.sum(dtype=U) + U(len(x)) for x in m], U))
                 cols["k2"].append(np.array([A.mix(x ^ PLACE[4]).sum(dtype=U) for x in m], U))
+                signs += [signature(x).tobytes() for x in sets]
                 seen += sets
             n = len(cols["doc_id"])
-            yield pa.RecordBatch.from_arrays([pa.array(cols["doc_id"], pa.int64()), pa.array(cols["n"], pa.int64()), *(pa.array(A.signed(A.mix(np.concatenate(cols[k]))) if n else [], pa.int64()) for k in ("k1", "k2")), pa.nulls(n, pa.int64())], ["doc_id", "n", "k1", "k2", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols["doc_id"], pa.int64()), pa.array(cols["n"], pa.int64()), *(pa.array(A.signed(A.mix(np.concatenate(cols[k]))) if n else [], pa.int64()) for k in ("k1", "k2")), pa.nulls(n, pa.int64()), pa.array(signs, pa.binary())], ["doc_id", "n", "k1", "k2", "times", "signature"])
             value, times = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, U), np.zeros(0, int))
             value, times = value[times > 2], times[times > 2]
             if len(value):
                 none = pa.nulls(len(value), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(A.signed(value)), none, pa.array(times, pa.int64())], ["doc_id", "n", "k1", "k2", "times"])
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(A.signed(value)), none, pa.array(times, pa.int64()), pa.nulls(len(value), pa.binary())], ["doc_id", "n", "k1", "k2", "times", "signature"])
 
     return run
 
@@ -183,11 +216,15 @@ def _meet(n_words: int, num: int, den: int, ratio: float, shared):
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
             head = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-            centre = node[np.flatnonzero(head)][np.cumsum(head) - 1] if len(key) else node
-            met = ~head & (node != centre)
+            group = np.cumsum(head) - 1
+            hot = np.bincount(group, minlength=1)[group] > FEW if len(key) else head
+            centre = node[np.flatnonzero(head)][group] if len(key) else node
+            met = hot & ~head & (node != centre)
             pairs = np.unique(np.stack([centre[met], node[met]]), axis=1) if met.any() else np.zeros((2, 0), np.int64)
             own = A.signed(A.mix(pairs[0].view(U) * PLACE[5] + pairs[1].view(U) * PLACE[6]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([A.signed(key[head]), own, own])), pa.array(np.concatenate([node[head], pairs[0], pairs[1]]))], ["key", "node"])
+            out = head | ~hot
+            flags = np.concatenate([hot[out], np.ones(2 * len(own), bool)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([A.signed(key[out]), own, own])), pa.array(np.concatenate([node[out], pairs[0], pairs[1]])), pa.array(flags)], ["key", "node", "hot"])
 
     return run
 
@@ -262,18 +299,24 @@ def ngram_jaccard(docs: DataFrame, n_words: int = 5, num: int = 80, den: int = 1
     arrow_rows(spark)
     ratio = 1.5
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    survey = cut(text.mapInArrow(_survey(n_words), "doc_id long, n long, k1 long, k2 long, times long"))
+    survey = cut(text.mapInArrow(_survey(n_words), "doc_id long, n long, k1 long, k2 long, times long, signature binary"))
     rows = survey.where("times is null").select("doc_id", "n", "k1", "k2")
     total = rows.count()
     often = max(20, math.ceil(COMMON * total))
     listed = survey.where("times is not null").groupBy("k1").agg(F.sum("times").alias("t")).where(F.col("t") >= often).select("k1").toPandas()
     common = spark.sparkContext.broadcast(np.sort(listed["k1"].to_numpy(np.int64).view(U)).tobytes())
 
-    met = text.mapInArrow(_meet(n_words, num, den, ratio, common), "key long, node long")
-    from pyspark.sql import Window
-
-    star = met.withColumn("centre", F.min("node").over(Window.partitionBy("key"))).where("node <> centre").selectExpr("centre u", "node v").distinct()
-    clusters = components(star)
+    met = text.mapInArrow(_meet(n_words, num, den, ratio, common), "key long, node long, hot boolean")
+    at_key = Window.partitionBy("key")
+    met = met.withColumns({"centre": F.min("node").over(at_key), "last": F.max("node").over(at_key), "many": F.count("*").over(at_key), "hot": F.max("hot").over(at_key)}).where("centre < last")
+    met = cut(met.select("key", "node", "centre", F.expr(f"hot or many > {FEW}").alias("hot")))
+    tied = met.where("hot and node <> centre").selectExpr("centre u", "node v")
+    pairs = met.where("not hot").groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    pairs = pairs.select(F.posexplode("nodes").alias("i", "u"), "nodes").select("u", F.explode(F.expr("slice(nodes, i + 2, size(nodes))")).alias("v")).distinct()
+    sets = survey.where("times is null and n > 0").groupBy("k1").agg(F.first("n").alias("n"), F.first("signature").alias("s"))
+    pairs = pairs.join(sets.selectExpr("k1 u", "n", "s a"), "u").join(sets.selectExpr("k1 v", "n m", "s b"), "v")
+    sifted = pairs.select("u", "v", "n", "m", "a", "b").mapInArrow(_sift(num, den), "u long, v long")
+    clusters = components(tied.union(sifted))
 
     reps = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     width = math.log(den / num) * 1.01
@@ -287,10 +330,10 @@ def ngram_jaccard(docs: DataFrame, n_words: int = 5, num: int = 80, den: int = 1
     own = f"transform(sequence(0, blocks - 1), t -> {tile.format('band', 'least(t, sub)', 'band', 'greatest(t, sub)')})"
     up = f"if(above is null, array(), transform(sequence(0, above - 1), t -> {tile.format('band', 'sub', 'band + 1', 't')}))"
     down = f"if(below is null, array(), transform(sequence(0, below - 1), t -> {tile.format('band - 1', 't', 'band', 'sub')}))"
-    dealt = dealt.withColumn("tiles", F.expr(f"concat({own}, {up}, {down})")).select("doc_id", "cluster", "band", "sub", "tiles")
+    dealt = dealt.select("doc_id", "cluster", "band", "sub", "blocks", "above", "below")
     few = member.count() <= BROADCAST_ROWS
-    found = text.join(F.broadcast(dealt) if few else dealt.hint("shuffle_hash"), "doc_id").mapInArrow(_arrays_of(n_words), "doc_id long, cluster long, band int, sub int, tiles array<struct<band1:int,sub1:int,band2:int,sub2:int>>, shingles binary")
-    links = found.select("doc_id", "cluster", "band", "sub", "shingles", F.explode("tiles").alias("t")).select("doc_id", "cluster", "band", "sub", "shingles", "t.*")
+    found = text.join(F.broadcast(dealt) if few else dealt.hint("shuffle_hash"), "doc_id").mapInArrow(_arrays_of(n_words), "doc_id long, cluster long, band int, sub int, blocks int, above int, below int, shingles binary")
+    links = found.select("doc_id", "cluster", "band", "sub", "shingles", F.explode(F.expr(f"concat({own}, {up}, {down})")).alias("t")).select("doc_id", "cluster", "band", "sub", "shingles", "t.*")
     links = links.groupBy("cluster", "band1", "sub1", "band2", "sub2").applyInPandas(_tile(num, den), "u long, v long")
     comp = components(links)
 
