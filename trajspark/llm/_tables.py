@@ -36,7 +36,7 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
+def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows to an Arrow batch than the default, for texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

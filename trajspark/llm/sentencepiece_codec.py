@@ -33,7 +33,7 @@ from ._tables import arrow_rows
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 300_000
+CACHE = 100_000
 WIDE, TOGETHER = 48, 16_384
 _cache: dict[str, dict[str, bytes]] = {}
 
@@ -198,10 +198,12 @@ class Codec:
         """Token ids of each text, as little-endian 32-bit integers."""
         cache = _cache.setdefault(self.key, {})
         split = [self.chunks.findall(normal(t)) if t else [] for t in texts]
-        new = set().union(*split).difference(cache) if split else set()
-        if len(cache) + len(new) > CACHE:
+        used = set().union(*split)
+        new = used.difference(cache)
+        if len(cache) + len(new) > CACHE:  # what these texts use stays
+            stay = {c: cache[c] for c in used if c in cache}
             cache.clear()
-            new = set().union(*split)
+            cache.update(stay)
         short = []
         for c in new:
             raw = c.encode("utf-8", "surrogatepass")
@@ -258,6 +260,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             ids = np.frombuffer(b"".join(raw), "<i4")
             back = [codec.decode(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(ids)), pa.array(back, pa.string())], [*batch.schema.names, "token_ids", "decoded"])
+        _cache.clear()  # the worker may go on to other work
 
     return docs.select(*keep).mapInArrow(run, schema)
 
@@ -281,5 +284,6 @@ def token_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
                         c.append(x)
             types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, cols, types)], ["doc_id", "n_tokens", "n_byte_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
+        _cache.clear()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
