@@ -14,7 +14,7 @@ def distribution(rows: DataFrame, value: str, metric: str | None = None) -> Data
 
 def weighted(dist: DataFrame, value: str = "value", weight: str = "n") -> DataFrame:
     """Mean and median of values repeated by weight; 0 and 0 when empty."""
-    return dist.agg(F.coalesce(F.sum(F.col(value) * F.col(weight)) / F.sum(weight), F.lit(0.0)).cast("double").alias("mean"), F.coalesce(F.percentile(value, 0.5, weight), F.lit(0.0)).alias("median"))
+    return dist.agg(F.coalesce(F.sum(F.col(value) * F.col(weight)) / F.sum(weight), F.lit(0.0)).cast("double").alias("mean"), F.coalesce(F.percentile(value, 0.5, F.col(weight)), F.lit(0.0)).alias("median"))
 
 
 def by_length(rows: DataFrame, length: str, accuracy: str) -> DataFrame:

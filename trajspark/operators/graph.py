@@ -47,7 +47,7 @@ def merged(pairs: DataFrame) -> DataFrame:
     done = None
     while left.limit(1).count():
         heads = left.select(F.col("a").alias("head")).distinct().join(left.select(F.col("b").alias("head")), "head", "left_anti")
-        taken = left.join(heads, left.a == heads.head).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("representative")).checkpoint()
+        taken = left.join(heads, left["a"] == heads["head"]).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("representative")).checkpoint()
         done = taken if done is None else done.unionByName(taken)
         gone = taken.select("id")
         left = left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")

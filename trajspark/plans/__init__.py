@@ -1,4 +1,3 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .queries import ORACLE_SQL, QUERIES  # noqa: F401
