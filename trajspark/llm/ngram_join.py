@@ -168,7 +168,7 @@ def _sift(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v, n, m, a, b = (batch.column(c).to_pylist() for c in ("u", "v", "n", "m", "a", "b"))
-            keep = [den * min(n[i], m[i]) >= num * max(n[i], m[i]) and may_link(np.frombuffer(a[i], U), np.frombuffer(b[i], U), n[i], m[i], num, den) for i in range(len(u))]
+            keep = [may_link(np.frombuffer(a[i], U), np.frombuffer(b[i], U), n[i], m[i], num, den) for i in range(len(u))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).filter(pa.array(keep, pa.bool_())) for c in (u, v)], ["u", "v"])
 
     return run
@@ -222,7 +222,8 @@ def _meet(n_words: int, num: int, den: int, ratio: float, shared):
             met = hot & ~head & (node != centre)
             pairs = np.unique(np.stack([centre[met], node[met]]), axis=1) if met.any() else np.zeros((2, 0), np.int64)
             own = A.signed(A.mix(pairs[0].view(U) * PLACE[5] + pairs[1].view(U) * PLACE[6]))
-            out = head | ~hot
+            out = np.flatnonzero(head | ~hot)
+            out = out[np.argsort(node[out], kind="stable")]  # a node's rows together: they compress
             flags = np.concatenate([hot[out], np.ones(2 * len(own), bool)])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([A.signed(key[out]), own, own])), pa.array(np.concatenate([node[out], pairs[0], pairs[1]])), pa.array(flags)], ["key", "node", "hot"])
 
@@ -310,11 +311,15 @@ def ngram_jaccard(docs: DataFrame, n_words: int = 5, num: int = 80, den: int = 1
     at_key = Window.partitionBy("key")
     met = met.withColumns({"centre": F.min("node").over(at_key), "last": F.max("node").over(at_key), "many": F.count("*").over(at_key), "hot": F.max("hot").over(at_key)}).where("centre < last")
     met = cut(met.select("key", "node", "centre", F.expr(f"hot or many > {FEW}").alias("hot")))
-    tied = met.where("hot and node <> centre").selectExpr("centre u", "node v")
-    pairs = met.where("not hot").groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
-    pairs = pairs.select(F.posexplode("nodes").alias("i", "u"), "nodes").select("u", F.explode(F.expr("slice(nodes, i + 2, size(nodes))")).alias("v")).distinct()
+    # a node meets many centres: it is tied to the least of them, and that to the others
+    hooked = met.where("hot").select("node", "centre", F.min("centre").over(Window.partitionBy("node")).alias("u"))
+    tied = hooked.selectExpr("u", "node v").distinct().union(hooked.selectExpr("u", "centre v").distinct())
     sets = survey.where("times is null and n > 0").groupBy("k1").agg(F.first("n").alias("n"), F.first("signature").alias("s"))
-    pairs = pairs.join(sets.selectExpr("k1 u", "n", "s a"), "u").join(sets.selectExpr("k1 v", "n m", "s b"), "v")
+    sized = met.where("not hot").select("key", "node").join(sets.selectExpr("k1 node", "n"), "node")
+    pairs = sized.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("n", "node"))).alias("x"))
+    pairs = pairs.select(F.posexplode("x").alias("i", "a"), "x").select("a", F.explode(F.expr(f"filter(slice(x, i + 2, size(x)), b -> {den} * a.n >= {num} * b.n)")).alias("b"))
+    pairs = pairs.selectExpr("a.node u", "b.node v", "a.n n", "b.n m").distinct()
+    pairs = pairs.join(sets.selectExpr("k1 u", "s a"), "u").join(sets.selectExpr("k1 v", "s b"), "v")
     sifted = pairs.select("u", "v", "n", "m", "a", "b").mapInArrow(_sift(num, den), "u long, v long")
     clusters = components(tied.union(sifted))
 
