@@ -1,0 +1,275 @@
+"""The operators against brute force on small tables with nulls, empty and long texts, ties and repeats."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+
+from trajspark.llm import decontamination, html_extract, line_dedup, media_avi, ngram_join, quality_classifier, secret_scan, sentencepiece_codec, suffix_dedup, url_filter
+
+DOC = "doc_id long, text string, clash string"
+rng = random.Random(5)
+WORDS = ["".join(rng.choices("abcdeéß", k=rng.randrange(1, 6))) for _ in range(300)]
+PASSAGE = " ".join(rng.choices(WORDS, k=70))
+
+
+def prose(n):
+    return " ".join(rng.choices(WORDS, k=n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    base = prose(120)
+    near = base.split()
+    near[60] = "changed"
+    out = [None, "", " ", "one", "one", "two words", base, base, " ".join(near), PASSAGE, f"{prose(30)}\n{PASSAGE}\n{prose(20)}", f"{PASSAGE}\n{PASSAGE}\n{prose(5)}", prose(4000), "ab" * 400, "same line\n" * 40, "\n\n\n"]
+    return out + [prose(rng.randrange(1, 60)) for _ in range(20)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOC)
+
+
+def spaced(t):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    return re.findall("[^\x20\x09-\x0d]+", low)
+
+
+@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
+def test_ngram_join(docs, texts, n, num):
+    sets = []
+    for t in texts:
+        w = spaced(t)
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    comp = list(range(len(sets)))
+    for _ in sets:
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard(docs, n, num).collect()}
+    assert got == {i: (len(s), comp[i]) for i, s in enumerate(sets)}
+
+
+def test_meeting_keys_lose_no_pair():
+    """Linked sets of many sizes share a key, common shingles or not."""
+    g = np.random.default_rng(2)
+    for num, size in itertools.product((80, 90), [*range(5, 40, 3), 60, 150, 700]):
+        for _ in range(12):
+            a = np.unique(g.integers(1, 2**63, size).astype(np.uint64))
+            most = int((len(a) * 2) * (100 - num) / (100 + num))
+            drop, add = (most // 2, most - most // 2) if g.random() < 0.5 else (0, int(len(a) * (100 - num) / num))
+            b = np.unique(np.concatenate([a[: len(a) - drop], g.integers(1, 2**63, add).astype(np.uint64)]))
+            if 100 * len(np.intersect1d(a, b)) < num * len(np.union1d(a, b)) or len(a) == len(b) == len(np.intersect1d(a, b)):
+                continue
+            common = np.sort(g.choice(a, int(len(a) * g.random()), replace=False))
+            ka, kb = (ngram_join.meeting_keys(x, common, num, 100, 1.5) for x in (a, b))
+            assert len(np.intersect1d(ka, kb)), (num, size)
+            assert ngram_join.may_link(ngram_join.signature(a), ngram_join.signature(b), len(a), len(b), num, 100)
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_suffix_dedup(docs, texts, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    raw = [(t or "").encode() for t in texts]
+    seen = {}
+    for i, t in enumerate(raw):
+        for p in range(len(t) - 199):
+            seen.setdefault(t[p : p + 200], []).append((i, p))
+    want = {}
+    for i, t in enumerate(raw):
+        gone = np.zeros(len(t) + 1, int)
+        for p in range(len(t) - 199):
+            if len(seen[t[p : p + 200]]) > 1:
+                gone[p : p + 200] = 1
+        kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
+        want[i] = (len(t), int(gone.sum()), int((np.diff(gone, prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    assert {r[0]: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(docs).collect()} == want
+
+
+def test_suffix_dedup_slices(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", 1000)
+    t = prose(900)
+    df = spark.createDataFrame([(1, t, ""), (2, t[1500:2600], ""), (2, prose(50), "")], DOC)
+    got = sorted((r.doc_id, r.n_removed) for r in suffix_dedup.suffix_dedup(df).collect())
+    n = len(t[1500:2600].encode())
+    assert got == [(1, n), (2, 0), (2, n)]
+
+
+@pytest.mark.parametrize("least", [3, 50])
+def test_line_dedup(docs, texts, least):
+    lines = [t.split("\n") if t else [] for t in texts]
+    runs = {}
+    for i, x in enumerate(lines):
+        for j in range(len(x)):
+            n, k = 0, j
+            while k < len(x) and n < least:
+                n, k = n + max(1, len(spaced(x[k]))), k + 1
+            if n >= least:
+                runs.setdefault(tuple(x[j:k]), []).append((i, j))
+    gone = [set() for _ in lines]
+    for run, at in runs.items():
+        first = min(at)
+        for i, j in at:
+            if (i, j) != first:
+                gone[i].update(range(max(j, first[1] + len(run)) if i == first[0] else j, j + len(run)))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.line_dedup(docs, least).collect()}
+    assert got == {i: (None if t is None else "\n".join(x for j, x in enumerate(lines[i]) if j not in gone[i]), len(lines[i]), len(gone[i])) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("block", [8 << 20, 40])
+def test_decontamination(spark, docs, texts, block, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    items = [("a", PASSAGE[:200]), ("b", "two WORDS"), ("c", None), ("d", "---"), ("e", "one")]
+    find = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    windows = {}
+    for k, t in items:
+        w = find(t)
+        m = min(10, len(w))
+        for i in range(len(w) - m + 1 if m else 0):
+            windows.setdefault(tuple(w[i : i + m]), set()).add(k)
+    want = {}
+    for i, t in enumerate(texts):
+        w, hit, found = find(t), set(), set()
+        for x, ks in windows.items():
+            for j in range(len(w) - len(x) + 1):
+                if tuple(w[j : j + len(x)]) == x:
+                    hit.update(range(j, j + len(x)))
+                    found |= ks
+        want[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+    got = decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string"))
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+
+
+def test_codec(spark, docs, texts):
+    codec = sentencepiece_codec.Codec.load()
+    got = {r.doc_id: (r.token_ids, r.decoded) for r in sentencepiece_codec.encode(docs).collect()}
+    for i, t in enumerate([*texts, "日本 \U0001f600  x\n y "]):
+        ids = got[i][0] if i in got else np.frombuffer(codec.encode_all([t])[0], "<i4").tolist()
+        assert ids == (codec.best(sentencepiece_codec.normal(t).encode()) if t else [])
+        assert codec.decode(ids) == (t or "")
+
+
+def test_viterbi_is_optimal():
+    pieces = ["<unk>", "▁", "a", "b", "ab", "ba", "▁a", "bab"]
+    scores = [0, -2, -3, -3.5, -4, -3.2, -2.5, -5]
+    codec = sentencepiece_codec.Codec(pieces, scores, [], {0})
+    for n in range(1, 8):
+        for t in map("".join, itertools.product("ab", repeat=n)):
+            def best(rest):
+                return max([scores[i] + best(rest[len(p) :]) for i, p in enumerate(pieces) if i and rest.startswith(p)], default=-math.inf) if rest else 0.0
+            assert sum(scores[i] for i in codec.best(("▁" + t).encode())) == pytest.approx(best("▁" + t))
+
+
+def test_classifier_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    got = quality_classifier.classify(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    assert sum(r.keep == (r.quality == 1) for r in got) >= 0.98 * len(got)
+    assert all(r.keep for r in got if r.quality == 1)
+
+
+def test_classifier_edges(docs):
+    out = quality_classifier.classify(docs)
+    assert out.columns == ["doc_id", "text", "clash", "votes", "posterior", "score", "keep"] and out.count() == docs.count()
+
+
+def entropy_spans(t, base):
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t):
+        s = m[0]
+        if any(a < m.end() and m.start() < b for a, _, b, _ in base) or re.search("example|sample|placeholder|changeme|xxxx|0123456789|abcdefgh|00000000", s.lower()) or re.match(r"(.{1,6}?)\1{2,}", s):
+            continue
+        kind = 3.0 if re.fullmatch("[0-9a-fA-F]+", s) and re.search("[0-9]", s) and re.search("[a-fA-F]", s) else 3.9 if all(re.search(c, s) for c in ("[0-9]", "[a-z]", "[A-Z]")) else None
+        lo = hi = None
+        for i in range(20, len(s) + 1) if kind else ():
+            w = s[i - 20 : i]
+            if -sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)) >= kind - 1e-9:
+                if lo is None or i - 20 > hi:
+                    if lo is not None:
+                        out.append((m.start() + lo, 3, m.start() + hi, "entropy"))
+                    lo = i - 20
+                hi = i
+        if lo is not None:
+            out.append((m.start() + lo, 3, m.start() + hi, "entropy"))
+    return out
+
+
+def test_secrets(spark):
+    word = lambda chars, n: "".join(rng.choices(chars, k=n))
+    mixed = "ABCDEFGHabcdefgh0123456789+/"
+    texts = [None, "", "secret=token:abcdefgh", "secret: abc", "é password = 'hunter2xyz' AKIA" + "Z" * 16, "x" * 5000, "deadbeef" * 4]
+    texts += [f"{prose(3)} {word(mixed, rng.randrange(18, 70))} {word('0123456789abcdefABCDEF', 40)} api_key={word(mixed, 8)}" for _ in range(60)]
+    want = {}
+    for i, t in enumerate(texts):
+        base = [(m.start(), 0, m.end(), "assign") for m in re.finditer("(" + secret_scan.ASSIGN[1:], t or "") if len(m[2]) >= 6]
+        base += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 20]
+        base += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 24]
+        line = lambda spans: ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+        want[i] = (*(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(line(base).encode()).hexdigest(), line(base + entropy_spans(t or "", base)))
+    got = secret_scan.secret_digests(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], DOC))
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+
+
+def test_urls(spark):
+    rules = url_filter.RULES
+    urls = [None, "", "no scheme", "http://", "http://com", "http://COM/", "https://a.example.com/en/x?q#f", "http://www.example.com/en/", "http://x.www.example.com/en/1", "http://xexample.com/en/", "ftp://b.net/es/?://", "http://net/fr", "http://net/fr/"]
+    want = []
+    for u in urls:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        low = host.lower()
+        fits = [r for r in rules if (low == r[0] or low.endswith("." + r[0])) and path.startswith(r[1])]
+        best = max(fits, key=lambda r: (len(r[0] + r[1]), len(r[0]))) if fits else (None, None, "allow")
+        want.append((low, path, best[0] and best[0] + best[1], best[2]))
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
+    assert [(r.host, r.path, r.rule, r.verdict) for r in got] == want
+
+
+def test_html(spark):
+    page = '<html><head><title>t</title></head><body><header>H</header><nav><ul><li>m</ul></nav><article><h1>A &amp; B</h1><p>one\n two<p><b>three<br><div class="ad">buy</div><p>x<script>"</p>"</script>y</article><div class="comments"><p>c</div><footer>f</footer>'
+    rows = [(1, "http://h/1", page), (2, "http://h/2", None), (3, None, ""), (4, "http://h/4", "<body><p>only</p><aside>no</aside></body>"), (5, "http://h/1", page), (6, "x", "plain &lt;text")]
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = "A & B\none two\nthree\nxy"
+    assert got == {1: (text, len(text)), 2: ("", 0), 3: ("", 0), 4: ("only", 4), 5: (text, len(text)), 6: ("plain <text", 11)}
+
+
+def test_wrapper_is_union_free():
+    a, b = (html_extract.shape(html_extract.parse(x)) for x in ("<body><nav>m</nav><p>a<p>b</body>", "<body><p>c<aside>z</aside></body>"))
+    body = html_extract.merge(a, b)[3][0]
+    assert [(c[0], c[1], c[2]) for c in body[3]] == [("nav", "?", "m"), ("p", "+", True), ("aside", "?", "z")]
+
+
+def test_media_round_trip(spark, docs, texts):
+    for n in (0, 1, 64, 4096, 9001):
+        p = media_avi.pad(bytes(rng.randrange(256) for _ in range(n)))
+        m = media_avi.pack_bytes(p)
+        assert media_avi.unpack_bytes(m) == p
+        blocks, seg = media_avi.decode_blocks(media_avi.read_avi(m)["frames"][0])
+        assert (media_avi._slow_blocks(seg, len(blocks)) == blocks).all()
+    media = media_avi.pack(docs)
+    rows = {r.doc_id: r for r in media_avi.media_digests(media).collect()}
+    for i, t in enumerate(texts):
+        p = media_avi.pad((t or "").encode())
+        assert (rows[i].n_bytes, rows[i].payload_bytes, rows[i].payload_sha256) == (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest())
+    assert rows[6].media_sha256 == rows[7].media_sha256
+    assert media_avi.clips_of(media).count() >= len(texts)
+
+
+def test_shots_cut_where_the_histogram_jumps():
+    h = np.zeros((30, 16), int)
+    h[:12, 2], h[12:, 9] = 100, 100
+    assert media_avi.shots(h) == [(0, 12), (12, 30)]
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], DOC)
+    for f in (ngram_join.ngram_jaccard, suffix_dedup.suffix_dedup, line_dedup.line_dedup, sentencepiece_codec.encode, secret_scan.secret_digests, quality_classifier.classify, media_avi.pack):
+        assert f(none).count() == 0
+    assert decontamination.decontaminate(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extract.extract(pages).count() == url_filter.filter_urls(pages).count() == 0

@@ -339,7 +339,7 @@ def pack(docs: DataFrame) -> DataFrame:
 
 def clips_of(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, clip, start_frame, end_frame, start_s, end_s): one row for each shot of each media value."""
-    schema = media.select(key).schema.add("clip", "int").add("start_frame", "long").add("end_frame", "long").add("start_s", "double").add("end_s", "double")
+    schema = media.select(key).schema.add("clip", "integer").add("start_frame", "long").add("end_frame", "long").add("start_s", "double").add("end_s", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
