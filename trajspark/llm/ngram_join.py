@@ -147,8 +147,8 @@ def meeting_keys(s: np.ndarray, common: np.ndarray, num: int, den: int, ratio: f
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """A hashed bitmap of 1/2 to 1 bit for each shingle; folding its halves gives the one of half as many bits."""
-    bits = 32 << max(1, (max(1, len(s)) - 1).bit_length() - 6)
+    """A hashed bitmap of 1 to 2 bits for each shingle; folding its halves gives the one of half as many bits."""
+    bits = 32 << max(1, (max(1, len(s)) - 1).bit_length() - 5)
     out = np.zeros(bits, bool)
     out[(s & U(bits - 1)).astype(np.int64)] = True
     return np.packbits(out).view(U)
