@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ast
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,3 +46,54 @@ def fill_template(template: str, **values: Column) -> Column:
     for k, v in values.items():
         out = F.replace(out, F.lit("{" + k + "}"), v)
     return out
+
+
+def section(c: Column, start: str, end: str) -> Column:
+    """What stands between two markers, trimmed of white space; null where the first is missing.
+
+    Without the second marker the section runs to the end of the text."""
+    found = F.regexp_extract(c, rf"(?s){re.escape(start)}(.*?)(?:{re.escape(end)}|\z)", 1)
+    return F.when(F.contains(c, F.lit(start)), F.regexp_replace(found, r"^\s+|\s+$", ""))
+
+
+def is_client_tool(c: Column) -> Column:
+    """Whether a tool name has a server and a tool part."""
+    return F.coalesce(c.rlike("^[^-]+-.+"), F.lit(False))
+
+
+def keyed_id(seed: int, counter: Column) -> Column:
+    """A repeatable id from a seed and a counter."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), counter.cast("string")))
+
+
+def mail_date(c: Column) -> Column:
+    """A timestamp of a mail header's date ("Mon, 01 Jan 2024 10:00:00 +0000"); null where it is none."""
+    return F.try_to_timestamp(F.regexp_replace(c, r"^\s*\w{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+
+
+_CALLS = {"sqrt": F.sqrt, "sin": F.sin, "cos": F.cos, "tan": F.tan, "log": F.ln, "log10": F.log10, "exp": F.exp, "abs": F.abs, "floor": F.floor, "ceil": F.ceil, "pow": F.pow, "radians": F.radians, "degrees": F.degrees}
+_BINARY = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: F.try_divide(a, b), ast.Mod: lambda a, b: F.pmod(a, b), ast.FloorDiv: lambda a, b: F.floor(F.try_divide(a, b)), ast.Pow: F.pow}
+
+
+def arithmetic(expression: str, columns: tuple[str, ...] = ()) -> Column:
+    """A column from an arithmetic expression of numbers, the named columns and allow-listed functions, in doubles.
+
+    The expression is parsed, never evaluated as code; anything else in it is a ValueError.
+    Division by zero gives null."""
+
+    def build(node: ast.AST) -> Column:
+        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
+            return F.lit(float(node.value))
+        if isinstance(node, ast.Name) and node.id in columns:
+            return F.col(node.id).cast("double")
+        if isinstance(node, ast.Name) and node.id in ("pi", "e"):
+            return F.pi() if node.id == "pi" else F.e()
+        if isinstance(node, ast.BinOp) and type(node.op) in _BINARY:
+            return _BINARY[type(node.op)](build(node.left), build(node.right))
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
+            return -build(node.operand) if isinstance(node.op, ast.USub) else build(node.operand)
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in _CALLS and not node.keywords:
+            return _CALLS[node.func.id](*map(build, node.args))
+        raise ValueError(f"not allowed in an expression: {ast.dump(node)[:60]}")
+
+    return build(ast.parse(expression, mode="eval").body)

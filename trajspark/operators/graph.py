@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def similar_pairs(vectors: DataFrame, key: str, vector: str, over: float) -> DataFrame:
+def similar_pairs(vectors: DataFrame, key: str, vector: str, over: float, scale: bool = True) -> DataFrame:
     """(a, b, cosine) for a < b with cosine strictly over the threshold; zero vectors have cosine 0.
+    Without scale the plain product is taken.
 
     Blocks of bounded size meet once, each a matrix product; no pair leaves unless it passes."""
     n = vectors.count()
@@ -24,7 +25,7 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, over: float) -> Dat
         import pandas as pd
 
         m = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
-        norm = np.linalg.norm(m, axis=1)
+        norm = np.linalg.norm(m, axis=1) if scale else np.ones(len(m))
         m = m / np.where(norm == 0, 1, norm)[:, None]
         ids, block = pdf["id"].to_numpy(), pdf["block"].to_numpy()
         left, right = block == pdf["i"].iloc[0], block == pdf["j"].iloc[0]
@@ -37,6 +38,22 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, over: float) -> Dat
     return sent.groupBy("i", "j").applyInPandas(pairs, "a long, b long, cosine double")
 
 
+def weighted_pairs(vectors: DataFrame, key: str, name: str, said: str, over: float, weight: float = 0.6) -> DataFrame:
+    """(a, b, cosine) where weight x the cosine of one vector + the rest x that of another is over the threshold.
+
+    Unit vectors scaled by the roots of the weights and put end to end have that sum as their
+    product, so the blocks of similar_pairs serve; a zero part counts as cosine 0."""
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+
+    def scaled(column: str, share: float):
+        c = F.col(column).cast("array<double>")
+        by = F.coalesce(F.try_divide(F.lit(share**0.5), norm(c)), F.lit(0.0))
+        return F.transform(c, lambda x: x * by)
+
+    both = F.concat(scaled(name, weight), scaled(said, 1 - weight))
+    return similar_pairs(vectors.select(key, both.alias("v")), key, "v", over, scale=False)
+
+
 def merged(pairs: DataFrame) -> DataFrame:
     """(id, representative) of absorbed nodes, greedy by id: the least unabsorbed node takes every
     later one it is paired with.  Not the transitive closure.

@@ -132,6 +132,11 @@ def haversine(lat1, lon1, lat2, lon2, radius: float = 6371000.0) -> Column:
     return 2 * F.lit(radius) * F.asin(F.sqrt(a))
 
 
+def degrees_apart(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Plane distance of two points in degrees."""
+    return F.sqrt(F.pow(lat2 - lat1, F.lit(2)) + F.pow(lon2 - lon1, F.lit(2)))
+
+
 def replay(calls: DataFrame, key: str, order: str) -> DataFrame:
     """State after each call (key, order, op, item, value) of a client: set, add, delete over a small map.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analytics, graph, steps, store, training
+from ..operators import analytics, catalog, graph, knowledge, paths, steps, store, traces, training
 from ..session import ensure_checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -492,3 +492,210 @@ def semi_join(t):
 def cell_range_read(t):
     cells = t.part.where("p_partkey + 1 between 3 and 8").select((F.col("p_partkey") - 1).alias("r"), F.posexplode(F.array("p_name", "p_brand", "p_type")).alias("i", "v"))
     return cells.where("i between 1 and 2").select("r", F.element_at(F.array(*map(F.lit, ("p_name", "p_brand", "p_type"))), F.col("i") + 1).alias("c"), "v")
+
+
+@query("select o_custkey, count(*) filter (o_orderstatus = 'F') > 0 and bool_and(o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')) as admitted from orders group by o_custkey")
+def rl_admission(t):
+    known = F.create_map(*(F.lit(x) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW") for x in (p, "state")))
+    g = t.orders.groupBy("o_custkey").agg(F.collect_list(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("calls"), F.collect_set("o_orderpriority").alias("servers"))
+    return g.select("o_custkey", catalog.admitted(F.col("calls"), F.col("servers"), known).alias("admitted"))
+
+
+@query("select s_suppkey from supplier where s_nationkey in (3, 7, 11)")
+def server_tool_filter(t):
+    tools = t.supplier.select("s_suppkey", F.concat(F.col("s_nationkey").cast("string"), F.lit("-"), "s_name").alias("tool"), F.col("s_nationkey").cast("string").alias("server"))
+    state = tools.limit(1).select(F.lit(-1).cast("long").alias("s_suppkey"), F.lit("3-load_scenario").alias("tool"), F.lit("3").alias("server"))
+    return catalog.visible_tools(tools.unionByName(state), ["3", "7", "11"]).select("s_suppkey")
+
+
+@query("select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 49)")
+def user_tool_split(t):
+    return catalog.assistant_tools(t.part.select("p_partkey", F.col("p_partkey").alias("tool")), t.lineitem.where("l_quantity > 49").select(F.col("l_partkey").alias("tool"))).select("p_partkey")
+
+
+@query("select 'in' || p_partkey as src, p_brand as dst, 'parameter_to_tool' as edge_type, p_size > 25 as required from part where p_partkey % 2 = 0 union select p_brand, 'in' || p_partkey, 'tool_to_parameter', false from part where p_partkey % 2 = 1")
+def io_edges(t):
+    return catalog.io_edges(t.part.select(F.col("p_brand").alias("tool"), F.concat(F.lit("in"), "p_partkey").alias("param_id"), F.when(F.col("p_partkey") % 2 == 0, "input").otherwise("output").alias("direction"), (F.col("p_size") > 25).alias("required")))
+
+
+@query("select p_partkey, p_name || ' (' || p_type || ')' as name_text, case when p_size > 10 then p_brand end as desc_text, p_name || ' (' || p_type || '): ' || case when p_size > 10 then p_brand else '' end as full_text from part")
+def embed_texts(t):
+    p = t.part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("dtype"), F.when(F.col("p_size") > 10, F.col("p_brand")).alias("description"))
+    return catalog.embed_texts(p).select("p_partkey", "name_text", "desc_text", "full_text")
+
+
+@query("with i as (select c_custkey as param from customer where c_acctbal > 5000), o as (select distinct l_suppkey as tool, o_custkey as param from lineitem join orders on l_orderkey = o_orderkey where l_quantity > 48) select distinct param, tool from (select i.param, o.tool from i join o using (param) union all select i.param, o.tool from i join o on o.param = i.param - 1)")
+def provider_join(t):
+    i = t.customer.where("c_acctbal > 5000").select(F.col("c_custkey").alias("param"))
+    o = t.lineitem.where("l_quantity > 48").select("l_orderkey", F.col("l_suppkey").alias("tool")).join(t.orders.select("o_orderkey", F.col("o_custkey").alias("param")), F.col("l_orderkey") == F.col("o_orderkey")).select("tool", "param").distinct()
+    return catalog.providers(i, o, t.customer.select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 1).alias("dst")))
+
+
+@query("select c_custkey as param, c_acctbal > 9000 or c_custkey in (select o_custkey from orders where o_orderstatus = 'P') as fillable from customer")
+def validate_parameter(t):
+    inputs = t.customer.select(F.col("c_custkey").alias("param"), (F.col("c_acctbal") > 9000).alias("user_provided"))
+    return catalog.fillable(inputs, t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("param"))).select("param", "fillable")
+
+
+@query("with v as (select vec_id, cast(embedding as double[]) as e from embeddings), p as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.e[1:32], b.e[1:32]) as x, list_cosine_similarity(a.e[33:64], b.e[33:64]) as y from v a join v b on a.vec_id < b.vec_id) select a, b, round(0.6 * x + 0.4 * y, 5) as similarity from p where 0.6 * x + 0.4 * y > 0.45")
+def weighted_similarity_join(t):
+    halves = t.embeddings.select("vec_id", F.slice("embedding", 1, 32).alias("name"), F.slice("embedding", 33, 32).alias("said"))
+    return graph.weighted_pairs(halves, "vec_id", "name", "said", 0.45).select("a", "b", F.round("cosine", 5).alias("similarity"))
+
+
+@query()
+def split_turns(t):
+    return catalog.split_turns(t.lineitem.select(F.col("l_orderkey").alias("chain"), F.col("l_linenumber").alias("pos")), most=5, seed=7)
+
+
+@query()
+def topology_sample(t):
+    e = t.lineitem.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst")).distinct()
+    return catalog.topology_sample(e, t.supplier.select(F.col("s_suppkey").alias("seed"), F.col("s_suppkey").alias("start")), depth=3, seed=11)
+
+
+@query("select event_id, position, message from (select event_id, cast(0 as int) as position, cast(json_extract(props, '$.k') as varchar) as message from events where event_id % 2 = 0 union all select event_id, cast(p.i as int), case p.i when 0 then cast(json_extract(props, '$.k') as varchar) else event_type end from events, (values (0), (1)) p(i) where event_id % 2 = 1)")
+def turn_normalisation(t):
+    one = F.col("props")
+    two = F.concat(F.lit("["), "props", F.lit(', {"k": "'), "event_type", F.lit('"}]'))
+    log = t.events.select("event_id", F.col("event_id").cast("string").alias("key"), F.when(F.col("event_id") % 2 == 0, one).otherwise(two).alias("messages"))
+    noise = log.withColumn("key", F.lit("summary"))
+    return traces.normalised_turns(log.unionByName(noise)).select("event_id", "position", F.get_json_object("message", "$.k").alias("message"))
+
+
+@query("select conv_id, turn, case role when 'user' then 'user' when 'assistant' then 'assistant' else 'system' end as field, length(text) as n_chars from conversations where text is not null")
+def log_message_projection(t):
+    c = t.conversations.where("text is not null")
+    message = F.to_json(F.struct(*(F.when(F.col("role") == r, F.col("text")).alias(r) for r in ("user", "assistant", "system"))))
+    field, text = traces.shown_message(message)
+    return c.select("conv_id", "turn", field.alias("field"), F.length(text).cast("long").alias("n_chars"))
+
+
+@query("select user_id, event_type, count(*) as n, md5(string_agg(cast(event_id as varchar), ',' order by event_id)) as messages_md5 from events group by user_id, event_type")
+def log_grouping(t):
+    g = traces.grouped_log(t.events.withColumn("message", F.col("event_id").cast("string")), "user_id", "event_type", "event_id")
+    return g.select("user_id", "event_type", F.size("messages").cast("long").alias("n"), F.md5(F.array_join("messages", ",")).alias("messages_md5"))
+
+
+@query("select user_id, count(*) as n, count(*) filter (event_type = 'click') as n_first from events where event_type in ('click', 'view') group by user_id")
+def log_merge(t):
+    a, b = (t.events.where(F.col("event_type") == k).groupBy(F.col("user_id").alias("key")).agg(F.collect_list("event_id").alias("items")) for k in ("click", "view"))
+    m = traces.merged_log(a, b).join(a.select("key", F.size("items").alias("f")), "key", "left")
+    return m.select(F.col("key").alias("user_id"), F.size("items").cast("long").alias("n"), F.coalesce("f", F.lit(0)).cast("long").alias("n_first"))
+
+
+@query("select conv_id, turn, case when turn % 3 = 0 and role = 'assistant' then 'REMOVE' end as type from conversations")
+def step_classification_merge(t):
+    labels = t.conversations.where("turn % 3 = 0").select("conv_id", "turn", F.lit("assistant").alias("role"), F.lit("REMOVE").alias("type"))
+    return traces.classified(t.conversations, labels, order="turn").select("conv_id", "turn", "type")
+
+
+@query("select conv_id, turn from (select conv_id, turn, role, row_number() over w = 1 as f, lag(turn % 3 = 1) over w as p from conversations window w as (partition by conv_id order by turn)) where f or turn % 3 = 1 or (p and role in ('tool_response', 'user'))")
+def trajectory_step_filter(t):
+    return traces.kept_steps(t.conversations, t.conversations.where("turn % 3 = 1").select("conv_id", "turn"), order="turn").select("conv_id", "turn")
+
+
+@query("select user_id, event_id from events where user_id in (select user_id from events where event_type = 'purchase')")
+def skip_without_calls(t):
+    return traces.turns_with(t.events.withColumnRenamed("event_type", "role"), "purchase", ("user_id",)).select("user_id", "event_id")
+
+
+@query("select doc_id from labels where quality = 1")
+def solutions_view(t):
+    return traces.solutions(t.labels.withColumn("decision", F.when(F.col("quality") == 1, True))).select("doc_id")
+
+
+@query("select o_orderkey from orders where o_orderpriority = '3-MEDIUM' order by o_orderkey limit 1")
+def scenario_by_complexity(t):
+    return traces.first_scenario(t.orders, "3-MEDIUM", "o_orderpriority", "o_orderkey").select("o_orderkey")
+
+
+@query("select r_regionkey, string_agg(n_name, ',' order by n_name) as kept from nation join region on n_regionkey = r_regionkey where n_name in (select n_name from nation where n_nationkey in (1, 2, 5, 8)) group by r_regionkey")
+def scenario_filter(t):
+    keep = ["1", "2", "5", "8"]
+    m = t.nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), "n_name"))).alias("m"))
+    kept = m.select("r_regionkey", F.map_values(traces.servers_only(F.col("m"), keep)).alias("v")).where("size(v) > 0")
+    return kept.select("r_regionkey", F.array_join(F.sort_array("v"), ",").alias("kept"))
+
+
+@query("select conv_id, turn, 'because ' || role as think, text as answer from conversations where role = 'assistant' and text is not null and text = trim(text)")
+def think_split(t):
+    c = t.conversations.where("role = 'assistant' and text is not null and text = trim(text)")
+    think, answer = T.split_think(F.concat(F.lit("<think>because "), "role", F.lit("</think> "), "text"))
+    return c.select("conv_id", "turn", think.alias("think"), answer.alias("answer"))
+
+
+@query("select page_id from pages where regexp_matches(url, '^https?://[^/]*/[^/]*/[^/]*$')")
+def glob_search(t):
+    path = F.concat(F.lit("/"), F.regexp_replace("url", "^https?://", ""))
+    hit = F.when(F.col("url").rlike("^https?://"), paths.matches(path, "/*/*/*"))
+    return t.pages.where(hit).select("page_id")
+
+
+TREE = "select '/' || p_brand || '/' || replace(p_type, ' ', '_') || '/' || p_partkey as path, cast(p_size as bigint) as size, p_brand, p_type from part"
+
+
+@query(f"with f as ({TREE}) select folder, count(*) as n, cast(sum(size) as bigint) as size from (select '/' as folder, size from f union all select '/' || p_brand, size from f union all select '/' || p_brand || '/' || replace(p_type, ' ', '_'), size from f) group by folder")
+def directory_tree(t):
+    files = t.part.select(F.concat(F.lit("/"), "p_brand", F.lit("/"), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("/"), "p_partkey").alias("path"), F.col("p_size").cast("long").alias("size"))
+    return paths.tree_sizes(files)
+
+
+@query("select p_brand as name, 'folder' as kind, count(*) as n, cast(sum(p_size) as bigint) as size from part group by p_brand")
+def directory_listing(t):
+    files = t.part.select(F.concat(F.lit("/"), "p_brand", F.lit("/"), "p_partkey").alias("path"), F.col("p_size").cast("long").alias("size"))
+    return paths.listing(files, "/")
+
+
+@query("select p_partkey, p_brand as removed, p_type as added from part")
+def file_diff(t):
+    old, new = F.concat("p_name", F.lit("\n"), "p_brand"), F.concat("p_name", F.lit("\n"), "p_type")
+    gone, came = paths.changed_lines(old, new)
+    return t.part.select("p_partkey", F.array_join(gone, "\n").alias("removed"), F.array_join(came, "\n").alias("added"))
+
+
+@query("select r_name as source, n_name as target from nation join region on n_regionkey = r_regionkey where contains(lower(n_name), 'a') or contains(lower(r_name), 'a')")
+def graph_search(t):
+    names = t.nation.select(F.col("n_name").alias("name"), F.lit("nation").alias("kind")).unionByName(t.region.select(F.col("r_name").alias("name"), F.lit("region").alias("kind")))
+    entities = names.withColumn("observations", F.array().cast("array<string>"))
+    relations = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("source"), F.col("n_name").alias("target"), F.lit("holds").alias("kind"))
+    return knowledge.search_nodes(entities, relations, "A")[1].select("source", "target")
+
+
+@query("select user_id % 7 as src, user_id % 11 as dst, min(event_id) as first_id from events group by 1, 2")
+def edge_dedup(t):
+    return t.events.groupBy((F.col("user_id") % 7).alias("src"), (F.col("user_id") % 11).alias("dst")).agg(F.min("event_id").alias("first_id"))
+
+
+@query("select c_custkey, sqrt(pow(c_custkey, 2) + 3) * 2 - c_nationkey / 4.0 as result from customer")
+def expression_eval(t):
+    return t.customer.select("c_custkey", T.arithmetic("sqrt(c_custkey ** 2 + 3) * 2 - c_nationkey / 4", ("c_custkey", "c_nationkey")).alias("result"))
+
+
+@query("select n_nationkey as a_key, s_suppkey from supplier join nation on true where n_nationkey < 3 and sqrt(pow(s_nationkey * 7.3 - n_nationkey * 7.3, 2) + pow(s_nationkey * 1.7 - n_nationkey * 1.7, 2)) * 69 < 1000")
+def radius_filter(t):
+    centres = t.nation.where("n_nationkey < 3").select(F.col("n_nationkey").alias("a_key"))
+    near = t.supplier.join(F.broadcast(centres), store.degrees_apart(F.col("s_nationkey") * 7.3, F.col("s_nationkey") * 1.7, F.col("a_key") * 7.3, F.col("a_key") * 1.7) * 69 < 1000)
+    return near.select("a_key", "s_suppkey")
+
+
+@query("select supplier.s_suppkey, md5('11:' || s_suppkey) as new_id, length('x' || s_name) > 1 as client_ok from supplier")
+def deterministic_ids(t):
+    return t.supplier.select("s_suppkey", T.keyed_id(11, F.col("s_suppkey")).alias("new_id"), T.is_client_tool(F.concat(F.lit("x-"), "s_name")).alias("client_ok"))
+
+
+@query("select p_partkey, p_brand as section from part")
+def section_extraction(t):
+    text = F.concat(F.lit("intro\n### A\n"), "p_brand", F.lit("\n### B\n"), "p_type")
+    return t.part.select("p_partkey", T.section(text, "### A", "### B").alias("section"))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%d') as day, round_even(value * 4, 0) / 4 as quarter from events")
+def date_and_rounding(t):
+    mail = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss +0000")
+    return t.events.select("event_id", F.date_format(T.mail_date(mail), "yyyy-MM-dd").alias("day"), (F.bround(F.col("value") * 4, 0) / 4).alias("quarter"))
+
+
+@query("select s_suppkey, s_name || ': ' || s_nationkey as text from supplier")
+def tool_schema_text(t):
+    return t.supplier.select("s_suppkey", T.fill_template("{a}: {b}", a=F.col("s_name"), b=F.col("s_nationkey").cast("string")).alias("text"))
