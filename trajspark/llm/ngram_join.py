@@ -12,9 +12,10 @@ Two sets link when `den * intersection >= num * union`.  Steps:
 3. Pairs that met are sifted by the bit counts of hashed bitmaps, which bound the overlap
    from above (at keys where very many met, each is tied to one of them instead, unsifted).
    Sets that stay tied, directly or through others, form a cluster.  Clusters are cut by
-   size band and by blocks of bounded size into tiles; in a tile, bit counts bound each
-   overlap again and sorted arrays settle the rest.  Pairs that the tile has already
-   connected are skipped.
+   size band and by blocks of bounded size into tiles.  In a first pass the tiles hold
+   signatures only: what bit counts can't part stays together in smaller clusters.  In a
+   second, bit counts of wider bitmaps bound each overlap and sorted arrays settle the
+   rest.  Pairs that a tile has already connected are skipped in both.
 4. Components of the links.
 
 Skew: equal sets collapse first; a key where many meet inside one task leaves that task
@@ -46,6 +47,8 @@ PLACE = A.mix(np.arange(101, 165, dtype=np.uint64) * A.GOLD) | U(1)
 COMMON = 0.0005
 #: A tile's side holds about so many sets and shingles at most (one set may be larger).
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
+#: The same for tiles of signatures, which take 1 to 2 bits a shingle instead of 64.
+SIGN_SETS, SIGN_SHINGLES = 2048, 1 << 23
 #: Sets at one key up to which every pair is looked at; of more, each is tied to one of them.
 FEW = 48
 #: Cluster members up to which their ids are broadcast; beyond, texts are joined by shuffle.
@@ -240,13 +243,77 @@ def _arrays_of(n_words: int):
     return run
 
 
+def _sides(pdf):
+    """The two sides of a tile, and whether they are one."""
+    t = pdf.iloc[0]
+    sides = [pdf[(pdf["band"] == t[f"band{x}"]) & (pdf["sub"] == t[f"sub{x}"])] for x in "12"]
+    return sides, (t.band1, t.sub1) == (t.band2, t.sub2)
+
+
+class _Forest:
+    """Which ids a tile has connected so far."""
+
+    def __init__(self, ids):
+        self.parent = {x: x for x in ids}
+
+    def root(self, x):
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+
+def _by_width(side):
+    """Signatures of one side as matrices, by their own width: {words: (ids, sizes, matrix)}."""
+    words = (side.signature.map(len) // 8).to_numpy()
+    out = {}
+    for w in sorted(set(words.tolist())):
+        part = side[words == w]
+        out[w] = part.doc_id.tolist(), part.n.to_numpy(np.int64), np.frombuffer(b"".join(part.signature), U).reshape(len(part), w)
+    return out
+
+
+def _folded(m: np.ndarray, words: int) -> np.ndarray:
+    while m.shape[1] > words:
+        m = m[:, : m.shape[1] // 2] | m[:, m.shape[1] // 2 :]
+    return m
+
+
+def _sign_tile(num: int, den: int):
+    """Connects what bit counts of signatures can't part, as a forest of links."""
+
+    def run(pdf):
+        import pandas as pd
+
+        sides, same = _sides(pdf)
+        left = _by_width(sides[0])
+        right = left if same else _by_width(sides[1])
+        forest, links = _Forest(pdf.doc_id.tolist()), []
+        for w, (ids_a, n_a, a) in left.items():
+            for v, (ids_b, n_b, b) in right.items():
+                if same and v < w:
+                    continue
+                x, y = _folded(a, min(w, v)), _folded(b, min(w, v))
+                for i in range(len(ids_a)):
+                    lo = i + 1 if same and v == w else 0
+                    only_a = np.bitwise_count(x[i] & ~y[lo:]).sum(1).astype(np.int64)
+                    only_b = np.bitwise_count(y[lo:] & ~x[i]).sum(1).astype(np.int64)
+                    most = np.minimum(n_a[i] - only_a, n_b[lo:] - only_b)
+                    for j in (np.flatnonzero(den * most >= num * (n_a[i] + n_b[lo:] - most)) + lo).tolist():
+                        p, q = forest.root(ids_a[i]), forest.root(ids_b[j])
+                        if p != q:
+                            forest.parent[max(p, q)] = min(p, q)
+                            links.append((ids_a[i], ids_b[j]))
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+    return run
+
+
 def _tile(num: int, den: int):
     def run(pdf):
         import pandas as pd
 
-        t = pdf.iloc[0]
-        sides = [pdf[(pdf["band"] == t[f"band{x}"]) & (pdf["sub"] == t[f"sub{x}"])] for x in "12"]
-        same = (t.band1, t.sub1) == (t.band2, t.sub2)
+        sides, same = _sides(pdf)
         (ids_a, a), (ids_b, b) = (([int(x) for x in s.doc_id], [np.frombuffer(x, U) for x in s.shingles]) for s in sides)
         bits = 256
         while bits < 4 * max([1, *map(len, a), *map(len, b)]) and bits < 1 << 14:
@@ -260,15 +327,7 @@ def _tile(num: int, den: int):
 
         sa, nb = signatures(a), np.array([len(s) for s in b], np.int64)
         sb = sa if same else signatures(b)
-        parent = {x: x for x in (*ids_a, *ids_b)}
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        links = []
+        forest, links = _Forest((*ids_a, *ids_b)), []
         for i, s in enumerate(a):
             lo = i + 1 if same else 0
             if lo >= len(b):
@@ -277,19 +336,37 @@ def _tile(num: int, den: int):
             only_b = np.bitwise_count(sb[lo:] & ~sa[i]).sum(1).astype(np.int64)
             most = np.minimum(len(s) - only_a, nb[lo:] - only_b)
             for j in (np.flatnonzero(den * most >= num * (len(s) + nb[lo:] - most)) + lo).tolist():
-                x, y = root(ids_a[i]), root(ids_b[j])
+                x, y = forest.root(ids_a[i]), forest.root(ids_b[j])
                 if x == y:
                     continue
                 o = b[j]
                 both = int((o[np.minimum(np.searchsorted(o, s), len(o) - 1)] == s).sum())
                 if den * both >= num * (len(s) + len(o) - both):
-                    parent[max(x, y)] = min(x, y)
+                    forest.parent[max(x, y)] = min(x, y)
                     links.append((ids_a[i], ids_b[j]))
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
     return run
 
 
+TILE_KEY = ("cluster", "band1", "sub1", "band2", "sub2")
+
+
+def _dealt(member: DataFrame, sets: int, shingles: int) -> DataFrame:
+    """member(doc_id, n, cluster, band) with the tiles in which each row takes part, as array t.
+
+    A cluster's band has as many blocks as keep each within the bounds; a row meets every
+    block of its own band and of the bands next to it, each pair of blocks in one tile."""
+    size = cut(member.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / sets), F.ceil(F.sum("n") / shingles)).cast("int").alias("blocks")))
+    near = size.join(size.selectExpr("cluster", "band - 1 band", "blocks above"), ["cluster", "band"], "left").join(size.selectExpr("cluster", "band + 1 band", "blocks below"), ["cluster", "band"], "left")
+    tile = "struct(cast({} as int) band1, cast({} as int) sub1, cast({} as int) band2, cast({} as int) sub2)"
+    own = f"transform(sequence(0, blocks - 1), t -> {tile.format('band', 'least(t, sub)', 'band', 'greatest(t, sub)')})"
+    up = f"if(above is null, array(), transform(sequence(0, above - 1), t -> {tile.format('band', 'sub', 'band + 1', 't')}))"
+    down = f"if(below is null, array(), transform(sequence(0, below - 1), t -> {tile.format('band - 1', 't', 'band', 'sub')}))"
+    rows = member.join(near, ["cluster", "band"]).withColumn("sub", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
+    return rows.withColumn("t", F.expr(f"concat({own}, {up}, {down})")).drop("blocks", "above", "below")
+
+
 def ngram_jaccard(docs: DataFrame, n_words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, rep_id) for every row of docs(doc_id, text).
 
@@ -323,23 +400,23 @@ def ngram_jaccard(docs: DataFrame, n_words: int = 5, num: int = 80, den: int = 1
     sifted = pairs.select("u", "v", "n", "m", "a", "b").mapInArrow(_sift(num, den), "u long, v long")
     clusters = components(tied.union(sifted))
 
+    drop(met)
+
     reps = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     width = math.log(den / num) * 1.01
-    member = reps.join(clusters.withColumnRenamed("node", "k1"), "k1").select("doc_id", "n", F.col("comp").alias("cluster"), F.floor(F.log("n") / width).cast("int").alias("band"))
-    member = cut(member.where("doc_id is not null"))
-    size = member.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    size = cut(size)
-    pieces = size.alias("x").select("cluster", "band", "blocks").join(size.selectExpr("cluster", "band - 1 band", "blocks above"), ["cluster", "band"], "left").join(size.selectExpr("cluster", "band + 1 band", "blocks below"), ["cluster", "band"], "left")
-    dealt = member.join(pieces, ["cluster", "band"]).withColumn("sub", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
-    tile = "struct(cast({} as int) band1, cast({} as int) sub1, cast({} as int) band2, cast({} as int) sub2)"
-    own = f"transform(sequence(0, blocks - 1), t -> {tile.format('band', 'least(t, sub)', 'band', 'greatest(t, sub)')})"
-    up = f"if(above is null, array(), transform(sequence(0, above - 1), t -> {tile.format('band', 'sub', 'band + 1', 't')}))"
-    down = f"if(below is null, array(), transform(sequence(0, below - 1), t -> {tile.format('band - 1', 't', 'band', 'sub')}))"
-    dealt = dealt.select("doc_id", "cluster", "band", "sub", "blocks", "above", "below")
+    band = F.floor(F.log("n") / width).cast("int").alias("band")
+    signed = sets.join(clusters.withColumnRenamed("node", "k1"), "k1").selectExpr("k1", "s signature", "comp cluster")
+    member = cut(reps.join(signed, "k1").where("doc_id is not null").select("doc_id", "n", "cluster", band, "signature"))
+    signs = _dealt(member, SIGN_SETS, SIGN_SHINGLES).select("doc_id", "n", "cluster", "band", "sub", "signature", F.explode("t").alias("t")).select("doc_id", "n", "cluster", "band", "sub", "signature", "t.*")
+    clusters = components(signs.groupBy(*TILE_KEY).applyInPandas(_sign_tile(num, den), "u long, v long"))
+
+    member = cut(member.select("doc_id", "n", "band").join(clusters.selectExpr("node doc_id", "comp cluster"), "doc_id"))
+    dealt = _dealt(member, BLOCK_SETS, BLOCK_SHINGLES).select("doc_id", "cluster", "band", "sub", "t")
     few = member.count() <= BROADCAST_ROWS
-    found = text.join(F.broadcast(dealt) if few else dealt.hint("shuffle_hash"), "doc_id").mapInArrow(_arrays_of(n_words), "doc_id long, cluster long, band int, sub int, blocks int, above int, below int, shingles binary")
-    links = found.select("doc_id", "cluster", "band", "sub", "shingles", F.explode(F.expr(f"concat({own}, {up}, {down})")).alias("t")).select("doc_id", "cluster", "band", "sub", "shingles", "t.*")
-    links = links.groupBy("cluster", "band1", "sub1", "band2", "sub2").applyInPandas(_tile(num, den), "u long, v long")
+    tile = "array<struct<band1: int, sub1: int, band2: int, sub2: int>>"
+    found = text.join(F.broadcast(dealt) if few else dealt.hint("shuffle_hash"), "doc_id").mapInArrow(_arrays_of(n_words), f"doc_id long, cluster long, band int, sub int, t {tile}, shingles binary")
+    links = found.select("doc_id", "cluster", "band", "sub", "shingles", F.explode("t").alias("t")).select("doc_id", "cluster", "band", "sub", "shingles", "t.*")
+    links = links.groupBy(*TILE_KEY).applyInPandas(_tile(num, den), "u long, v long")
     comp = components(links)
 
     named = reps.select("k1", "k2", F.col("doc_id").alias("rep_id")).join(comp.selectExpr("node rep_id", "comp"), "rep_id", "left")
