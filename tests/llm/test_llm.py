@@ -238,6 +238,26 @@ def test_html(spark):
     assert got == {1: (text, len(text)), 2: ("", 0), 3: ("", 0), 4: ("only", 4), 5: (text, len(text)), 6: ("plain <text", 11)}
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="no-sidebar"><div class="ad">buy</div><article><p>text</p></article></body>',
+        '<html class="sticky-header"><body class="widget"><p>text</p><div id="main-nav">m</div></body>',
+        '<body><div class="has-sidebar comments-open"><div class="sidebar">s</div><main><p>text</p></main></div></body>',
+        '<body><div class="elementor-widget"><div class="entry-content">text</div></div><div class="site-footer">f</div></body>',
+        '<body><article id="notice-42"><p>text</p></article></body>',
+        '<body><div class="widget"><nav>m</nav><article><p>text</p></article></div></body>',
+        '<body><form><div class="content">text</div></form></body>',
+        '<body><article><div class="widget"><div class="post-body">text</div></div></article></body>',
+        '<body><article>text</article><div class="comments-area"><article class="comment">c</article></div></body>',
+        '<body><p>text</p><div class="footer"><div class="footer-content">f</div></div></body>',
+    ],
+)
+def test_html_wrappers_are_no_noise(spark, page):
+    pages = spark.createDataFrame([(1, "http://h/1", page)], "page_id long, url string, html string")
+    assert html_extract.extract(pages).first().text == "text"
+
+
 def test_wrapper_is_union_free():
     a, b = (html_extract.shape(html_extract.parse(x)) for x in ("<body><nav>m</nav><p>a<p>b</body>", "<body><p>c<aside>z</aside></body>"))
     body = html_extract.merge(a, b)[3][0]

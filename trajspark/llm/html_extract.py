@@ -11,7 +11,9 @@ wrapper for each batch, merged in two levels.
 The wrapper tells where a host's pages keep their content: the first of article, main, an
 element marked as content, or body that it has; pages are then read along it, and the slots under
 elements marked as menus, headers, footers, sidebars, notices, adverts, forms, comments of
-readers, scripts or styles are left out.  A page that lacks the host's content element is read by
+readers, scripts or styles are left out.  A name marks an element only as a whole (has-sidebar is
+a state, not a sidebar); html, body and main are never left out, nor is an element that holds the
+only article, main or content element of a page.  A page that lacks the host's content element is read by
 its own.  Blocks are joined by a line feed in page order, white space within a block becomes
 one space, character references are decoded.
 
@@ -25,6 +27,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -39,7 +42,11 @@ RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {"html", "head", "body", "article", "main", "section", "div", "nav", "header", "footer", "aside", "form", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "fieldset", "select", "button", "label", "dialog", "menu"}
 NOISE_TAGS = {"head", "nav", "header", "footer", "aside", "form", "select", "button", "label", "fieldset", "dialog", "menu"}
-NOISE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|side-?bar|header|masthead|footer|cookies?|notice|consent|popup|modal|newsletter|subscribe|share|social|related|comments?|replies|disqus|widget)(?:$|[\s_-])", re.I)
+_NOISE = r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|side-?bar|header|masthead|footer|cookies?|notice|consent|popup|modal|newsletter|subscribe|share|social|related|comments?|replies|disqus|widget)"
+_PLACE = r"(?:site|page|main|blog|post|entry|article|global|top|bottom|left|right|primary|secondary|mobile|container|wrapper|wrap|inner|box|block|bar|list|item|items|area|section|links|buttons|posts|form|slot|unit|text)"
+#: A whole name: noise words and words of place only; states such as no-sidebar or comments-open are none.
+NOISE_NAME = re.compile(rf"(?:{_PLACE}[_-])*{_NOISE}(?:[_-](?:{_PLACE}|{_NOISE}))*", re.I)
+NOISE_PART = re.compile(rf"(?:^|[_-]){_NOISE}(?:$|[_-])", re.I)
 CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article(?:-?body)?|content|post(?:-?body)?|entry(?:-?content)?|main|story)(?:$|[\s_-])", re.I)
 #: Elements that an opening tag closes first.
 CLOSES = {**{t: {"p"} for t in BLOCK - {"label", "button", "select"}}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}}
@@ -146,21 +153,30 @@ def merge(a: list, b: list) -> list:
     return [a[0], _both(a[1], b[1]), text, kids]
 
 
+def _names(label: str) -> list[str]:
+    """The single class, id and role names of a label."""
+    return re.sub(r"(?:^| )(?:class|id|role)=", " ", label.partition(" ")[2]).split()
+
+
+@lru_cache(100_000)
 def _rank(label: str) -> int:
     tag = label.split(" ")[0]
     if tag == "article":
         return 0
     if tag == "main" or "role=main" in label:
         return 1
-    names = " ".join(x.split("=", 1)[1] for x in re.findall(r"(?:class|id)=[^=]*(?= (?:class|id|role)=|$)", label))
-    if tag in ("div", "section") and names and CONTENT_NAMES.search(names):
+    if tag in ("div", "section") and any(CONTENT_NAMES.search(x) and not NOISE_PART.search(x) for x in _names(label)):
         return 2
     return 3 if tag == "body" else 9
 
 
+@lru_cache(100_000)
 def noisy(label: str) -> bool:
-    tag, _, names = label.partition(" ")
-    return tag in NOISE_TAGS or bool(names and NOISE_NAMES.search(re.sub(r"(?:class|id|role)=", "", names)))
+    """Whether an element is marked as noise; html, body and main never are."""
+    tag = label.partition(" ")[0]
+    if tag in ("html", "body", "main") or "role=main" in label:
+        return False
+    return tag in NOISE_TAGS or any(NOISE_NAME.fullmatch(x) for x in _names(label))
 
 
 def content_label(wrapper: list) -> str:
@@ -180,15 +196,18 @@ def _roots(node: Node, label: str) -> list[Node]:
     return [r for c in node.children if not isinstance(c, str) and not noisy(c.label) for r in _roots(c, label)]
 
 
-def main_text(page: str | None, label: str = "") -> str:
-    """The blocks of a page under its content elements."""
-    if not page:
-        return ""
-    tree = parse(page)
-    roots = _roots(tree, label) if label else []
-    if not roots:
-        own = content_label(shape(tree))
-        roots = _roots(tree, own) if own else [tree]
+def _best(node: Node) -> int:
+    """The best content rank in an element, itself included."""
+    return min([_rank(node.label), *(_best(c) for c in node.children if not isinstance(c, str))])
+
+
+def _ranked(node: Node, rank: int) -> list[Node]:
+    """The outermost elements of a content rank, noise or not."""
+    return [node] if _rank(node.label) == rank else [r for c in node.children if not isinstance(c, str) for r in _ranked(c, rank)]
+
+
+def _read(roots: list[Node], opened: bool = False) -> str:
+    """The blocks under the roots; if opened, noise that holds a content element is read too."""
     blocks: list[list[str]] = [[]]
 
     def read(node: Node) -> None:
@@ -196,7 +215,7 @@ def main_text(page: str | None, label: str = "") -> str:
         for c in node.children:
             if isinstance(c, str):
                 blocks[-1].append(c)
-            elif not noisy(c.label):
+            elif not noisy(c.label) or opened and _best(c) <= 2:
                 read(c)
                 blocks.append([])
 
@@ -206,6 +225,22 @@ def main_text(page: str | None, label: str = "") -> str:
     return "\n".join([x for x in lines if x])
 
 
+def main_text(page: str | None, label: str = "") -> str:
+    """The blocks of a page under its content elements."""
+    if not page:
+        return ""
+    tree = parse(page)
+    roots = _roots(tree, label) if label else []
+    if not roots or _rank(label) > 2:
+        label = content_label(shape(tree))
+        roots = _roots(tree, label) if label else [tree]
+    text = _read(roots)
+    if text and _rank(label) <= 2 or (best := _best(tree)) > 2:
+        return text
+    # content elements, if any, stand in elements marked as noise
+    return _read(roots, opened=True) if text else _read(_ranked(tree, best), opened=True)
+
+
 def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found: dict[str, list] = {}
