@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -214,6 +215,37 @@ def test_secrets(spark):
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
 
 
+def window_marks(piece):
+    """The characters of a piece that lie in a window of high entropy, each window judged by itself."""
+    sorts = [any(f(c) for c in piece) for f in (str.isdigit, str.islower, str.isupper)]
+    if sum(sorts) < 2:
+        return set()
+    is_hex = set(piece) <= set("0123456789abcdefABCDEF") and sorts[0]
+    bits = 3.0 if is_hex else {(1, 1, 1): 3.9, (1, 1, 0): 3.7, (1, 0, 1): 3.7, (0, 1, 1): 3.9}[tuple(map(int, sorts))]
+    out = set()
+    for i in range(len(piece) - 19):
+        w = piece[i : i + 20]
+        if sum(any(f(c) for c in w) for f in (str.isdigit, str.islower, str.isupper)) > 1 and math.log2(20) - sum(n * math.log2(n) for n in Counter(w).values()) / 20 >= bits - 1e-9:
+            out.update(range(i, i + 20))
+    return out
+
+
+def marked(row):
+    return {p for x in row.spans.split(",") if x.startswith("entropy") for p in range(*map(int, x.split(":")[1:]))}
+
+
+def test_secrets_of_every_class(spark):
+    own = random.Random(11)
+    lower, upper, digits = "ghijklmnopqrstuvwxyz", "GHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    texts = ["".join(own.choices(chars, k=own.randrange(20, 60))) for chars in (lower + digits, upper + digits, lower + upper, lower + upper + digits) for _ in range(15)]
+    found = secret_scan.secret_digests(spark.createDataFrame(list(enumerate(texts + ["a-story-of-some-quick-brown-foxes", "see-the-three-trees-there-2024", "19831221094576382910456", "QWERTYUIOPASDFGHJKLZXCVBNM"])), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, t in zip(found, texts, strict=False):
+        assert r.n_access + r.n_hex > 0 or marked(r) == window_marks(t), t
+    for k in range(4):
+        assert sum(bool(marked(r)) for r in found[15 * k : 15 * k + 15]) >= 12
+    assert not any(marked(r) for r in found[60:])
+
+
 def test_urls(spark):
     rules = url_filter.RULES
     urls = [None, "", "no scheme", "http://", "http://com", "http://COM/", "https://a.example.com/en/x?q#f", "http://www.example.com/en/", "http://x.www.example.com/en/1", "http://xexample.com/en/", "ftp://b.net/es/?://", "http://net/fr", "http://net/fr/"]

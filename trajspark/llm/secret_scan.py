@@ -4,9 +4,11 @@ Base kinds are three patterns (assign, access, hex).  The method adds `entropy`
 each candidate string a window of WINDOW characters slides on; counts of its characters are
 kept by adding the one that enters and taking off the one that leaves, and with them the sum
 of c * log2(c), from which the window's Shannon entropy follows.  Runs of windows over the
-threshold of the candidate's character class are spans, unless the allow-list knows the
-candidate: it has one sort of characters only (words, numbers), lies in a base span, repeats
-a short unit, or says that it is an example.
+threshold of the candidate's character class are spans.  Each class of two sorts or more
+(hex; digits with lower letters, with upper letters, with both; lower with upper letters) has its
+threshold.  A window of one sort only (words, numbers) does not count, nor does a candidate
+that the allow-list knows: it lies in a base span, repeats a short unit, or says that it is an
+example.
 
 Matches are read with split and regexp_extract_all, which see the same matches; a match
 starts after all pieces and matches before it.  All positions count code points, ends are
@@ -28,8 +30,10 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Base kinds in order of listing; the least length of the group that counts (0: always).
 BASE = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
 WINDOW = 20
-#: Bits from which a window counts, by character class of the candidate.
-BITS = {"hex": 3.0, "mixed": 3.9}
+#: Bits from which a window counts, by character class of the candidate: every class of two sorts or more has its own.
+BITS = {"hex": 3.0, "mixed": 3.9, "lower_digit": 3.7, "upper_digit": 3.7, "letters": 3.9}
+#: Windows of one sort (words, numbers) in a candidate of two do not count.
+TWO_SORTS = "[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]"
 
 
 def _matches(kind: str, pattern: str, group: int, least: int) -> str:
@@ -50,16 +54,18 @@ def _located(quoted: str, group: int, keep: str, number: int, kind: str) -> str:
 def _entropy() -> str:
     """SQL for the spans of high entropy in candidate struct `c` (start, hit)."""
     has = lambda chars: f"c.hit rlike '[{chars}]'"
-    limit = " ".join(f"when {test} then {WINDOW} * (log2({WINDOW}) - {BITS[name]})" for name, test in (("hex", f"c.hit rlike '^[0-9a-fA-F]+$' and {has('0-9')} and {has('a-fA-F')}"), ("mixed", f"{has('0-9')} and {has('a-z')} and {has('A-Z')}")))
+    limit = " ".join(f"when {test} then {WINDOW} * (log2({WINDOW}) - {BITS[name]})" for name, test in (("hex", f"c.hit rlike '^[0-9a-fA-F]+$' and {has('0-9')} and {has('a-fA-F')}"), ("mixed", f"{has('0-9')} and {has('a-z')} and {has('A-Z')}"), ("lower_digit", f"{has('0-9')} and {has('a-z')}"), ("upper_digit", f"{has('0-9')} and {has('A-Z')}"), ("letters", f"{has('a-z')} and {has('A-Z')}")))
     # the state: counts by character, sum of c * log2(c), the open span, and the closed ones
     f = lambda n: f"element_at(array({', '.join(f'{i * __import__("math").log2(i) if i else 0.0}D' for i in range(WINDOW + 2))}), cast({n} as int) + 1)"
     code = lambda at: f"(ascii(substring(c.hit, {at}, 1)) - 31)"
+    counts = f"i >= {WINDOW} and t <= c.most + 1e-9D and substring(c.hit, i - {WINDOW - 1}, {WINDOW}) rlike '{TWO_SORTS}'"
     step = f"""transform(array(struct({code('i')} as x, if(i > {WINDOW}, {code(f'i - {WINDOW}')}, 0) as y)), q ->
       transform(array(if(q.x = q.y, s.total, s.total + {f('s.counts[q.x] + 1')} - {f('s.counts[q.x]')} + if(q.y = 0, 0D, {f('s.counts[q.y] - 1')} - {f('s.counts[q.y]')}))), t ->
-        struct(transform(s.counts, (n, k) -> n + if(k = q.x, 1, 0) - if(k = q.y and q.y > 0, 1, 0)) as counts, t as total,
-          if(i >= {WINDOW} and t <= c.most + 1e-9D, if(s.lo is null or i - {WINDOW} > s.hi, i - {WINDOW}, s.lo), s.lo) as lo,
-          if(i >= {WINDOW} and t <= c.most + 1e-9D, i, s.hi) as hi,
-          if(i >= {WINDOW} and t <= c.most + 1e-9D and s.lo is not null and i - {WINDOW} > s.hi, concat(s.done, array(struct(s.lo as lo, s.hi as hi))), s.done) as done))[0])[0]"""
+        transform(array({counts}), ok ->
+          struct(transform(s.counts, (n, k) -> n + if(k = q.x, 1, 0) - if(k = q.y and q.y > 0, 1, 0)) as counts, t as total,
+            if(ok, if(s.lo is null or i - {WINDOW} > s.hi, i - {WINDOW}, s.lo), s.lo) as lo,
+            if(ok, i, s.hi) as hi,
+            if(ok and s.lo is not null and i - {WINDOW} > s.hi, concat(s.done, array(struct(s.lo as lo, s.hi as hi))), s.done) as done))[0])[0])[0]"""
     empty = "cast(array() as array<struct<lo:int,hi:int>>)"
     spans = f"""aggregate(sequence(1, length(c.hit)), struct(array_repeat(0, 97) as counts, 0D as total, cast(null as int) as lo, cast(null as int) as hi, {empty} as done), (s, i) -> {step}, s -> if(s.lo is null, s.done, concat(s.done, array(struct(s.lo as lo, s.hi as hi)))))"""
     classed = f"transform(array(c), c -> struct(c.start as start, c.hit as hit, case {limit} end as most))[0]"
