@@ -290,6 +290,20 @@ def test_html_wrappers_are_no_noise(spark, page):
     assert html_extract.extract(pages).first().text == "text"
 
 
+def test_html_slots_without_constants(spark):
+    menu, notice = "Home News About us", "All rights are with the publisher, and no part of this page may be copied."
+    own = [f"Story {k} begins here." for k in range(8)]
+    pages = [f'<body><article id="a{k % 3}"><div>{menu}</div><p>{t}</p><p>It goes on {k}.</p><p>{notice}</p></article><article id="b"><p>Second part {k}.</p></article></body>' for k, t in enumerate(own)]
+    rows = [(k, "http://h/1", p) for k, p in enumerate(pages)] + [(100, "http://one/1", pages[0]), (101, "http://one/2", pages[0]), (102, "http://same/1", "<body><p>All.</p></body>")]
+    rows += [(200 + k, "http://same/2", "<body><p>All.</p><!-- %d --></body>" % k) for k in range(6)] + [(300 + k, "http://copy/1", pages[1]) for k in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, t in enumerate(own):
+        assert got[k] == f"{t}\nIt goes on {k}.\nSecond part {k}."
+    for k, t in ((100, own[0]), (101, own[0]), (300, own[1])):
+        assert got[k].split("\n")[:2] == [menu, t] and notice in got[k]
+    assert got[102] == got[200] == "All."
+
+
 def test_wrapper_is_union_free():
     a, b = (html_extract.shape(html_extract.parse(x)) for x in ("<body><nav>m</nav><p>a<p>b</body>", "<body><p>c<aside>z</aside></body>"))
     body = html_extract.merge(a, b)[3][0]

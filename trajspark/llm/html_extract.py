@@ -8,10 +8,14 @@ pages become slots.  Aligning two trees, or a tree and a wrapper, is the same st
 are inferred per batch of pages, in parallel, and merged by host; a hot host sends one small
 wrapper for each batch, merged in two levels.
 
-The wrapper tells where a host's pages keep their content: the first of article, main, an
-element marked as content, or body that it has; pages are then read along it, and the slots under
-elements marked as menus, headers, footers, sidebars, notices, adverts, forms, comments of
-readers, scripts or styles are left out.  A name marks an element only as a whole (has-sidebar is
+The wrapper tells where a host's pages keep their content: all elements of the best rank of
+article, main, elements marked as content, or body that it has.  Each page is then aligned with
+its host's wrapper, and the slots under these elements are read.  A text that LEAST distinct pages
+and SHARE of those with its place in the wrapper have there is a constant, not a slot, and is left
+out, unless a page has nothing else; pages that differ in their HTML are distinct, so
+near copies on most pages of a host count as constants too.  Elements marked as menus,
+headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts or styles are left
+out.  A name marks an element only as a whole (has-sidebar is
 a state, not a sidebar); html, body and main are never left out, nor is an element that holds the
 only article, main or content element of a page.  A page that lacks the host's content element is read by
 its own.  Blocks are joined by a line feed in page order, white space within a block becomes
@@ -23,6 +27,7 @@ each; an empty table gives an empty result; other columns are carried by `extrac
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -38,6 +43,7 @@ from ._tables import arrow_rows, cut
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*>?)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+NUMBER = re.compile(r"\d+")
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {"html", "head", "body", "article", "main", "section", "div", "nav", "header", "footer", "aside", "form", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "fieldset", "select", "button", "label", "dialog", "menu"}
@@ -52,6 +58,8 @@ CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article(?:-?body)?|content|post(?:-?
 CLOSES = {**{t: {"p"} for t in BLOCK - {"label", "button", "select"}}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}}
 #: Wrappers up to which all are broadcast as one table.
 BROADCAST_HOSTS = 20_000
+#: A text is a constant of its place in the wrapper if at least LEAST distinct pages have it there, and SHARE of those that have the place.
+LEAST, SHARE = 4, 0.8
 
 
 class Node:
@@ -98,6 +106,8 @@ def parse(page: str) -> Node:
         while len(stack) > 1 and stack[-1].tag in CLOSES.get(tag, ()):
             stack.pop()
         names = {k.lower(): v.strip("\"'") for k, v in NAMED.findall(m[3])} if m[3] else {}
+        if names:  # numbers, and ids of articles, name the page, not the place
+            names = {k: NUMBER.sub("#", v) for k, v in names.items() if k != "id" or tag != "article"}
         node = Node(" ".join([tag, *(f"{k}={names[k]}" for k in ("class", "id", "role") if k in names)]), tag)
         stack[-1].children.append(node)
         stack.append(node)
@@ -179,21 +189,31 @@ def noisy(label: str) -> bool:
     return tag in NOISE_TAGS or any(NOISE_NAME.fullmatch(x) for x in _names(label))
 
 
-def content_label(wrapper: list) -> str:
-    """The label of the content element: the best in rank, outermost and first."""
-    best, todo = (9, ""), [wrapper]
-    while todo:
-        label, _, _, kids = todo.pop(0)
-        if label and not noisy(label) and (r := _rank(label)) < best[0]:
-            best = (r, label)
-        todo += [k for k in kids if not k[0] or not noisy(k[0])]
-    return best[1]
+def content_rank(wrapper: list) -> int:
+    """The best rank of the content elements outside noise."""
+    label, _, _, kids = wrapper
+    return min([_rank(label) if label else 9, *(content_rank(k) for k in kids if not noisy(k[0]))])
 
 
-def _roots(node: Node, label: str) -> list[Node]:
-    if node.label == label:
-        return [node]
-    return [r for c in node.children if not isinstance(c, str) and not noisy(c.label) for r in _roots(c, label)]
+def _align(node: Node, wrapper: list | None, at: str = "") -> Iterator[tuple[Node, list | None, str]]:
+    """The child elements of a node with their parts of the wrapper and their places in it."""
+    kids, k = wrapper[3] if wrapper else [], 0
+    for c in node.children:
+        if isinstance(c, str):
+            continue
+        k = next((i for i in [*range(k, len(kids)), *range(k)] if kids[i][0] == c.label), -1) if kids else -1
+        yield (c, kids[k], f"{at}/{k}") if k >= 0 else (c, None, f"{at}/{c.label}")
+        k = max(k, 0)
+
+
+Part = tuple[Node, "list | None", str]
+
+
+def _roots(part: Part, rank: int) -> list[Part]:
+    """The outermost elements of a content rank outside noise."""
+    if _rank(part[0].label) == rank:
+        return [part]
+    return [r for c in _align(*part) if not noisy(c[0].label) for r in _roots(c, rank)]
 
 
 def _best(node: Node) -> int:
@@ -201,44 +221,70 @@ def _best(node: Node) -> int:
     return min([_rank(node.label), *(_best(c) for c in node.children if not isinstance(c, str))])
 
 
-def _ranked(node: Node, rank: int) -> list[Node]:
+def _ranked(part: Part, rank: int) -> list[Part]:
     """The outermost elements of a content rank, noise or not."""
-    return [node] if _rank(node.label) == rank else [r for c in node.children if not isinstance(c, str) for r in _ranked(c, rank)]
+    return [part] if _rank(part[0].label) == rank else [r for c in _align(*part) for r in _ranked(c, rank)]
 
 
-def _read(roots: list[Node], opened: bool = False) -> str:
-    """The blocks under the roots; if opened, noise that holds a content element is read too."""
-    blocks: list[list[str]] = [[]]
+def _read(roots: list[Part], opened: bool = False) -> list[tuple[str, str]]:
+    """(place in the wrapper, text) of the blocks under the roots; if opened, noise that holds a content element is read too."""
+    blocks: list[tuple[str, list[str]]] = []
 
-    def read(node: Node) -> None:
-        blocks.append([])
+    def read(node: Node, wrapper: list | None, at: str) -> None:
+        blocks.append((at, []))
+        aligned = _align(node, wrapper, at)
         for c in node.children:
             if isinstance(c, str):
-                blocks[-1].append(c)
-            elif not noisy(c.label) or opened and _best(c) <= 2:
-                read(c)
-                blocks.append([])
+                blocks[-1][1].append(c)
+                continue
+            part = next(aligned)
+            if not noisy(c.label) or opened and _best(c) <= 2:
+                read(*part)
+                blocks.append((at, []))
 
     for r in roots:
-        read(r)
-    lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks if b)
-    return "\n".join([x for x in lines if x])
+        read(*r)
+    lines = ((at, " ".join(html.unescape("".join(b)).split())) for at, b in blocks if b)
+    return [x for x in lines if x[1]]
 
 
-def main_text(page: str | None, label: str = "") -> str:
-    """The blocks of a page under its content elements."""
+def content_blocks(page: str | None, wrapper: list | None = None, rank: int = 9) -> list[tuple[str, str]]:
+    """(place in the wrapper, text) of the blocks of a page under its content elements, all those of the
+    host's content rank; a page without any is read by its own best rank."""
     if not page:
-        return ""
+        return []
     tree = parse(page)
-    roots = _roots(tree, label) if label else []
-    if not roots or _rank(label) > 2:
-        label = content_label(shape(tree))
-        roots = _roots(tree, label) if label else [tree]
-    text = _read(roots)
-    if text and _rank(label) <= 2 or (best := _best(tree)) > 2:
-        return text
+    whole = (tree, wrapper, "")
+    roots = _roots(whole, rank) if rank <= 2 else []
+    if not roots:
+        rank = content_rank(shape(tree))
+        roots = _roots(whole, rank) if rank < 9 else [whole]
+    blocks = _read(roots)
+    if blocks and rank <= 2 or (best := _best(tree)) > 2:
+        return blocks
     # content elements, if any, stand in elements marked as noise
-    return _read(roots, opened=True) if text else _read(_ranked(tree, best), opened=True)
+    return _read(roots, opened=True) if blocks else _read(_ranked(whole, best), opened=True)
+
+
+def _key(at: str, text: str | None = None) -> int:
+    """A number for a place, or for a text at a place."""
+    return int.from_bytes(hashlib.blake2b((at if text is None else f"{at} {text}").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def main_text(page: str | None, wrapper: list | None = None, rank: int = 9, constants: frozenset = frozenset()) -> str:
+    """The slots of a page: its content blocks without the host's constants; all blocks, if all are constants."""
+    blocks = content_blocks(page, wrapper, rank)
+    slots = [t for at, t in blocks if _key(at, t) not in constants] if constants else []
+    return "\n".join(slots or [t for _, t in blocks])
+
+
+def _parsed(wrappers: dict, w: str | None) -> tuple[list | None, int]:
+    """A wrapper read from JSON, and its content rank."""
+    if w not in wrappers:
+        if len(wrappers) > 1_000:
+            wrappers.clear()
+        wrappers[w] = (None, 9) if w is None else (x := json.loads(w), content_rank(x))
+    return wrappers[w]
 
 
 def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,27 +321,52 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return first.groupBy("host").applyInPandas(_merge_all, "host string, wrapper string")
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, place, key, page) of each place that a page has (key null) and each text there."""
+    wrappers: dict = {}
+    for batch in batches:
+        rows = set()
+        for host, page, w in zip(*(batch.column(c).to_pylist() for c in ("__host", "html", "wrapper")), strict=True):
+            if page:
+                name = _key(page)
+                for at, t in content_blocks(page, *_parsed(wrappers, w)):
+                    rows |= {(host, p := _key(at), None, name), (host, p, _key(at, t), name)}
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["host", "place", "key", "page"])
+
+
+def infer_constants(source: DataFrame) -> DataFrame:
+    """(host, constants): the keys of the texts that enough distinct pages of source(__host, html, wrapper) have at the same place."""
+    found = source.select("__host", "html", "wrapper").mapInArrow(_places, "host string, place long, key long, page long")
+    n = found.distinct().groupBy("host", "place", "key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    pages = n.where("key is null").select("host", "place", F.col("n").alias("of"))
+    fixed = n.where("key is not null").join(pages, ["host", "place"]).where(F.col("n") >= SHARE * F.col("of"))
+    return fixed.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("constants"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """pages without html, with text string and n_chars long."""
-    spark = pages.sparkSession
     wrappers = cut(infer_wrappers(pages))
     kept = [c for c in pages.columns if c not in ("html", "text", "n_chars", "wrapper")]
-    source = pages.select(*kept, F.col("html").cast("string"), _host().alias("__host"))
     few = wrappers.count() <= BROADCAST_HOSTS
+    beside = lambda df, side: df.join(F.broadcast(side) if few else side, "__host", "left")
     side = wrappers.withColumnRenamed("host", "__host")
-    source = source.join(F.broadcast(side) if few else side, "__host", "left").select(*kept, "html", "wrapper")
+    source = pages.select(*kept, F.col("html").cast("string"), _host().alias("__host"))
+    constants = cut(infer_constants(beside(source, side)))
+    source = beside(source, side.join(constants.withColumnRenamed("host", "__host"), "__host", "left")).select(*kept, "html", "__host", "wrapper", "constants")
     schema = pages.select(*kept).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels: dict[str | None, str] = {None: ""}
+        wrappers: dict = {}
+        fixed: dict[str, frozenset] = {}
         for batch in batches:
             texts = []
-            for page, w in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-                if w not in labels:
-                    if len(labels) > 10_000:
-                        labels = {None: ""}
-                    labels[w] = content_label(json.loads(w))
-                texts.append(main_text(page, labels[w]))
+            for i, (page, w, host) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "__host")), strict=True)):
+                if host not in fixed:
+                    if len(fixed) > 1_000:
+                        fixed.clear()
+                    fixed[host] = frozenset(batch.column("constants")[i].as_py() or ())
+                texts.append(main_text(page, *_parsed(wrappers, w), fixed[host]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*kept, "text", "n_chars"])
 
     return source.mapInArrow(run, schema)
