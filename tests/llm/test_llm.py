@@ -342,6 +342,62 @@ def test_media_round_trip(spark, docs, texts):
     assert media_avi.clips_of(media).count() >= len(texts)
 
 
+def jvm_jpeg(spark, rgb, grey=False):
+    """A JPEG by Java's own writer: colour as YCbCr with halved colour planes."""
+    jvm = spark.sparkContext._jvm
+    h, w, _ = rgb.shape
+    image = jvm.java.awt.image.BufferedImage(w, h, 10 if grey else 1)
+    flat = spark.sparkContext._gateway.new_array(jvm.int, h * w)
+    for i, (r, g, b) in enumerate(rgb.reshape(-1, 3).tolist()):
+        flat[i] = r << 16 | g << 8 | b
+    if grey:
+        for i, v in enumerate(rgb[:, :, 0].ravel().tolist()):
+            image.getRaster().setSample(i % w, i // w, 0, v)
+    else:
+        image.setRGB(0, 0, w, h, flat, 0, w)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+def foreign_avi(frames, fps=10):
+    chunk = lambda name, data: name + len(data).to_bytes(4, "little") + data + bytes(len(data) % 2)
+    head = chunk(b"LIST", b"hdrl" + chunk(b"avih", (1_000_000 // fps).to_bytes(4, "little") + bytes(52)))
+    return chunk(b"RIFF", b"AVI " + head + chunk(b"LIST", b"INFO" + chunk(b"ISFT", b"other")) + chunk(b"LIST", b"movi" + b"".join(chunk(b"00dc", f) for f in frames)))
+
+
+def test_media_of_other_writers(spark):
+    y, x = np.mgrid[:37, :51]
+    dark = np.stack([x, y * 2, 60 + 0 * x], 2)
+    bright = np.stack([255 - x, 200 + y, 180 + 0 * x], 2)
+    jpegs = {}
+    for name, rgb in (("dark", dark), ("bright", bright)):
+        jpegs[name] = jvm_jpeg(spark, rgb)
+        blocks, seg = media_avi.decode_blocks(jpegs[name])
+        assert len(seg["parts"]) == 3 and seg["grid"] == (2, 2)
+        got = media_avi.luma(blocks, seg)
+        assert got.shape == (37, 51) and np.abs(got - rgb @ [0.299, 0.587, 0.114]).max() < 8
+    grey = media_avi.luma(*media_avi.decode_blocks(jvm_jpeg(spark, dark, grey=True)))
+    assert grey.shape == (37, 51) and np.abs(grey - dark[:, :, 0]).max() < 8
+    # motion-JPEG frames may lack the usual Huffman tables
+    bare, at = b"", 2
+    while jpegs["dark"][at + 1] != 0xDA:
+        end = at + 2 + int.from_bytes(jpegs["dark"][at + 2 : at + 4], "big")
+        bare += jpegs["dark"][at:end] if jpegs["dark"][at + 1] != 0xC4 else b""
+        at = end
+    bare = b"\xff\xd8" + bare + jpegs["dark"][at:]
+    assert len(bare) < len(jpegs["dark"])
+    assert (media_avi.decode_blocks(bare)[0] == media_avi.decode_blocks(jpegs["dark"])[0]).all()
+    with pytest.raises(ValueError):
+        media_avi.decode_blocks(jpegs["dark"][: len(jpegs["dark"]) * 3 // 4] + b"\xff\xd9")
+    file = foreign_avi([bare] * 6 + [jpegs["bright"]] * 4)
+    media = spark.createDataFrame([(1, 5, file), (2, 0, media_avi.pack_bytes(bytes(64)))], "doc_id long, n_bytes long, media binary")
+    clips = sorted(tuple(r) for r in media_avi.clips_of(media).collect())
+    assert clips == [(1, 0, 0, 6, 0.0, 0.6), (1, 1, 6, 10, 0.6, 1.0), (2, 0, 0, 1, 0.0, 0.04)]
+    row, own = media_avi.media_digests(media).orderBy("doc_id").collect()
+    assert row.payload_bytes is row.payload_sha256 is row.tail_crc32 is None and row.feature.startswith("10x51x37;shots=0-6,6-10;") and own.payload_bytes == 64
+
+
 def test_shots_cut_where_the_histogram_jumps():
     h = np.zeros((30, 16), int)
     h[:12, 2], h[12:, 9] = 100, 100

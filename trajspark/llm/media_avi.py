@@ -6,11 +6,14 @@ coefficient of a 64-coefficient block, so storage is lossless.  A byte becomes a
 that fits its place (the first coefficient is coded as a difference; the others are never 0),
 and the Huffman tables give a value of s bits a code of 9 - s, so that every coefficient takes
 9 bits and frames are coded and decoded as whole arrays.  Frames with other tables, as other
-writers make them, are decoded coefficient by coefficient.
+writers make them, are decoded coefficient by coefficient: baseline images of 8 bits, grey or of
+three components under any sampling, of which the first (luma) is kept, in one scan or one for
+each component; the usual Huffman tables stand in for missing ones.
 
 `unpack` reads RIFF chunks and the idx1 index (or the movi list, where there is none) and
 gives the payload back; `clips_of` decodes frames to pixels and cuts shots where the change
-of the brightness histogram stands out from the changes before it, yielding timed clips.
+of the brightness histogram stands out from the changes before it, yielding timed clips.  Files
+of other writers have no payload; their digests have nulls for it.
 
 Payloads are zero-padded to a positive multiple of 64; the last frame is padded with blocks,
 and an INFO comment holds the payload's length.  Null and empty texts give one block of
@@ -24,6 +27,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +69,24 @@ def _table(kind: int, sizes: range) -> bytes:
 
 
 TABLES = _table(0x00, range(0, 9)) + _table(0x10, range(1, 9))
+
+
+def _standard() -> dict[int, tuple[bytes, bytes]]:
+    """The usual Huffman tables, which motion-JPEG frames may leave out."""
+
+    def rest(head: str, rows: tuple[tuple[int, int], ...]) -> bytes:
+        return bytes.fromhex(head) + bytes(16 * run + size for run, low in rows for size in range(low, 11))
+
+    return {
+        0x00: (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12))),
+        0x01: (bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]), bytes(range(12))),
+        0x10: (bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]), rest("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282", ((0, 9), (1, 6), (2, 5), (3, 4), (4, 3), (5, 3), (6, 3), (7, 3), (8, 3), (9, 2), (10, 2), (11, 2), (12, 2), (13, 2), (14, 1), (15, 1)))),
+        0x11: (bytes([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119]), rest("000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1", ((1, 7), (2, 6), (3, 5), (4, 3), (5, 3), (6, 3), (7, 3), (8, 2), (9, 2), (10, 2), (11, 2), (12, 2), (13, 2), (14, 2), (15, 2)))),
+    }
+
+
+STANDARD = _standard()
+
 _COS = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
 #: Coefficients in zigzag order to pixels.
 TO_PIXELS = np.stack([np.outer(_COS[p // 8], _COS[p % 8]).ravel() for p in ZIGZAG])
@@ -155,18 +177,35 @@ def read_avi(media: bytes) -> dict:
         at = movi[0] + 4
         while at + 8 <= movi[1]:
             name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
+            if name == b"LIST":  # frames in groups
+                at += 12
+                continue
             if name[2:4] in (b"dc", b"db") and size:
                 out["frames"].append(media[at + 8 : at + 8 + size])
             at += 8 + size + size % 2
     return out
 
 
+def _scan_end(jpeg: bytes, at: int) -> int:
+    """Where the image data from `at` on end: at a marker that is no restart."""
+    while (at := jpeg.find(b"\xff", at)) >= 0 and at + 1 < len(jpeg):
+        if jpeg[at + 1] and not 0xD0 <= jpeg[at + 1] <= 0xD7:
+            return at
+        at += 2
+    raise ValueError("image data without an end")
+
+
 def _segments(jpeg: bytes) -> dict:
-    out: dict = {"quant": {}, "huff": {}, "raw_huff": b"", "restart": 0}
+    """The tables of a frame, and the scan that holds its first component (grey or luma)."""
+    out: dict = {"quant": {}, "huff": dict(STANDARD), "raw_huff": b"", "restart": 0}
     at = 2
     if jpeg[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG image")
     while True:
+        while jpeg[at : at + 2] == b"\xff\xff":
+            at += 1
+        if at + 4 > len(jpeg) or jpeg[at] != 0xFF or jpeg[at + 1] == 0xD9:
+            raise ValueError("an image without a scan")
         mark, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
         body = jpeg[at + 4 : at + 2 + size]
         if mark == 0xDB:
@@ -178,35 +217,56 @@ def _segments(jpeg: bytes) -> dict:
             out["raw_huff"] += jpeg[at : at + 2 + size]
             while body:
                 n = sum(body[1:17])
-                out["huff"][body[0]] = (list(body[1:17]), body[17 : 17 + n])
+                out["huff"][body[0]] = (body[1:17], body[17 : 17 + n])
                 body = body[17 + n :]
         elif mark == 0xDD:
             out["restart"] = struct.unpack(">H", body)[0]
         elif mark in (0xC0, 0xC1):
-            out["height"], out["width"], out["parts"] = struct.unpack_from(">HHB", body, 1)
+            out["height"], out["width"], n = struct.unpack_from(">HHB", body, 1)
+            # name: sampling factors across and down, quantiser
+            out["parts"] = {body[6 + 3 * k]: (body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)}
+            if body[0] != 8 or n not in (1, 3) or len(out["parts"]) != n:
+                raise ValueError("only images of 8 bits and one or three components are read")
+            out["first"] = body[6]
             out["table"] = body[8]
-            if body[0] != 8 or out["parts"] != 1:
-                raise ValueError("only greyscale images of 8 bits are read")
-        elif 0xC2 <= mark <= 0xCF and mark != 0xCC:
+        elif 0xC2 <= mark <= 0xCF and mark not in (0xC8, 0xCC):
             raise ValueError("only baseline images are read")
         at += 2 + size
         if mark == 0xDA:
-            out["select"] = body[2]
-            out["data"] = jpeg[at : jpeg.rfind(b"\xff\xd9")]
-            return out
+            if "parts" not in out:
+                raise ValueError("a scan before its frame")
+            scan = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
+            stop = _scan_end(jpeg, at)
+            if out["first"] in scan:
+                # the blocks of a unit: component, numbers of its tables
+                alone = len(scan) == 1
+                out["unit"] = [(name, tables) for name, tables in scan.items() for _ in range(1 if alone else out["parts"][name][0] * out["parts"][name][1])]
+                out["data"] = jpeg[at:stop]
+                most = [max(x[k] for x in out["parts"].values()) for k in (0, 1)]
+                h, v, _ = out["parts"][out["first"]]
+                # the size of the first component, and its blocks in a unit
+                out["size"] = (-(-out["width"] * h // most[0]), -(-out["height"] * v // most[1]))
+                out["grid"] = (1, 1) if alone else (h, v)
+                out["units"] = tuple(-(-n // (8 * g)) if alone else -(-full // (8 * m)) for n, g, full, m in zip(out["size"], out["grid"], (out["width"], out["height"]), most, strict=True))
+                return out
+            at = stop
+
+
+@lru_cache(64)
+def _book(lengths: bytes, symbols: bytes) -> list[tuple[int, int]]:
+    """Length and symbol of the code that the next 16 bits begin with; length 0 if none does."""
+    out, code, k = [(0, 0)] * 65536, 0, 0
+    for length, many in enumerate(lengths, 1):
+        for _ in range(many):
+            low = code << 16 - length
+            out[low : low + (1 << 16 - length)] = [(length, symbols[k])] * (1 << 16 - length)
+            code, k = code + 1, k + 1
+        code <<= 1
+    return out
 
 
 def _slow_blocks(seg: dict, n: int) -> np.ndarray:
-    """Coefficients of n blocks, symbol by symbol, under any Huffman tables."""
-    books = {}
-    for key, (lengths, symbols) in seg["huff"].items():
-        code, k, book = 0, 0, {}
-        for length, many in enumerate(lengths, 1):
-            for _ in range(many):
-                book[length, code] = symbols[k]
-                code, k = code + 1, k + 1
-            code <<= 1
-        books[key] = book
+    """Coefficients of the first component's n blocks, symbol by symbol, under any Huffman tables."""
     out, done = np.zeros((n, 64), np.int64), 0
     parts, cur, p = [], bytearray(), 0
     data = seg["data"]
@@ -221,46 +281,65 @@ def _slow_blocks(seg: dict, n: int) -> np.ndarray:
         else:
             cur.append(data[p])
             p += 1
+    try:
+        unit = [(name, name == seg["first"], _book(*seg["huff"][t >> 4]), _book(*seg["huff"][0x10 | t & 15])) for name, t in seg["unit"]]
+    except KeyError:
+        raise ValueError("no such Huffman table") from None
+    units = left = seg["units"][0] * seg["units"][1]
     for part in [*parts, bytes(cur)]:
-        bits, at, dc = "".join(f"{b:08b}" for b in part), 0, 0
+        bits, at, dc = "".join(f"{b:08b}" for b in part) + "1" * 16, 0, dict.fromkeys(seg["parts"], 0)
+        end = len(bits) - 16
 
         def value(size: int) -> int:
             nonlocal at
-            v = int(bits[at : at + size], 2) if size else 0
+            if not size:
+                return 0
+            v = int(bits[at : at + size] or "0", 2)
             at += size
-            return v if not size or v >> size - 1 else v - (1 << size) + 1
+            return v if v >> size - 1 else v - (1 << size) + 1
 
-        def symbol(book: dict) -> int:
+        def symbol(book: list) -> int:
             nonlocal at
-            code = 0
-            for length in range(1, 17):
-                if at >= len(bits):
-                    raise ValueError("image data end early")
-                code, at = code << 1 | (bits[at] == "1"), at + 1
-                if (length, code) in book:
-                    return book[length, code]
-            raise ValueError("no such Huffman code")
-
-        for _ in range(min(seg["restart"] or n, n - done)):
-            dc += value(symbol(books[seg["select"] >> 4]))
-            out[done, 0], k = dc, 1
-            while k < 64:
-                rs = symbol(books[0x10 | seg["select"] & 15])
-                if rs == 0:
-                    break
-                k += rs >> 4
-                if rs & 15:
-                    out[done, k] = value(rs & 15)
-                k += 1
-            done += 1
+            if at >= end:
+                raise ValueError("image data end early")
+            length, s = book[int(bits[at : at + 16], 2)]
+            if not length:
+                raise ValueError("no such Huffman code")
+            at += length
+            return s
+
+        for _ in range(min(seg["restart"] or units, left)):
+            left -= 1
+            for name, first, low, high in unit:
+                dc[name] += value(symbol(low))
+                k = 1
+                if first:
+                    out[done, 0] = dc[name]
+                while k < 64:
+                    rs = symbol(high)
+                    if rs == 0:
+                        break
+                    k += rs >> 4
+                    if rs & 15:
+                        if k > 63:
+                            raise ValueError("a block of too many coefficients")
+                        v = value(rs & 15)
+                        if first:
+                            out[done, k] = v
+                    k += 1
+                done += first
+            if at > end:
+                raise ValueError("image data end early")
+    if left:
+        raise ValueError("image data end early")
     return out
 
 
 def decode_blocks(jpeg: bytes) -> tuple[np.ndarray, dict]:
-    """Quantised coefficients of a frame's blocks in zigzag order, and its segments."""
+    """Quantised coefficients of the blocks of a frame's first component in zigzag order, and its segments."""
     seg = _segments(jpeg)
-    n = -(-seg["height"] // 8) * -(-seg["width"] // 8)
-    if seg["raw_huff"] != TABLES or seg["restart"]:
+    n = seg["units"][0] * seg["units"][1] * seg["grid"][0] * seg["grid"][1]
+    if seg["raw_huff"] != TABLES or seg["restart"] or len(seg["parts"]) > 1:
         return _slow_blocks(seg, n), seg
     coded = np.frombuffer(seg["data"].replace(b"\xff\x00", b"\xff"), np.uint8)
     if len(coded) != 72 * n:
@@ -290,9 +369,17 @@ def unpack_bytes(media: bytes) -> bytes:
     return raw[: int(avi["comment"][8:])]
 
 
-def _histogram(blocks: np.ndarray, seg: dict) -> np.ndarray:
+def luma(blocks: np.ndarray, seg: dict) -> np.ndarray:
+    """The pixels of a frame's first component, rows by columns, without the blocks' padding."""
+    if seg["table"] not in seg["quant"]:
+        raise ValueError("no such quantiser")
     pixels = np.clip(np.rint((blocks * seg["quant"][seg["table"]]) @ TO_PIXELS + 128), 0, 255).astype(np.int64)
-    return np.bincount((pixels * BINS >> 8).ravel(), minlength=BINS)
+    (across, down), (h, v), (width, height) = seg["units"], seg["grid"], seg["size"]
+    return pixels.reshape(down, across, v, h, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(down * v * 8, across * h * 8)[:height, :width]
+
+
+def _histogram(blocks: np.ndarray, seg: dict) -> np.ndarray:
+    return np.bincount((luma(blocks, seg) * BINS >> 8).ravel(), minlength=BINS)
 
 
 def shots(histograms: np.ndarray) -> list[tuple[int, int]]:
@@ -307,20 +394,22 @@ def shots(histograms: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], len(share)], strict=True)) if len(share) else []
 
 
-def read_media(media: bytes) -> tuple[bytes, list[tuple[int, int]], float, str]:
-    """Payload, shots, frames a second and a feature line, decoding each frame once."""
+def read_media(media: bytes, payload: bool = True) -> tuple[bytes | None, list[tuple[int, int]], float, str]:
+    """Payload (None in files of other writers, or if not asked for), shots, frames a second and a feature line, decoding each frame once."""
     avi = read_avi(media)
+    payload = payload and avi["comment"].startswith("payload=")
     raw, histograms, size = [], [], (0, 0)
     for f in avi["frames"]:
         blocks, seg = decode_blocks(f)
-        raw.append(_payload(blocks).tobytes())
+        if payload:
+            raw.append(_payload(blocks).tobytes())
         histograms.append(_histogram(blocks, seg))
         size = (seg["width"], seg["height"])
-    table = np.array(histograms)
+    table = np.array(histograms).reshape(-1, BINS)
     cuts = shots(table)
     total = ",".join(map(str, table.sum(0).tolist()))
-    feature = f"{len(raw)}x{size[0]}x{size[1]};shots={','.join(f'{a}-{b}' for a, b in cuts)};luma={total}"
-    return b"".join(raw)[: int(avi["comment"][8:])], cuts, avi["fps"], feature
+    feature = f"{len(table)}x{size[0]}x{size[1]};shots={','.join(f'{a}-{b}' for a, b in cuts)};luma={total}"
+    return b"".join(raw)[: int(avi["comment"][8:])] if payload else None, cuts, avi["fps"], feature
 
 
 def pack(docs: DataFrame) -> DataFrame:
@@ -343,7 +432,7 @@ def clips_of(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, n, a, b, a / fps, b / fps) for k, m in zip(batch.column(key).to_pylist(), batch.column("media").to_pylist(), strict=True) if m is not None for _, cuts, fps, _ in [read_media(m)] for n, (a, b) in enumerate(cuts)]
+            rows = [(k, n, a, b, a / fps, b / fps) for k, m in zip(batch.column(key).to_pylist(), batch.column("media").to_pylist(), strict=True) if m is not None for _, cuts, fps, _ in [read_media(m, payload=False)] for n, (a, b) in enumerate(cuts)]
             types = (batch.schema.field(key).type, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [key, "clip", "start_frame", "end_frame", "start_s", "end_s"])
 
@@ -359,7 +448,8 @@ def media_digests(media: DataFrame) -> DataFrame:
             rows = []
             for m in batch.column("media").to_pylist():
                 payload, _, _, feature = read_media(m)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
+                of = (None,) * 3 if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+                rows.append((*of, len(m), hashlib.sha256(m).hexdigest(), feature))
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], list(fields))
 
