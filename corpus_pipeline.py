@@ -15,13 +15,28 @@ from trajspark.llm._tables import cut
 
 #: Ids up to which the rows to drop are broadcast (16 MB); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: The column of row numbers within a stage.
+ROW = "__row"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids."""
-    ids = cut(ids.select(F.col("doc_id").alias("gone")).distinct())
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, docs.doc_id == side.gone, "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of each row, ascending with doc_id: the doc_id itself where that is a key."""
+    size = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    if size["n"] == size["d"]:
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    return cut(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    """What operators read of numbered rows: the number as doc_id, and the text."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Numbered rows without those whose numbers are the doc_ids of found, and without numbers."""
+    gone = cut(found.select(F.col("doc_id").alias("gone")).distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return rows.join(side, rows[ROW] == side.gone, "left_anti").drop(ROW)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,19 +53,17 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, similarity 0.8) the least doc_id stays."""
-    found = cut(ngram_join.ngram_jaccard(docs, n_words=5, num=80, den=100).select("doc_id", "component_id"))
-    out = _without(docs, found.where("component_id <> doc_id"))
-    size = found.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    if size["n"] == size["d"]:
-        return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    """Of each component of near copies (five-word shingles, similarity 0.8) the row of the least doc_id stays."""
+    rows = _numbered(docs)
+    found = ngram_join.ngram_jaccard(_texts(rows), n_words=5, num=80, den=100)
+    return _without(rows, found.where("component_id <> doc_id"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with passages of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontamination.decontaminate(docs, items).where("contaminated"))
+    rows = _numbered(docs)
+    return _without(rows, decontamination.decontaminate(_texts(rows), items).where("contaminated"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

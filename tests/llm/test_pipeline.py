@@ -16,3 +16,15 @@ def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert 0.5 * docs < out.count() < docs and out.where("not round_trip").count() == 0
+
+
+def test_rows_are_dropped_one_by_one(spark, sf_dir):
+    words = [f"word{k} of{k} story{k}" for k in range(60)]
+    copy, other, third = (" ".join(words[k : k + 20]) for k in (0, 20, 40))
+    leak = next(r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if r.text and len(r.text.split()) > 12)
+    rows = [(7, copy), (3, copy), (7, other), (None, copy), (None, third), (None, third), (7, leak), (None, leak + " x"), (9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda stage: sorted(((r.doc_id or -1, r.text or "") for r in stage(spark, docs, sf_dir).collect()))
+    near = kept(corpus_pipeline.keep_one_of_near_copies)
+    assert [x for x in near if not x[1].startswith(leak)] == sorted([(3, copy), (7, other), (-1, third), (9, ""), (9, "")])
+    assert kept(corpus_pipeline.drop_leaks) == sorted((i or -1, t or "") for i, t in rows if leak not in (t or ""))
