@@ -95,3 +95,10 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("so {\"a\": 1} end",), ("none",), ("<think>t</think> rest",)], "t string")
     got = df.select(T.salvage_json(F.col("t")), *T.split_think(F.col("t"))).collect()
     assert got[0][0] == '{"a": 1}' and got[1][0] is None and (got[2][1], got[2][2]) == ("t", "rest")
+
+
+def test_every_vector_starts_a_walk(spark, sf_dir):
+    from trajspark import plans
+
+    seeds = plans.QUERIES["sample_chain"](spark, sf_dir).where("step = 0")
+    assert seeds.count() == seeds.select("seed").distinct().count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
