@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for cut tables: spark.checkpoint.dir, or one of our own if unset."""
+    """The shared folder for cut tables: spark.checkpoint.dir; on one machine, a folder of our own if unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = f"file://{tempfile.mkdtemp(prefix='cut-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -36,9 +38,33 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows to an Arrow batch than the default, for texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def numbered(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows(key, text, ...) with row_id, a number of each row that no later scan changes and that ascends
+    with the key: the key itself where it is one, else a number given once and written down."""
+    size = rows.agg(F.count("*").alias("n"), F.count_distinct(key).alias("d")).first()
+    if size["n"] == size["d"]:
+        return rows.withColumn("row_id", F.col(key).cast("long"))
+    return cut(rows.orderBy(F.col(key).asc_nulls_last(), F.xxhash64("text")).withColumn("row_id", F.monotonically_increasing_id()))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """left joined with right, which has each key once and, in column n, the number of its rows in left.
+
+    Keys of more than a thousandth of these rows, at most 1000 of them, are broadcast; no other
+    key can burden one task.  Column n is dropped."""
+    right = cut(right)
+    total = right.agg(F.sum(n)).first()[0] or 0
+    often = F.col(n) * 1000 > total
+    hot = right.where(often).drop(n)
+    if not hot.limit(1).count():
+        return left.join(right.drop(n), keys)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(hot), keys).unionByName(rest.join(right.where(~often).drop(n), keys))
+
+
+def arrow_rows(spark: SparkSession) -> None:
+    """Fewer rows to an Arrow batch than the default, for texts are long; the same for all operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def components(edges: DataFrame) -> DataFrame:

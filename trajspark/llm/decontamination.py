@@ -2,18 +2,24 @@
 
 Symbols are words (A-Z lower-cased, then runs of digits, letters and bytes over 7F).  The
 patterns are the windows of `size` consecutive words of every test item; an item of fewer
-words is one pattern.  Patterns of one length m are searched together: blocks of B words
-(2, or 1 if m is 1) that occur in no pattern let the search skip m - B + 1 positions, so
-only every such block is looked up.  For a block that does occur, its table entry says at
-which places of a pattern; the word sequences starting there are looked up by their hash,
-and the bucket's patterns are compared word for word.
-
-The pattern tables are built on the driver in blocks of at most BLOCK_BYTES of test text
-each, by doc order of items, and broadcast one block at a time; every block meets all rows.
-
-Null and empty texts and items have no words.  Repeated items count by their item_id;
-repeated documents are searched each.  Empty tables give no hits or no rows.  Whole texts are
-searched whatever their length.  Columns other than doc_id, text, item_id are carried or ignored.
+words is one pattern.  Patterns of one length m are searched together:
+
+1. SHIFT: for each block of B words (2, or 1 if m is 1) how far the search may move on when a
+   window of the text ends with it: the least distance from the block to the end of any
+   pattern, m - B + 1 if no pattern has it.
+2. A text's windows are walked by many cursors, LANE window ends each, that jump by the shifts
+   of the blocks they see; what lies between is never looked at.
+3. Where the shift is 0, the bucket of patterns that end with this block and begin with the
+   window's first block is compared word for word, and what is left byte for byte.
+
+Tables hold at most BLOCK_BYTES of test text.  A larger benchmark is searched in blocks, one
+after the other: the driver holds one of them, the hits of each are written to the shared
+folder, and meet again by a row number of the documents.
+
+Null and empty texts and items have no words; an item without an id is searched under ''.
+Repeated items count by their item_id; repeated documents, and rows with the same or no doc_id,
+are searched each.  Empty tables give no hits or no rows.  Whole texts are searched whatever
+their length.  Columns other than doc_id, text, item_id are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +34,11 @@ from pyspark.sql import functions as F
 
 from . import _arrays as A
 from ._arrays import U
-from ._tables import arrow_rows
+from ._tables import arrow_rows, cut, numbered
 
 BLOCK_BYTES = 8 << 20
+#: Window ends that one cursor walks.
+LANE = 128
 TO_WORDS = bytes(A.LOWER[b] if A.ALNUM[A.LOWER[b]] else 32 for b in range(256))
 PLACE = A.mix(np.arange(301, 366, dtype=np.uint64) * A.GOLD) | U(1)
 
@@ -53,48 +61,60 @@ def _sequence_hash(w: np.ndarray, start: np.ndarray, m: int) -> np.ndarray:
 
 
 class Tables:
-    """Shift and hash tables of the patterns of one length."""
+    """SHIFT, suffix buckets and patterns of one length."""
 
     def __init__(self, patterns: dict[tuple[bytes, ...], list[str]], m: int):
         self.m, self.b = m, min(2, m)
-        self.stride = m - self.b + 1
-        self.words = list(patterns)
-        self.items = [sorted(set(patterns[p])) for p in self.words]
-        w = _word_hashes([x for p in self.words for x in p]).reshape(-1, m)
-        flat, start = w.ravel(), np.arange(len(w)) * m
-        whole = _sequence_hash(flat, start, m)
-        self.order = np.argsort(whole, kind="stable")
-        self.hashes = whole[self.order]
-        blocks = np.concatenate([_sequence_hash(flat, start + j, self.b) for j in range(self.stride)])
-        place = np.repeat(np.arange(self.stride), len(w))
-        pairs = np.unique(np.stack([blocks, place.astype(U)]), axis=1)
-        self.blocks, self.first = np.unique(pairs[0], return_index=True)
-        self.first = np.append(self.first, pairs.shape[1])
-        self.places = pairs[1].astype(np.int64)
+        self.far = m - self.b + 1
+        words = list(patterns)
+        w = _word_hashes([x for p in words for x in p]).reshape(-1, m)
+        ends = _sequence_hash(w.ravel(), np.arange(len(w)) * m + m - self.b, self.b)
+        heads = _sequence_hash(w.ravel(), np.arange(len(w)) * m, self.b)
+        bucket = A.mix(ends * PLACE[60] + heads)
+        order = np.argsort(bucket, kind="stable")
+        self.buckets, self.hashes = bucket[order], w[order]
+        self.words = [words[k] for k in order.tolist()]
+        self.items = [sorted(set(patterns[x])) for x in self.words]
+        blocks = np.concatenate([_sequence_hash(w.ravel(), np.arange(len(w)) * m + j, self.b) for j in range(self.far)])
+        shift = np.repeat(self.far - 1 - np.arange(self.far), len(w))
+        by = np.lexsort((shift, blocks))
+        first = np.concatenate(([True], blocks[by][1:] != blocks[by][:-1])) if len(by) else np.zeros(0, bool)
+        self.blocks, self.shift = blocks[by][first], shift[by][first]
+
+    def shifts(self, block: np.ndarray) -> np.ndarray:
+        """The shift for each block: the table's, or the farthest for blocks that no pattern has."""
+        k = np.minimum(np.searchsorted(self.blocks, block), len(self.blocks) - 1)
+        return np.where(self.blocks[k] == block, self.shift[k], self.far)
+
+    def stops(self, w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Starts of the windows of rows bounds[i]..bounds[i+1] at whose ends the shift is 0."""
+        n = np.maximum(0, np.diff(bounds) - self.m + 1)
+        lanes = -(-n // LANE)
+        row = np.repeat(np.arange(len(n)), lanes)
+        nth = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        at = bounds[:-1][row] + nth * LANE
+        until = np.minimum(at + LANE, bounds[:-1][row] + n[row])
+        found = []
+        while len(at):
+            shift = self.shifts(_sequence_hash(w, at + self.m - self.b, self.b))
+            found.append(at[shift == 0])
+            at = at + np.maximum(1, shift)
+            on = at < until
+            at, until = at[on], until[on]
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
     def search(self, w: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts in w, and pattern numbers, of what may occur inside rows bounds[i]..bounds[i+1]."""
-        n = np.diff(bounds)
-        # in every row the blocks that start at stride - 1, 2 * stride - 1, ...: one of them is in each occurrence
-        count = np.maximum(0, (n - self.b + 1) // self.stride)
-        row = np.repeat(np.arange(len(n)), count)
-        at = bounds[:-1][row] + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1) * self.stride - 1
-        if not len(at):
-            return at, at
-        block = _sequence_hash(w, at, self.b)
-        k = np.minimum(np.searchsorted(self.blocks, block), len(self.blocks) - 1)
-        hit = np.flatnonzero(self.blocks[k] == block)  # every other block shifts the search by a whole stride
-        many = self.first[k[hit] + 1] - self.first[k[hit]]
-        which = np.repeat(hit, many)
-        place = self.places[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + self.first[k[which]]]
-        start, row = at[which] - place, row[which]
-        inside = (start >= bounds[row]) & (start + self.m <= bounds[row + 1])
-        start = np.unique(start[inside])
-        h = _sequence_hash(w, start, self.m)
-        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+        """Starts in w, and pattern numbers, of what occurs inside rows bounds[i]..bounds[i+1], by word hashes."""
+        at = self.stops(w, bounds)
+        bucket = A.mix(_sequence_hash(w, at + self.m - self.b, self.b) * PLACE[60] + _sequence_hash(w, at, self.b))
+        lo, hi = np.searchsorted(self.buckets, bucket, "left"), np.searchsorted(self.buckets, bucket, "right")
         many = hi - lo
-        bucket = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-        return np.repeat(start, many), self.order[bucket]
+        start = np.repeat(at, many)
+        pattern = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+        for j in range(self.m):
+            same = w[start + j] == self.hashes[pattern, j]
+            start, pattern = start[same], pattern[same]
+        return start, pattern
 
 
 def tables_of(items: list[tuple[str, str | None]], size: int) -> list[Tables]:
@@ -171,16 +191,29 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     spark = docs.sparkSession
     arrow_rows(spark)
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    items = items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null").orderBy("item_id", "text")
-    schema = "doc_id long, n_words long, runs array<long>, items array<string>"
-    parts = [text.mapInArrow(_search(spark.sparkContext.broadcast(tables_of(part, size))), schema) for part in _blocks(items)] or [text.mapInArrow(_search(spark.sparkContext.broadcast([])), schema)]
-    if len(parts) == 1:
-        return parts[0]
-    once = parts[0]
-    for p in parts[1:]:
-        once = once.union(p)
-    # rows of one document meet again; a repeated document keeps one row for each time it was given
-    return once.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.count("*").alias("times")).select("doc_id", "n_words", "runs", "items", F.explode(F.expr(f"sequence(1, cast(times / {len(parts)} as int))"))).drop("col")
+    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string")).orderBy("item_id", "text")
+    found = "n_words long, runs array<long>, items array<string>"
+    blocks = _blocks(items)
+    part, more = next(blocks, []), next(blocks, None)
+    if more is None:
+        return text.mapInArrow(_search(spark.sparkContext.broadcast(tables_of(part, size))), f"doc_id long, {found}")
+    rows = numbered(text)
+    hits = None
+    while part is not None:
+        shared = spark.sparkContext.broadcast(tables_of(part, size))
+        some = rows.select("row_id", "text").mapInArrow(_search(shared), f"row_id long, {found}")
+        if hits is None:
+            counts = some = cut(some)
+            counts = counts.select("row_id", "n_words")
+            some = some.where("size(runs) > 0")
+        else:
+            some = cut(some.where("size(runs) > 0"))
+        shared.destroy()
+        hits = some if hits is None else hits.union(some)
+        part, more = more, next(blocks, None)
+    hits = hits.groupBy("row_id").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    whole = rows.select("doc_id", "row_id").join(counts, "row_id").join(hits, "row_id", "left")
+    return whole.select("doc_id", "n_words", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("runs", "array<long>"), ("items", "array<string>"))))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
