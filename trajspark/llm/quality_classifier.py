@@ -6,12 +6,13 @@
    EM estimates how often each heuristic gives each vote in either class, and with that a
    posterior for each pattern.
 3. The posteriors of a bounded sample (SAMPLE documents, those with the least hash of
-   doc_id) train a logistic scorer on hashed word features; it scores every document.
+   doc_id and text) train a logistic scorer on hashed word features; it scores every document.
 
 Features count whole words of whole texts.  Null and empty texts have no votes and no
 features: they get the prior's side, which keeps them while most documents are good.
 Repeated rows are scored each; an empty table gives an empty result.  `classify` carries
-other columns along, renaming none; its own columns replace ones of the same name.
+other columns along, renaming none; its own columns replace ones of the same name in any case.
+`labellers` reports what EM estimated of the heuristics.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrays as A
-from ._tables import arrow_rows, cut
+from ._tables import arrow_rows
 
 U = np.uint64
 #: Most documents whose features are brought to the driver for training.
@@ -165,7 +166,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], bad: np.ndarray, prior: float
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = [votes(b, o) for _, _, b, o in A.groups(*A.text_buffer(batch.column("text")))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(parts) if parts else [], pa.int64())], ["doc_id", "pattern"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts) if parts else [], pa.int64())], ["pattern"])
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,32 +182,53 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["pattern", "feature", "value"])
 
 
+def counted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The vote patterns of all documents, and how many have each."""
+    arrow_rows(docs.sparkSession)
+    text = docs.select(F.col("text").cast("string"))
+    found = text.mapInArrow(_vote, "pattern long").groupBy("pattern").count().orderBy("pattern").toPandas()
+    return found["pattern"].to_numpy(np.int64), found["count"].to_numpy(float)
+
+
 def train(docs: DataFrame) -> tuple[dict[int, float], np.ndarray, float]:
     """Posteriors by vote pattern, and the scorer's weights and bias."""
-    arrow_rows(docs.sparkSession)
-    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    counted = text.mapInArrow(_vote, "doc_id long, pattern long").groupBy("pattern").count().orderBy("pattern").toPandas()
-    patterns = counted["pattern"].to_numpy(np.int64)
-    bad, _, prior = estimate(patterns, counted["count"].to_numpy(float))
+    patterns, counts = counted(docs)
+    bad, _, prior = estimate(patterns, counts)
     posterior = dict(zip(patterns.tolist(), bad.tolist(), strict=True))
-    total = int(counted["count"].sum())
-    order = F.xxhash64("doc_id")
-    if total > SAMPLE:  # the share of hashes that holds about 1.2 * SAMPLE rows, then the least of them
-        share = min(1.0, 1.2 * SAMPLE / total)
-        text = text.where(order < int(-(2**63) + share * (2**64 - 1)))
-    chosen = text.orderBy(order, "doc_id", F.xxhash64("text")).limit(SAMPLE)
-    rows = chosen.mapInArrow(_featurise, "pattern long, feature binary, value binary").collect()
+    total = int(counts.sum())
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order, share, rows = F.xxhash64("doc_id", "text"), 1.2 * SAMPLE / max(1, total), []
+    while len(rows) < min(SAMPLE, total):
+        # hashes under a bound that lets about 1.2 * SAMPLE rows pass, and the least of these; where
+        # many rows are alike and too few pass, a wider bound
+        some = text.where(order < int(-(2**63) + share * (2**64 - 1))) if share < 1 else text
+        rows = some.orderBy(order, "doc_id").limit(SAMPLE).mapInArrow(_featurise, "pattern long, feature binary, value binary").collect()
+        if share >= 1:
+            break
+        share *= 8
     rows.sort(key=lambda r: (r.pattern, r.feature, r.value))
     weights, bias = fit([(np.frombuffer(r.feature, "<i4"), np.frombuffer(r.value, "<f8")) for r in rows], np.array([posterior[r.pattern] for r in rows]), prior)
     return posterior, weights, bias
 
 
+def labellers(docs: DataFrame) -> DataFrame:
+    """(labeller, right_on_bad, right_on_good, votes_bad, votes_good): of the votes that each heuristic
+    gives in a class by EM, the share that names the class (null: it gives none), and the share of documents on which it votes."""
+    patterns, counts = counted(docs)
+    _, table, _ = estimate(patterns, counts)
+    rows = []
+    for k, (name, *_) in enumerate(LABELLERS):
+        said = table[:, k, 1:].sum(1)
+        rows.append((name, float(table[1, k, 2] / said[1]) if said[1] else None, float(table[0, k, 1] / said[0]) if said[0] else None, float(said[1]), float(said[0])))
+    return docs.sparkSession.createDataFrame(rows, "labeller string, right_on_bad double, right_on_good double, votes_bad double, votes_good double")
+
+
 def classify(docs: DataFrame) -> DataFrame:
     """docs with votes string (g, b or - for each heuristic), posterior and score double (both P(good)) and keep boolean."""
     posterior, weights, bias = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast((posterior, weights, bias))
     own = ["votes", "posterior", "score", "keep"]
-    kept = [c for c in docs.columns if c not in own]
+    kept = [c for c in docs.columns if c.lower() not in own]
     schema = docs.select(*kept).schema.add("votes", "string").add("posterior", "double").add("score", "double").add("keep", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
