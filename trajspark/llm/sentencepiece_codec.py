@@ -2,6 +2,9 @@
 
 The pieces and their scores are read from a public model file whose path is a parameter;
 the driver builds the trie once and broadcasts it (its size is bounded by the vocabulary).
+A unigram model's scores are log probabilities and serve as they are.  A BPE model's are minus
+the ranks of its merges; log probabilities follow from these without any text (`log_scores`),
+for tokenizers are not trained here.
 Whitespace: a marker stands for each space and for the start of a non-empty text; decoding
 turns markers back and drops the first.  A marker in the input counts as a space, as in the
 model's own normalisation.  A character that no piece covers costs the least score less 10
@@ -14,12 +17,13 @@ step at a time for all, and remembered in a bounded cache.
 
 Null and empty texts have no tokens and decode to ''.  Texts are whole whatever their length.
 Repeated rows are encoded each; an empty table gives an empty result; other columns are
-carried by `encode` and left out by `token_digests`.
+carried by `encode`, but for ones named like its results (in any case), and left out by `token_digests`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -38,6 +42,33 @@ WIDE, TOGETHER = 48, 16_384
 _cache: dict[str, dict[str, bytes]] = {}
 
 
+#: Offset of the Zipf-Mandelbrot law of merges, and the least share of a piece's count that later merges leave.
+OFFSET, LEFT = 20, 0.05
+
+
+def log_scores(ranks: dict[str, float]) -> dict[str, float]:
+    """Log probabilities of BPE pieces, from the ranks of their merges alone.
+
+    The merge of rank k is taken to join 1 / (k + OFFSET) pairs (Zipf-Mandelbrot).  Each later
+    merge takes its two parts from their counts; what stays, LEFT of the count at least, is how
+    often a piece stands by itself.  A single character occurs as often as merges use it, and a little more."""
+    order = sorted((p for p in ranks if len(p) > 1), key=lambda p: (ranks[p], p))
+    place = {p: k for k, p in enumerate(order)}
+    merged = {p: 1 / (k + 1 + OFFSET) for p, k in place.items()}
+    used: dict[str, float] = dict.fromkeys(ranks, 0.0)
+    for p in order:
+        # the parts that were there first
+        parts = [(max(place.get(x, -1) for x in (p[:k], p[k:])), k) for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks]
+        if parts and (best := min(parts))[0] < place[p]:
+            used[p[: best[1]]] += merged[p]
+            used[p[best[1] :]] += merged[p]
+    rare = 1 / (len(order) + 1 + OFFSET)
+    count = {p: merged[p] if p in merged else used[p] * (1 + LEFT) + rare for p in ranks}
+    left = {p: max(n - used[p], n * LEFT) for p, n in count.items()}
+    total = sum(left.values())
+    return {p: math.log(n / total) for p, n in left.items()}
+
+
 class DoubleArray:
     """A trie over bytes: from node s by byte c to base[s] + c, if check there is s."""
 
@@ -106,7 +137,13 @@ class Codec:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(sp.get_piece_size())
         by_byte = sorted(((int(sp.id_to_piece(i)[1:-1], 16), i) for i in ids if sp.is_byte(i)))
-        return Codec([sp.id_to_piece(i) for i in ids], [sp.get_score(i) for i in ids], [i for _, i in by_byte], {i for i in ids if sp.is_unknown(i) or sp.is_control(i)})
+        special = {i for i in ids if sp.is_unknown(i) or sp.is_control(i)}
+        pieces, scores = [sp.id_to_piece(i) for i in ids], [sp.get_score(i) for i in ids]
+        plain = [i for i in ids if i not in special and not sp.is_byte(i)]
+        if all(scores[i] == int(scores[i]) for i in plain):  # ranks
+            log = log_scores({pieces[i]: -scores[i] for i in plain})
+            scores = [log.get(p, 0.0) if i not in special else 0.0 for i, p in enumerate(pieces)]
+        return Codec(pieces, scores, [i for _, i in by_byte], special)
 
     def _spell(self, raw: bytes) -> list[int]:
         return self.bytes_of[list(raw)].tolist() if len(self.bytes_of) else [self.unk]
@@ -135,9 +172,9 @@ class Codec:
                 score[j], came[j], by[j] = s, i, -1
         out, j = [], n
         while j:
-            out = ([by[j]] if by[j] >= 0 else self._spell(raw[came[j] : j])) + out
+            out += [by[j]] if by[j] >= 0 else self._spell(raw[came[j] : j])[::-1]
             j = came[j]
-        return out
+        return out[::-1]
 
     def best_of_all(self, raws: list[bytes]) -> list[list[int]]:
         """The same for many short chunks, one trie step at a time for all of them."""
@@ -249,7 +286,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """docs with token_ids array<int> and decoded string, what decoding these gives back."""
     arrow_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Codec.load(model))
-    keep = [c for c in docs.columns if c not in ("token_ids", "decoded")]
+    keep = [c for c in docs.columns if c.lower() not in ("token_ids", "decoded")]
     schema = docs.select(*keep).schema.add("token_ids", ArrayType(IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +303,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, n_tokens, n_bytes_pieces, ids_sha256, decoded_sha256, round_trip) for every row."""
+    """(doc_id, n_tokens, n_byte_pieces, ids_sha256, decoded_sha256, round_trip) for every row."""
     arrow_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Codec.load(model))
 
