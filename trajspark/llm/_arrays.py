@@ -36,6 +36,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
+#: Values of bytes for a second, independent hash.
+OTHER = mix(np.arange(1001, 1257, dtype=np.uint64) * GOLD)
 _BASE = 0xD6E8FEB86659FD93
 _power = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -54,10 +56,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class SpanHash:
     """Polynomial hashes of any spans of one buffer, from one prefix sum."""
 
-    def __init__(self, buf: np.ndarray):
+    def __init__(self, buf: np.ndarray, values: np.ndarray = BYTE):
         up, self.down = powers(len(buf) + 1)
         self.sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(BYTE[buf] * up[:-1], out=self.sums[1:])
+        np.cumsum(values[buf] * up[:-1], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * self.down[start]
