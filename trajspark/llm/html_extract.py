@@ -16,11 +16,15 @@ out, unless a page has nothing else; pages that differ in their HTML are distinc
 near copies on most pages of a host count as constants too.  Elements marked as menus,
 headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts or styles are left
 out.  A name marks an element only as a whole (has-sidebar is
-a state, not a sidebar); html, body and main are never left out, nor is an element that holds the
+a state, not a sidebar), and paragraphs and headings only by the stronger words; html, body and main are never left out, nor is an element that holds the
 only article, main or content element of a page.  A page that lacks the host's content element is read by
 its own.  Blocks are joined by a line feed in page order, white space within a block becomes
 one space, character references are decoded.
 
+Bounds that lose no text: elements nested deeper than DEPTH only part blocks, and an element's
+children beyond MOST have no place in its wrapper, so no constants are looked for there.  A tag
+without an end is text; where quotes never close, tags end at the next '>'.
+
 Null and empty pages give ''.  URLs without a host share one wrapper.  Repeated rows are read
 each; an empty table gives an empty result; other columns are carried by `extract`.
 """
@@ -31,17 +35,21 @@ import hashlib
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import arrow_rows, cut
+from ._tables import arrow_rows, cut, spread_join
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*>?)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+STOP = re.compile(r"[>\"']")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 NUMBER = re.compile(r"\d+")
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp"}
@@ -56,8 +64,13 @@ NOISE_PART = re.compile(rf"(?:^|[_-]){_NOISE}(?:$|[_-])", re.I)
 CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article(?:-?body)?|content|post(?:-?body)?|entry(?:-?content)?|main|story)(?:$|[\s_-])", re.I)
 #: Elements that an opening tag closes first.
 CLOSES = {**{t: {"p"} for t in BLOCK - {"label", "button", "select"}}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}}
-#: Wrappers up to which all are broadcast as one table.
-BROADCAST_HOSTS = 20_000
+#: Names that mark a paragraph or heading as noise; the others of NOISE_NAME may name what it tells of.
+STRONG = re.compile(r"ads?|advert\w*|sponsor\w*|cookies?|consent|notice|breadcrumbs?|newsletter|subscribe|byline-ads?", re.I)
+SAID = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "th", "tr", "figcaption"}
+#: Characters of wrappers and constants up to which all are broadcast as one table.
+BROADCAST_CHARS = 32 << 20
+#: Levels of elements that are told apart, and children of an element that its wrapper holds.
+DEPTH, MOST = 128, 1_000
 #: A text is a constant of its place in the wrapper if at least LEAST distinct pages have it there, and SHARE of those that have the place.
 LEAST, SHARE = 4, 0.8
 
@@ -71,46 +84,90 @@ class Node:
         self.label, self.tag, self.children = label, tag, []
 
 
-def parse(page: str) -> Node:
-    """The tree of block elements of a page; unclosed elements end with their parents."""
-    root = Node("", "")
-    stack, at = [root], 0
-    n = len(page)
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """('text', text, ''), ('open' or 'close', tag, attributes) in page order; raw elements and comments are left out.
+
+    Every character is read a bounded number of times: where no '>' or closing quote follows
+    any more, that is known from then on."""
+    at, n, quotes = 0, len(page), True
+    last = page.rfind(">")
     while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            stack[-1].children.append(page[at:])
-            break
+        m = OPEN.search(page, at)
+        if m is None or m.start() > last and m[2]:
+            yield "text", page[at:], ""
+            return
         if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+            yield "text", page[at : m.start()], ""
+        if m[2] is None:
+            comment = page.startswith("<!--", m.start())
+            end = page.find("-->" if comment else ">", m.end())
+            at = n if end < 0 else end + (3 if comment else 1)
             continue
+        end = m.end()
+        while quotes:
+            stop = STOP.search(page, end)
+            if stop is None:
+                quotes = False
+            elif stop[0] == ">":
+                end = stop.start()
+                break
+            elif (end := page.find(stop[0], stop.end()) + 1) == 0:
+                quotes = False
+        if not quotes:
+            end = page.find(">", m.end())
+        tag, said = m[2].lower(), page[m.end() : end]
+        at = end + 1
         if m[1]:
-            if tag in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
-            continue
-        if tag in RAW:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
-            continue
-        if tag == "br":
+            yield "close", tag, ""
+        elif tag not in RAW:
+            yield "open", tag, said
+        elif not said.endswith("/"):
+            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            at = close.end() if close else n
+
+
+def parse(page: str) -> Node:
+    """The tree of block elements of a page; unclosed elements end with their parents.
+
+    Below DEPTH levels, elements are empty nodes where they begin and end, which part the texts."""
+    root = Node("", "")
+    stack, open_ = [root], Counter()
+    deep: list[str] = []
+    in_deep = Counter()
+    for kind, tag, said in tokens(page):
+        if kind == "text":
+            stack[-1].children.append(tag)
+        elif kind == "close":
+            if in_deep[tag]:
+                while (gone := deep.pop()) != tag:
+                    in_deep[gone] -= 1
+                in_deep[tag] -= 1
+                stack[-1].children.append(Node("", ""))
+            elif open_[tag]:
+                deep.clear()
+                in_deep.clear()
+                while (gone := stack.pop()).tag != tag:
+                    open_[gone.tag] -= 1
+                open_[tag] -= 1
+        elif tag == "br":
             stack[-1].children.append(" ")
-        if tag in VOID or tag not in BLOCK:
-            continue
-        while len(stack) > 1 and stack[-1].tag in CLOSES.get(tag, ()):
-            stack.pop()
-        names = {k.lower(): v.strip("\"'") for k, v in NAMED.findall(m[3])} if m[3] else {}
-        if names:  # numbers, and ids of articles, name the page, not the place
-            names = {k: NUMBER.sub("#", v) for k, v in names.items() if k != "id" or tag != "article"}
-        node = Node(" ".join([tag, *(f"{k}={names[k]}" for k in ("class", "id", "role") if k in names)]), tag)
-        stack[-1].children.append(node)
-        stack.append(node)
+        elif tag in BLOCK:
+            closes = CLOSES.get(tag, ())
+            if not deep:
+                while len(stack) > 1 and stack[-1].tag in closes:
+                    open_[stack.pop().tag] -= 1
+            if len(stack) > DEPTH:
+                deep.append(tag)
+                in_deep[tag] += 1
+                stack[-1].children.append(Node("", ""))
+                continue
+            names = {k.lower(): v.strip("\"'") for k, v in NAMED.findall(said)} if said else {}
+            if names:  # numbers, and ids of articles, name the page, not the place
+                names = {k: NUMBER.sub("#", v) for k, v in names.items() if k != "id" or tag != "article"}
+            node = Node(" ".join([tag, *(f"{k}={names[k]}" for k in ("class", "id", "role") if k in names)]), tag)
+            stack[-1].children.append(node)
+            stack.append(node)
+            open_[tag] += 1
     return root
 
 
@@ -120,7 +177,7 @@ def shape(node: Node) -> list:
     said = " ".join(" ".join(c.split()) for c in node.children if isinstance(c, str)).strip()
     out: list = [node.label, "", (said if len(said) <= 40 else True) if said else None, []]
     for c in node.children:
-        if not isinstance(c, str):
+        if not isinstance(c, str) and c.label and len(out[3]) < MOST:
             s = shape(c)
             if out[3] and out[3][-1][0] == s[0]:  # a repetition
                 out[3][-1] = merge(out[3][-1], s)
@@ -142,11 +199,15 @@ def merge(a: list, b: list) -> list:
     if [c[0] for c in x] == [c[0] for c in y]:
         kids = [merge(p, q) for p, q in zip(x, y, strict=True)]
         return [a[0], _both(a[1], b[1]), text, kids]
-    # longest common subsequence of the labels
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
+    # longest common subsequence of the labels, a row at a time
+    number = {c[0]: k for k, c in enumerate((*x, *y))}
+    across = np.array([number[c[0]] for c in y], np.int64)
+    rows = [np.zeros(len(y) + 1, np.int16)]
+    for c in reversed(x):
+        below = rows[-1]
+        met = np.maximum(below[:-1], np.where(across == number[c[0]], below[1:] + 1, 0))
+        rows.append(np.append(np.maximum.accumulate(met[::-1])[::-1], 0).astype(np.int16))
+    best = [r.tolist() for r in reversed(rows)]
     kids, i, j = [], 0, 0
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
@@ -160,7 +221,7 @@ def merge(a: list, b: list) -> list:
             kids[-1][1] = _both(kids[-1][1], "+")
         else:
             kids.append(new)
-    return [a[0], _both(a[1], b[1]), text, kids]
+    return [a[0], _both(a[1], b[1]), text, kids[:MOST]]
 
 
 def _names(label: str) -> list[str]:
@@ -186,7 +247,7 @@ def noisy(label: str) -> bool:
     tag = label.partition(" ")[0]
     if tag in ("html", "body", "main") or "role=main" in label:
         return False
-    return tag in NOISE_TAGS or any(NOISE_NAME.fullmatch(x) for x in _names(label))
+    return tag in NOISE_TAGS or any((STRONG if tag in SAID else NOISE_NAME).fullmatch(x) for x in _names(label))
 
 
 def content_rank(wrapper: list) -> int:
@@ -198,12 +259,19 @@ def content_rank(wrapper: list) -> int:
 def _align(node: Node, wrapper: list | None, at: str = "") -> Iterator[tuple[Node, list | None, str]]:
     """The child elements of a node with their parts of the wrapper and their places in it."""
     kids, k = wrapper[3] if wrapper else [], 0
+    places: dict[str, list[int]] = {}
+    for i, kid in enumerate(kids):
+        places.setdefault(kid[0], []).append(i)
     for c in node.children:
         if isinstance(c, str):
             continue
-        k = next((i for i in [*range(k, len(kids)), *range(k)] if kids[i][0] == c.label), -1) if kids else -1
-        yield (c, kids[k], f"{at}/{k}") if k >= 0 else (c, None, f"{at}/{c.label}")
-        k = max(k, 0)
+        if found := places.get(c.label):
+            n = bisect_left(found, k)
+            k = found[n if n < len(found) else 0]  # the next place of the label, or its first one
+            yield c, kids[k], f"{at}/{k}"
+        else:
+            yield c, None, f"{at}/{c.label}"
+            k = 0
 
 
 Part = tuple[Node, "list | None", str]
@@ -317,7 +385,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper): the wrapper of each host of pages(url, html), as JSON."""
     arrow_rows(pages.sparkSession)
     parts = pages.select(_host().alias("host"), F.col("html").cast("string")).mapInPandas(_infer, "host string, wrapper string").distinct()
-    first = parts.withColumn("salt", F.expr("pmod(xxhash64(wrapper), 16)")).groupBy("host", "salt").applyInPandas(_merge_all, "host string, wrapper string")
+    first = parts.withColumn("salt", F.expr("pmod(xxhash64(wrapper), 64)")).groupBy("host", "salt").applyInPandas(_merge_all, "host string, wrapper string")
     return first.groupBy("host").applyInPandas(_merge_all, "host string, wrapper string")
 
 
@@ -326,7 +394,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     wrappers: dict = {}
     for batch in batches:
         rows = set()
-        for host, page, w in zip(*(batch.column(c).to_pylist() for c in ("__host", "html", "wrapper")), strict=True):
+        for host, page, w in zip(*(batch.column(c).to_pylist() for c in ("__host", "html", "__wrapper")), strict=True):
             if page:
                 name = _key(page)
                 for at, t in content_blocks(page, *_parsed(wrappers, w)):
@@ -336,37 +404,46 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def infer_constants(source: DataFrame) -> DataFrame:
-    """(host, constants): the keys of the texts that enough distinct pages of source(__host, html, wrapper) have at the same place."""
-    found = source.select("__host", "html", "wrapper").mapInArrow(_places, "host string, place long, key long, page long")
+    """(host, constants): the keys of the texts that enough distinct pages of source(__host, html, __wrapper) have at the same place."""
+    found = source.select("__host", "html", "__wrapper").mapInArrow(_places, "host string, place long, key long, page long")
     n = found.distinct().groupBy("host", "place", "key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
     pages = n.where("key is null").select("host", "place", F.col("n").alias("of"))
     fixed = n.where("key is not null").join(pages, ["host", "place"]).where(F.col("n") >= SHARE * F.col("of"))
     return fixed.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("constants"))
 
 
+def _beside(source: DataFrame, side: DataFrame) -> DataFrame:
+    """source with the columns of side(__host, ...): broadcast while side is small, else joined by host, hot hosts apart."""
+    size = side.agg(F.sum(sum(F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in side.columns))).first()[0]
+    if (size or 0) <= BROADCAST_CHARS:
+        return source.join(F.broadcast(side), "__host", "left")
+    pages = source.groupBy("__host").agg(F.count("*").alias("__n"))
+    return spread_join(source, pages.join(side, "__host", "left"), ["__host"], "__n")
+
+
 def extract(pages: DataFrame) -> DataFrame:
-    """pages without html, with text string and n_chars long."""
+    """pages without html, with text string and n_chars long; these names (in any case) are replaced where pages has them."""
     wrappers = cut(infer_wrappers(pages))
-    kept = [c for c in pages.columns if c not in ("html", "text", "n_chars", "wrapper")]
-    few = wrappers.count() <= BROADCAST_HOSTS
-    beside = lambda df, side: df.join(F.broadcast(side) if few else side, "__host", "left")
-    side = wrappers.withColumnRenamed("host", "__host")
-    source = pages.select(*kept, F.col("html").cast("string"), _host().alias("__host"))
-    constants = cut(infer_constants(beside(source, side)))
-    source = beside(source, side.join(constants.withColumnRenamed("host", "__host"), "__host", "left")).select(*kept, "html", "__host", "wrapper", "constants")
-    schema = pages.select(*kept).schema.add("text", "string").add("n_chars", "long")
+    kept = [c for c in pages.columns if c.lower() not in ("html", "text", "n_chars")]
+    plain = pages.select(*(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(kept)), F.col("html").cast("string").alias("html"), _host().alias("__host"))
+    side = wrappers.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"))
+    constants = cut(infer_constants(_beside(plain.select("html", "__host"), side)))
+    source = _beside(plain, cut(side.join(constants.select(F.col("host").alias("__host"), F.col("constants").alias("__constants")), "__host", "left")))
+    numbers = [f"__{i}" for i in range(len(kept))]
+    schema = plain.select(*numbers).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers: dict = {}
         fixed: dict[str, frozenset] = {}
         for batch in batches:
             texts = []
-            for i, (page, w, host) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "__host")), strict=True)):
+            for i, (page, w, host) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("html", "__wrapper", "__host")), strict=True)):
                 if host not in fixed:
                     if len(fixed) > 1_000:
                         fixed.clear()
-                    fixed[host] = frozenset(batch.column("constants")[i].as_py() or ())
+                    fixed[host] = frozenset(batch.column("__constants")[i].as_py() or ())
                 texts.append(main_text(page, *_parsed(wrappers, w), fixed[host]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*kept, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in numbers), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*numbers, "text", "n_chars"])
 
-    return source.mapInArrow(run, schema)
+    out = source.select(*numbers, "html", "__wrapper", "__host", "__constants").mapInArrow(run, schema)
+    return out.select(*(F.col(n).alias(c) for n, c in zip(numbers, kept, strict=True)), "text", "n_chars")
