@@ -17,7 +17,8 @@ of other writers have no payload; their digests have nulls for it.
 
 Payloads are zero-padded to a positive multiple of 64; the last frame is padded with blocks,
 and an INFO comment holds the payload's length.  Null and empty texts give one block of
-zeros.  Equal bytes give equal files.  Broken files raise ValueError.  Repeated rows are
+zeros.  Equal bytes give equal files.  `read_media` raises ValueError for broken files; `clips_of` yields no
+clips of them, nor of null media, and `media_digests` only their size and hash (null for null).  Repeated rows are
 packed each; an empty table gives an empty result; other columns are carried by `pack`.
 """
 
@@ -396,6 +397,13 @@ def shots(histograms: np.ndarray) -> list[tuple[int, int]]:
 
 def read_media(media: bytes, payload: bool = True) -> tuple[bytes | None, list[tuple[int, int]], float, str]:
     """Payload (None in files of other writers, or if not asked for), shots, frames a second and a feature line, decoding each frame once."""
+    try:
+        return _read_media(media, payload)
+    except (struct.error, IndexError, KeyError, TypeError) as e:  # what stands there ends too early, or is none
+        raise ValueError("a broken file") from e
+
+
+def _read_media(media: bytes, payload: bool) -> tuple[bytes | None, list[tuple[int, int]], float, str]:
     avi = read_avi(media)
     payload = payload and avi["comment"].startswith("payload=")
     raw, histograms, size = [], [], (0, 0)
@@ -412,14 +420,21 @@ def read_media(media: bytes, payload: bool = True) -> tuple[bytes | None, list[t
     return b"".join(raw)[: int(avi["comment"][8:])] if payload else None, cuts, avi["fps"], feature
 
 
+def _read_or_none(media: bytes | None, payload: bool = True) -> tuple | None:
+    try:
+        return None if media is None else read_media(media, payload)
+    except ValueError:
+        return None
+
+
 def pack(docs: DataFrame) -> DataFrame:
     """docs without text, with n_bytes long and media binary."""
-    arrow_rows(docs.sparkSession, 500)
-    keep = [c for c in docs.columns if c not in ("text", "n_bytes", "media")]
+    arrow_rows(docs.sparkSession)
+    keep = [c for c in docs.columns if c.lower() not in ("text", "n_bytes", "media")]
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("media", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 250) for b in batches for k in range(0, b.num_rows, 250)):
             raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([len(r) for r in raw], pa.int64()), pa.array([pack_bytes(pad(r)) for r in raw], pa.binary())], [*keep, "n_bytes", "media"])
 
@@ -432,7 +447,7 @@ def clips_of(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, n, a, b, a / fps, b / fps) for k, m in zip(batch.column(key).to_pylist(), batch.column("media").to_pylist(), strict=True) if m is not None for _, cuts, fps, _ in [read_media(m, payload=False)] for n, (a, b) in enumerate(cuts)]
+            rows = [(k, n, a, b, a / fps, b / fps) for k, m in zip(batch.column(key).to_pylist(), batch.column("media").to_pylist(), strict=True) if (found := _read_or_none(m, payload=False)) for _, cuts, fps, _ in [found] for n, (a, b) in enumerate(cuts)]
             types = (batch.schema.field(key).type, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [key, "clip", "start_frame", "end_frame", "start_s", "end_s"])
 
@@ -447,9 +462,9 @@ def media_digests(media: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for m in batch.column("media").to_pylist():
-                payload, _, _, feature = read_media(m)
+                payload, _, _, feature = _read_or_none(m) or (None,) * 4
                 of = (None,) * 3 if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-                rows.append((*of, len(m), hashlib.sha256(m).hexdigest(), feature))
+                rows.append((*of, *((None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())), feature))
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], list(fields))
 
