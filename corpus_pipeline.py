@@ -39,17 +39,33 @@ def _without(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(side, rows[ROW] == side.gone, "left_anti").drop(ROW)
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, __rest): all other columns in one, so that their names meet none of an operator's."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))) if others else F.lit(0)
+    return docs.select("doc_id", "text", rest.alias("__rest"))
+
+
+def _unpacked(rows: DataFrame, columns: list[str]) -> dict[str, F.Column]:
+    """The columns of packed rows, by name."""
+    others = [c for c in columns if c not in ("doc_id", "text")]
+    return {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"__rest.c{i}").alias(c) for i, c in enumerate(others)}
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
-    return quality_classifier.classify(docs).where("keep").select(*docs.columns)
+    out = quality_classifier.classify(_packed(docs)).where("keep")
+    back = _unpacked(out, docs.columns)
+    return out.select(*(back[c] for c in docs.columns))
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of line runs of 50 words and more; documents of which nothing is left go."""
-    out = line_dedup.line_dedup(docs).where("n_lines = 0 or n_removed < n_lines")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = line_dedup.line_dedup(_packed(docs)).where("n_lines = 0 or n_removed < n_lines")
+    back = _unpacked(out, docs.columns)
+    if "n_chars" in back:
+        back["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(back["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*(back[c] for c in docs.columns))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,9 +84,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding them gives the text back."""
-    out = sentencepiece_codec.encode(docs)
+    out = sentencepiece_codec.encode(_packed(docs))
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepiece_codec.MARK, " ")
-    rest = [c for c in docs.columns if c not in ("text", "token_ids", "n_tokens", "round_trip")]
+    back = _unpacked(out, docs.columns)
+    rest = [back[c] for c in docs.columns if c.lower() not in ("text", "token_ids", "n_tokens", "round_trip")]
     return out.select(*rest, F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
 
 
