@@ -73,6 +73,15 @@ def test_meeting_keys_lose_no_pair():
             assert ngram_join.may_link(ngram_join.signature(a), ngram_join.signature(b), len(a), len(b), num, 100)
 
 
+def test_difference_cover():
+    for q in (2, 3, 5, 7, 11):
+        period, cover = suffix_dedup.difference_cover(q)
+        assert sorted((x - y) % period for x in cover for y in cover if x != y) == list(range(1, period))
+    for n in (0, 199, 200, 201, 1000):
+        at = suffix_dedup.position(suffix_dedup.sampled(n)).tolist()
+        assert at == [p for p in range(n) if p % 133 in set(suffix_dedup.COVER.tolist()) and any(i <= p < i + 133 for i in range(n - 199))]
+
+
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_suffix_dedup(docs, texts, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
@@ -94,6 +103,7 @@ def test_suffix_dedup(docs, texts, hot, monkeypatch):
 
 def test_suffix_dedup_slices(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE", 1000)
+    monkeypatch.setattr(suffix_dedup, "UNIT", 2000)
     t = prose(900)
     df = spark.createDataFrame([(1, t, ""), (2, t[1500:2600], ""), (2, prose(50), "")], DOC)
     got = sorted((r.doc_id, r.n_removed) for r in suffix_dedup.suffix_dedup(df).collect())

@@ -1,22 +1,26 @@
 """Suffix-array dedup: removes every byte under a string of 200 that starts elsewhere too.
 
-A difference cover is a set of sampled positions such that two equal strings always have
-a sampled position at one common offset.  Here the cover is read from the content: of all
-64-byte grams of a window of 200 bytes, the leftmost one with the least hash is sampled
-("anchor"), so equal windows sample alike, one position in about 69.  Steps:
-
-1. Sample.  Each anchor stands for the run of windows that chose it.  Anchors whose gram
-   occurs once can't lie in a repeat and go; anchors whose whole neighbourhood occurs
-   again settle their windows at once.
-2. Sort the sampled suffixes of the rest to the depth that matters: triples of 8-byte
-   symbols are sorted and named, triples of names again, until one name is a suffix's rank.
-3. Merge the remaining suffixes: the one that starts l bytes before an anchor is placed by
-   the rank of the l bytes before it and the rank of the anchor's suffix.
+A difference cover is a set of residues modulo PERIOD such that any two positions reach sampled
+ones by one common offset below PERIOD.  Here PERIOD is 133 and the cover a perfect difference
+set of 12 residues (every non-zero difference once), so 9 % of the positions are sampled, and two
+equal strings of 200 bytes always have a sampled position in common, followed by GRAM = 68 equal
+bytes at least.  Steps:
+
+1. Sample, and name the sampled grams.  Names (64-bit hashes of the 68 bytes) are dealt over buckets;
+   a suffix whose name occurs once is placed already and leaves.  So do names that only one
+   residue has, unless it is the first one: strings that far apart share the first residue too.
+2. Sort the rest to the depth that matters, 200 bytes to the right of a sample and PERIOD - 1 to the left:
+   samples whose whole neighbourhood occurs again (128 bits of names) are settled with all their
+   windows, and one of them stands for all; triples of 8-byte symbols of those that remain are sorted and named,
+   triples of names again, until one name is a suffix's rank.
+3. Merge the remaining suffixes: the one that starts l bytes before a sample is placed by
+   the rank of the l bytes before it and the rank of the sample's suffix.
 4. Compare adjacent prefixes: neighbours that agree on 200 bytes are repeats.
 
-Steps 2 to 4 need only anchors with the same gram together, so they run in parallel over
-gram hashes, in bounded chunks; a gram with more than HOT open neighbourhoods is dealt out
-by its windows instead.  Within each task, neighbourhoods that repeat leave as one row.
+Only samples with equal grams can stand next to each other with 200 bytes in common, so steps 2 to 4 run in
+parallel over gram names, in bounded chunks; a gram with more than HOT open neighbourhoods is dealt out
+by its windows instead.  Within each task, neighbourhoods that repeat leave as one row.  The texts
+are dealt by row once and read three times from there.
 
 Null and empty texts have no bytes.  Texts under 200 bytes keep everything.  Repeated rows
 are separate documents with their own positions.  Very long texts are sampled in slices.
@@ -35,60 +39,171 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _arrays as A
-from ._tables import arrow_rows, cut
+from ._tables import arrow_rows, numbered
 
 U = np.uint64
-SPAN, GRAM = 200, 64
-REACH = SPAN - GRAM + 1  # grams in a window; an anchor lies at 0..REACH-1 in it
+SPAN = 200
+
+
+def difference_cover(q: int) -> tuple[int, np.ndarray]:
+    """A period and its perfect difference set, for a prime q: of q * q + q + 1 residues, the q + 1 at
+    which a linear recurrence of order three modulo q is zero (a Singer set, where the recurrence has full period)."""
+    period = q * q + q + 1
+    for a, b, c in ((a, b, c) for a in range(q) for b in range(q) for c in range(1, q)):
+        u = [0, 0, 1]
+        while len(u) < period:
+            u.append((a * u[-1] + b * u[-2] + c * u[-3]) % q)
+        zeros = [i for i, x in enumerate(u) if not x]
+        if len({(x - y) % period for x in zeros for y in zeros}) == period and len(zeros) == q + 1:
+            return period, np.array(zeros)
+    raise ValueError("q is not prime")
+
+
+PERIOD, COVER = difference_cover(11)
+REACH = PERIOD  # a sample lies at 0..REACH-1 in a window
+GRAM = SPAN - PERIOD + 1
 SLICE = 1 << 18
+#: Text that is named before its names are dealt out, and samples that a bucket should hold.
+UNIT, BUCKET = 1 << 24, 4_000_000
 #: Open neighbourhoods of one gram up to which one task sorts them.
 HOT = 20_000
 CHUNK = 8_192
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each anchor: row, its position, first and last window that chose it, gram hash,
-    neighbourhood hash; positions count from the buffer's start."""
-    n = len(buf)
-    none = np.zeros(0, np.int64)
+def sampled(n: int) -> np.ndarray:
+    """The numbers of the samples of a text of n bytes that lie in a window."""
     if n < SPAN:
-        return none, none, none, none, none.view(U), none.view(U)
-    spans = A.SpanHash(buf)
-    at = np.arange(n - GRAM + 1)
-    gram = spans(at, at + GRAM)
-    place = U((1 << 22) - 1)
-    v = (gram & ~place) | at.astype(U)
-    m = -(-len(v) // REACH) * REACH
-    padded = np.full(m, ~U(0), U)
-    padded[: len(v)] = v
-    blocks = padded.reshape(-1, REACH)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = n - SPAN + 1
-    chosen = (np.minimum(behind[:windows], ahead[REACH - 1 : REACH - 1 + windows]) & place).astype(np.int64)
-    row = np.searchsorted(offs, np.arange(windows), "right") - 1
-    inside = np.flatnonzero(np.arange(windows) + SPAN <= offs[row + 1])
-    if not len(inside):
-        return none, none, none, none, none.view(U), none.view(U)
-    x, r = chosen[inside], row[inside]
-    new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (r[1:] != r[:-1]))))
-    lo, hi = inside[new], inside[np.append(new[1:], len(inside)) - 1]
-    x, r = x[new], r[new]
-    around = A.mix(spans(lo, hi + SPAN) ^ A.mix(((x - lo) * 1000 + (hi - lo)).astype(U) * A.GOLD))
-    return r, x, lo, hi, gram[x], around
-
-
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray]]:
-    """Document rows, their offsets in the document, bytes, offsets; long texts come in
-    slices that share SPAN - 1 bytes, so that each window is in one slice."""
+        return np.zeros(0, np.int64)
+    k = np.arange(-(-n // PERIOD) * len(COVER))
+    return k[position(k) + GRAM <= n]
+
+
+def position(k: np.ndarray) -> np.ndarray:
+    """Where in its text the sample of a number stands."""
+    return k // len(COVER) * PERIOD + COVER[k % len(COVER)]
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int, int]]:
+    """First and end row, bytes, offsets, and which positions are meant: rows of about SLICE bytes, all of
+    their positions; a longer row in slices that overlap, so that a position's neighbourhood is whole."""
     buf, offs = A.text_buffer(batch.column("text"))
     for i, j, part, at in A.groups(buf, offs, SLICE):
-        if len(part) <= 2 * SLICE:
-            yield list(range(i, j)), [0] * (j - i), part, at
+        n = len(part)
+        if n <= 2 * SLICE:
+            yield i, j, part, at, 0, n
             continue
-        for s in range(0, len(part), SLICE):  # a group over the limit is a single row
-            piece = part[s : s + SLICE + SPAN - 1]
-            yield [i], [s], piece, np.array([0, len(piece)])
+        for s in range(0, n, SLICE):  # a group over the limit is a single row
+            lo = max(0, s - REACH)
+            piece = part[lo : s + SLICE + SPAN]
+            yield i, j, piece, np.array([-lo, n - lo]), s - lo, min(n, s + SLICE) - lo
+
+
+def _alive(names: np.ndarray, residue: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of samples by name and residue, whether each name can lie in a repeat, and the group of each sample in that order."""
+    order = np.lexsort((residue, names))
+    sorted_ = names[order]
+    new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(names)) - 1
+    least, most = residue[order[first]], residue[order[last]]
+    return order, (last > first) & ((least != most) | (least == 0)), np.cumsum(new) - 1
+
+
+REFS = "bucket int, size int, names binary, refs binary"
+
+
+def _pack(rows: np.ndarray, numbers: np.ndarray) -> bytes:
+    """Row ids and sample numbers, sorted by both."""
+    raw = np.diff(rows, prepend=0).astype("<i8").tobytes() + np.diff(numbers, prepend=0).astype("<i8").tobytes()
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(pa.decompress(raw, decompressed_size=16 * size, codec="zstd", asbytes=True), "<i8")
+    return np.cumsum(both[:size]), np.cumsum(both[size:])
+
+
+def _name(buckets: int):
+    """The names of all samples, dealt over buckets; what repeats within a unit of text is known to
+    live, and goes without its name but for two samples that tell the others."""
+
+    def emit(ids: list, numbers: list, names: list) -> Iterator[pa.RecordBatch]:
+        row, number, name = (np.concatenate(x) for x in (ids, numbers, names))
+        by = np.lexsort((number, row))
+        row, number, name = row[by], number[by], name[by]
+        order, alive, group = _alive(name, number % len(COVER))
+        lives = alive[group]
+        edge = np.ones(len(group), bool)
+        edge[1:-1] = (group[1:-1] != group[:-2]) | (group[1:-1] != group[2:])
+        sure = np.sort(order[lives])
+        told = np.sort(order[~lives | edge])
+        out = []
+        if len(sure):
+            out.append((int(row[sure[0]] % buckets), len(sure), b"", _pack(row[sure], number[sure])))
+        bucket = (name[told] >> U(40)) % U(buckets)
+        told = told[np.argsort(bucket, kind="stable")]
+        bounds = np.searchsorted(np.sort(bucket), np.arange(buckets + 1).astype(U)) if buckets < len(told) else None
+        parts = [told[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)] if bounds is not None else np.split(told, np.flatnonzero(np.diff(np.sort(bucket))) + 1)
+        for part in parts:
+            if len(part):
+                low = name[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                out.append((int((name[part[0]] >> U(40)) % U(buckets)), len(part), low.tobytes(), _pack(row[part], number[part])))
+        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["bucket", "size", "names", "refs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = ([], [], []), 0
+        for batch in batches:
+            ids = batch.column("row_id").to_numpy()
+            for i, _, buf, offs, lo, hi in _pieces(batch):
+                n = np.diff(offs)
+                each = [sampled(int(x)) for x in n.tolist()]
+                row = np.repeat(np.arange(len(n)), [len(x) for x in each])
+                if not len(row):
+                    continue
+                number = np.concatenate(each)
+                at = position(number) + offs[row]
+                mine = (at >= lo) & (at < hi)
+                row, number, at = row[mine], number[mine], at[mine]
+                for x, y in zip(held, (ids[i + row], number, A.SpanHash(buf)(at, at + GRAM)), strict=True):
+                    x.append(y)
+                size += len(buf)
+                if size >= UNIT:
+                    yield from emit(*held)
+                    held, size = ([], [], []), 0
+        if any(map(len, held[0])):
+            yield from emit(*held)
+
+    return run
+
+
+def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row_id, number) of the samples that live; rows come sorted by bucket."""
+
+    def judged(rows: list[tuple]) -> pa.RecordBatch:
+        refs = [_unpack(r, n) for n, _, r in rows]
+        row, number = (np.concatenate(x) for x in zip(*refs, strict=True))
+        named = np.repeat([bool(x) for _, x, _ in rows], [n for n, _, _ in rows])
+        low = np.frombuffer(b"".join(x for _, x, _ in rows), np.uint8).reshape(-1, 5)
+        name = np.zeros((len(low), 8), np.uint8)
+        name[:, :5] = low
+        keep = ~named
+        if len(low):
+            at = np.flatnonzero(named)
+            order, alive, group = _alive(name.view("<u8").ravel(), number[at] % len(COVER))
+            keep[at[order[alive[group]]]] = True
+        return pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array(number[keep])], ["row_id", "number"])
+
+    held, now = [], None
+    for batch in batches:
+        for bucket, *rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "size", "names", "refs")), strict=True):
+            if bucket != now and held:
+                yield judged(held)
+                held = []
+            now = bucket
+            held.append(tuple(rest))
+    if held:
+        yield judged(held)
 
 
 def _collapse(frame: pd.DataFrame) -> pd.DataFrame:
@@ -102,23 +217,34 @@ def _collapse(frame: pd.DataFrame) -> pd.DataFrame:
     return frame
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each listed sample: its position and windows, the name of its gram, and that of its neighbourhood."""
     for batch in batches:
         ids = batch.column("row_id").to_numpy()
+        listed = batch.column("numbers")
+        bounds = listed.offsets.to_numpy()
+        flat = listed.flatten().to_numpy()
         parts = []
-        for rows, base, buf, offs in _slices(batch):
-            r, x, lo, hi, h, e = anchors(buf, offs)
-            if len(r):
-                first = np.array(base)[r] - offs[r]
-                # position, windows before the anchor: first and last
-                parts.append((ids[np.array(rows)[r]], (x + first) << 16 | (x - lo) << 8 | (x - hi), A.signed(h), A.signed(e)))
+        for i, j, buf, offs, lo, hi in _pieces(batch):
+            a, b = bounds[i] - bounds[0], bounds[j] - bounds[0]
+            row = np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1]))
+            at = position(flat[a:b]) + offs[row]
+            mine = (at >= lo) & (at < hi)
+            row, at = row[mine], at[mine]
+            if not len(row):
+                continue
+            first, last = np.maximum(offs[row], at - REACH + 1), np.minimum(at, offs[row + 1] - SPAN)
+            spans = A.SpanHash(buf)
+            around = A.mix(spans(first, last + SPAN) ^ A.mix(((at - first) * 1000 + (last - first)).astype(U) * A.GOLD))
+            # position, windows before the sample: first and last
+            parts.append((ids[i + row], (at - offs[row]) << 16 | (at - first) << 8 | (at - last), A.signed(spans(at, at + GRAM)), A.signed(around)))
         if parts:
             doc, at, h, e = (np.concatenate(c) for c in zip(*parts, strict=True))
             yield pa.RecordBatch.from_pandas(_collapse(pd.DataFrame({"doc": doc, "at": at, "h": h, "e": e})), preserve_index=False)
 
 
 def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each open anchor its SPAN bytes from the anchor on and the REACH - 1 before it, backwards."""
+    """For each open sample its SPAN bytes from there on and the REACH - 1 before it, backwards."""
     for batch in batches:
         buf, offs = A.text_buffer(batch.column("text"))
         listed = batch.column("open")
@@ -169,10 +295,10 @@ def _classes(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeats(right: np.ndarray, left: np.ndarray, last: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row, and first and last offset before its anchor, of each run of repeated windows.
+    """Row, and first and last offset before its sample, of each run of repeated windows.
 
-    right: SPAN bytes from each anchor; left: bytes before it, backwards; the windows
-    that start first..last bytes before the anchor are its own."""
+    right: SPAN bytes from each sample; left: bytes before it, backwards; the windows
+    that start first..last bytes before the sample are its own."""
     m = len(right)
     ro, rc = _classes(right)
     lo, lc = _classes(left)
@@ -277,41 +403,40 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc, lo, hi): starts lo..hi of 200-byte strings that occur elsewhere, by row_id."""
-    text = docs.select("row_id", "text")
-    found = text.mapInArrow(_sample, "doc long, at long, h long, e long, times long")
+def repeated_runs(text: DataFrame, buckets: int) -> DataFrame:
+    """(doc, lo, hi): starts lo..hi of 200-byte strings that occur elsewhere, by row_id, of text(row_id, text, doc_id).
+
+    All joins take the same columns of text, so that one exchange of the texts serves all."""
+    named = text.select("row_id", "text").mapInArrow(_name(buckets), REFS)
+    lives = named.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_survivors, "row_id long, number long")
+    numbers = lives.groupBy("row_id").agg(F.collect_set("number").alias("numbers")).withColumnRenamed("row_id", "doc").hint("merge")
+    # a merge join gives rows in the order of their ids, so that tasks that run again see the same batches
+    found = text.join(numbers, text.row_id == numbers.doc).select(*text.columns, "numbers").mapInArrow(_place, "doc long, at long, h long, e long, times long")
     by_gram = Window.partitionBy("h")
     each = Window.partitionBy("h", "e")
     found = found.repartition("h").withColumns({"least": F.min("e").over(by_gram), "most": F.max("e").over(by_gram), "near": F.count("*").over(by_gram), "times": F.sum("times").over(each), "nth": F.row_number().over(each.orderBy("doc", "at"))})
-    found = found.withColumn("open", F.expr("least <> most and nth = 1")).where("times > 1 or open")
-    found = cut(found.select("doc", "at", "h", "open", F.expr("times > 1").alias("settled"), F.expr(f"near > {HOT}").alias("hot")))
-    settled = found.where("settled").selectExpr("doc", "shiftright(at, 16) - (shiftright(at, 8) & 255) lo", "shiftright(at, 16) - (at & 255) hi")
-    listed = found.where("open").groupBy("doc").agg(F.collect_list(F.struct("at", "h", "hot")).alias("open"))
+    found = found.withColumn("open", F.expr("least <> most and nth = 1"))
+    settled = found.where("times > 1").selectExpr("doc", "shiftright(at, 16) - (shiftright(at, 8) & 255) lo", "shiftright(at, 16) - (at & 255) hi")
+    listed = found.where("open").groupBy("doc").agg(F.collect_list(F.struct("at", "h", F.expr(f"near > {HOT}").alias("hot"))).alias("open"))
     around = "doc long, at long, h long, around binary"
 
     def near(hot: bool) -> DataFrame:
         some = listed.withColumn("open", F.expr(f"filter(open, x -> x.hot = {str(hot).lower()})")).where("size(open) > 0").hint("shuffle_hash")
-        return text.join(some, text.row_id == some.doc).select("row_id", "text", "open").mapInArrow(_neighbourhoods, around)
+        return text.join(some, text.row_id == some.doc).select(*text.columns, "open").mapInArrow(_neighbourhoods, around)
 
     sorted_ = near(False).repartition("h").sortWithinPartitions("h").mapInArrow(_resolve, "doc long, lo long, hi long")
-    out = settled.union(sorted_)
-    if found.where("open and hot").limit(1).count():
-        each = near(True).mapInArrow(_windows, "doc long, at long, h long, e long, times long")
-        again = each.groupBy("h", "e").agg(F.sum("times").alias("all")).where("all > 1")
-        out = out.union(each.join(again, ["h", "e"]).selectExpr("doc", "at lo", "at hi")).union(each.where("times > 1").selectExpr("doc", "at lo", "at hi"))
-    return out
+    dealt = near(True).mapInArrow(_windows, "doc long, at long, h long, e long, times long")
+    again = dealt.groupBy("h", "e").agg(F.sum("times").alias("all")).where("all > 1")
+    dealt = dealt.join(again, ["h", "e"]).select("doc", "at").union(dealt.where("times > 1").select("doc", "at"))
+    return settled.union(sorted_).union(dealt.selectExpr("doc", "at lo", "at hi"))
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs(doc_id, text)."""
     arrow_rows(docs.sparkSession)
-    # a row's number must not change between scans: doc_id serves where it is a key
-    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    text = text.withColumn("row_id", F.col("doc_id"))
-    size = text.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    if size["n"] != size["d"]:  # repeated or null ids
-        text = cut(text.withColumn("row_id", F.monotonically_increasing_id()))
-    runs = repeated_runs(text).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")).hint("shuffle_hash")
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    text = rows.select("row_id", "text", "doc_id")
+    runs = repeated_runs(text, max(16, size * len(COVER) // PERIOD // BUCKET)).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")).hint("shuffle_hash")
     joined = text.join(runs, text.row_id == runs.doc, "left").select("doc_id", "text", F.coalesce("runs", F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)")).alias("runs"))
     return joined.mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
