@@ -68,6 +68,8 @@ UNIT, BUCKET = 1 << 24, 4_000_000
 #: Open neighbourhoods of one gram up to which one task sorts them.
 HOT = 20_000
 CHUNK = 8_192
+#: Flags of a sample, below its position.
+OPEN, SETTLED, IS_HOT = 1, 2, 4
 
 
 def sampled(n: int) -> np.ndarray:
@@ -124,7 +126,8 @@ def _unpack(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _name(buckets: int):
-    """The names of all samples, dealt over buckets; what repeats within a unit of text is known to
+    """The names of all samples, dealt over buckets (32 bits go along, which tell nearly all names of a
+    bucket apart; two that fall together only bring a sample to step 2 for nothing); what repeats within a unit of text is known to
     live, and goes without its name but for two samples that tell the others."""
 
     def emit(ids: list, numbers: list, names: list) -> Iterator[pa.RecordBatch]:
@@ -140,14 +143,14 @@ def _name(buckets: int):
         out = []
         if len(sure):
             out.append((int(row[sure[0]] % buckets), len(sure), b"", _pack(row[sure], number[sure])))
-        bucket = (name[told] >> U(40)) % U(buckets)
+        bucket = (name[told] >> U(32)) % U(buckets)
         told = told[np.argsort(bucket, kind="stable")]
         bounds = np.searchsorted(np.sort(bucket), np.arange(buckets + 1).astype(U)) if buckets < len(told) else None
         parts = [told[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)] if bounds is not None else np.split(told, np.flatnonzero(np.diff(np.sort(bucket))) + 1)
         for part in parts:
             if len(part):
-                low = name[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                out.append((int((name[part[0]] >> U(40)) % U(buckets)), len(part), low.tobytes(), _pack(row[part], number[part])))
+                low = name[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :4]
+                out.append((int((name[part[0]] >> U(32)) % U(buckets)), len(part), low.tobytes(), _pack(row[part], number[part])))
         types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["bucket", "size", "names", "refs"])
 
@@ -184,13 +187,11 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = [_unpack(r, n) for n, _, r in rows]
         row, number = (np.concatenate(x) for x in zip(*refs, strict=True))
         named = np.repeat([bool(x) for _, x, _ in rows], [n for n, _, _ in rows])
-        low = np.frombuffer(b"".join(x for _, x, _ in rows), np.uint8).reshape(-1, 5)
-        name = np.zeros((len(low), 8), np.uint8)
-        name[:, :5] = low
+        name = np.frombuffer(b"".join(x for _, x, _ in rows), "<u4")
         keep = ~named
-        if len(low):
+        if len(name):
             at = np.flatnonzero(named)
-            order, alive, group = _alive(name.view("<u8").ravel(), number[at] % len(COVER))
+            order, alive, group = _alive(name, number[at] % len(COVER))
             keep[at[order[alive[group]]]] = True
         return pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array(number[keep])], ["row_id", "number"])
 
@@ -243,28 +244,39 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pandas(_collapse(pd.DataFrame({"doc": doc, "at": at, "h": h, "e": e})), preserve_index=False)
 
 
-def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each open sample its SPAN bytes from there on and the REACH - 1 before it, backwards."""
+AROUND = "doc long, at long, h long, around binary, e long, times long"
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each open sample its SPAN bytes from there on and the REACH - 1 before it, backwards; where its gram
+    is hot, one row for each of its windows instead, by the hash of the window's bytes."""
     for batch in batches:
         buf, offs = A.text_buffer(batch.column("text"))
-        listed = batch.column("open")
+        listed = batch.column("marks")
         n = np.diff(listed.offsets.to_numpy())
-        if not n.sum():
-            continue
         flat = listed.flatten()
-        at, h = flat.field("at").to_numpy(), flat.field("h").to_numpy()
-        row = np.repeat(np.arange(len(n)), n)
+        mark = flat.field("mark").to_numpy()
+        wanted = mark & OPEN > 0
+        if not wanted.any():
+            continue
+        at, h, hot = (mark >> 3)[wanted], flat.field("h").to_numpy()[wanted], (mark & IS_HOT > 0)[wanted]
+        row = np.repeat(np.arange(len(n)), n)[wanted]
         doc = batch.column("row_id").to_numpy()[row]
         for s in range(0, len(at), CHUNK):
-            p = (at[s : s + CHUNK] >> 16) + offs[row[s : s + CHUNK]]
-            end, start = offs[row[s : s + CHUNK] + 1], offs[row[s : s + CHUNK]]
+            here = slice(s, s + CHUNK)
+            p, end, start = (at[here] >> 16) + offs[row[here]], offs[row[here] + 1], offs[row[here]]
             take = p[:, None] + np.arange(SPAN)
             right = np.where(take < end[:, None], buf[np.minimum(take, len(buf) - 1)], 0).astype(np.uint8)
             take = p[:, None] - 1 - np.arange(REACH - 1)
             left = np.where(take >= start[:, None], buf[np.maximum(take, 0)], 0).astype(np.uint8)
             both = np.hstack([right, left])
-            texts = pa.FixedSizeBinaryArray.from_buffers(pa.binary(both.shape[1]), len(both), [None, pa.py_buffer(both.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s : s + CHUNK]), pa.array(at[s : s + CHUNK]), pa.array(h[s : s + CHUNK]), texts.cast(pa.binary())], ["doc", "at", "h", "around"])
+            cool = ~hot[here]
+            if cool.any():
+                texts = pa.FixedSizeBinaryArray.from_buffers(pa.binary(both.shape[1]), int(cool.sum()), [None, pa.py_buffer(both[cool].tobytes())])
+                none = pa.nulls(int(cool.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(doc[here][cool]), pa.array(at[here][cool]), pa.array(h[here][cool]), texts.cast(pa.binary()), none, none], ["doc", "at", "h", "around", "e", "times"])
+            if not cool.all():
+                yield _windows(doc[here][~cool], at[here][~cool], both[~cool])
 
 
 def names_of(symbols: np.ndarray) -> np.ndarray:
@@ -325,12 +337,20 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by h; a chunk is closed between two values of h."""
 
     def flush(tables):
-        t = pa.Table.from_batches(tables)
-        at = t["at"].to_numpy()
-        around = np.frombuffer(b"".join(t["around"].to_pylist()), np.uint8).reshape(len(at), -1)
-        row, begin, end = repeats(around[:, :SPAN], around[:, SPAN:], at >> 8 & 255, at & 255)
-        x = at[row] >> 16
-        return pa.RecordBatch.from_arrays([pa.array(t["doc"].to_numpy()[row]), pa.array(x - end), pa.array(x - begin)], ["doc", "lo", "hi"])
+        t = pa.Table.from_batches(tables).combine_chunks()
+        each = t["around"].is_null().to_numpy()
+        doc, at = t["doc"].to_numpy(), t["at"].to_numpy()
+        out = []
+        if not each.all():
+            around = np.frombuffer(b"".join(x for x in t["around"].to_pylist() if x is not None), np.uint8).reshape(int((~each).sum()), -1)
+            mine, place = doc[~each], at[~each]
+            row, begin, end = repeats(around[:, :SPAN], around[:, SPAN:], place >> 8 & 255, place & 255)
+            out.append((mine[row], (place[row] >> 16) - end, (place[row] >> 16) - begin))
+        if each.any():  # windows of hot grams: those that are there more than once
+            frame = pd.DataFrame({c: t[c].to_numpy()[each] for c in ("h", "e", "times")})
+            again = (frame.groupby(["h", "e"])["times"].transform("sum") > 1).to_numpy()
+            out.append((doc[each][again], at[each][again], at[each][again]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["doc", "lo", "hi"])
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -353,42 +373,48 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(doc: np.ndarray, at: np.ndarray, around: np.ndarray) -> pa.RecordBatch:
     """One row for each window of a hot gram, by the hash of its bytes."""
-    for batch in batches:
-        at, around = batch.column("at").to_numpy(), np.frombuffer(b"".join(batch.column("around").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        line = np.hstack([around[:, SPAN:][:, ::-1], around[:, :SPAN]])
-        width = line.shape[1]
-        spans = A.SpanHash(line.ravel())
-        first, last = at & 255, at >> 8 & 255
-        n = last - first + 1
-        row = np.repeat(np.arange(len(at)), n)
-        l = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[row]
-        start = row * width + REACH - 1 - l
-        h = spans(start, start + SPAN)
-        second = A.mix(spans(start, start + SPAN // 2) * A.GOLD + spans(start + SPAN // 4, start + SPAN))
-        frame = pd.DataFrame({"doc": batch.column("doc").to_numpy()[row], "at": (at[row] >> 16) - l, "h": A.signed(h), "e": A.signed(second)})
-        yield pa.RecordBatch.from_pandas(_collapse(frame), preserve_index=False)
+    line = np.hstack([around[:, SPAN:][:, ::-1], around[:, :SPAN]])
+    width = line.shape[1]
+    spans = A.SpanHash(line.ravel())
+    first, last = at & 255, at >> 8 & 255
+    n = last - first + 1
+    row = np.repeat(np.arange(len(at)), n)
+    l = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[row]
+    start = row * width + REACH - 1 - l
+    h = spans(start, start + SPAN)
+    second = A.mix(spans(start, start + SPAN // 2) * A.GOLD + spans(start + SPAN // 4, start + SPAN))
+    frame = _collapse(pd.DataFrame({"doc": doc[row], "at": (at[row] >> 16) - l, "h": A.signed(h), "e": A.signed(second)}))
+    none = pa.nulls(len(frame), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(frame["doc"].to_numpy()), pa.array(frame["at"].to_numpy()), pa.array(frame["h"].to_numpy()), none, pa.array(frame["e"].to_numpy()), pa.array(frame["times"].to_numpy(np.int64))], ["doc", "at", "h", "around", "e", "times"])
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Takes settled windows (marks) and repeats (runs) out of the texts."""
     for batch in batches:
         buf, offs = A.text_buffer(batch.column("text"))
         raw = memoryview(np.ascontiguousarray(buf))
-        runs = batch.column("runs")
-        at = runs.offsets.to_numpy()
-        flat = runs.flatten()
-        lo_all, hi_all = flat.field("lo").to_numpy(), flat.field("hi").to_numpy()
-        base, cols = at[0], ([], [], [], [])
+        marks, runs = batch.column("marks"), batch.column("runs")
+        flat = marks.flatten()
+        mark = flat.field("mark").to_numpy()
+        on, at = mark & SETTLED > 0, mark >> 3
+        a, b = marks.offsets.to_numpy() - marks.offsets[0].as_py(), runs.offsets.to_numpy() - runs.offsets[0].as_py()
+        row = np.concatenate([np.repeat(np.arange(batch.num_rows), np.diff(a))[on], np.repeat(np.arange(batch.num_rows), np.diff(b))])
+        found = runs.flatten()
+        lo_all = np.concatenate([((at >> 16) - (at >> 8 & 255))[on], found.field("lo").to_numpy()])
+        hi_all = np.concatenate([((at >> 16) - (at & 255))[on], found.field("hi").to_numpy()])
+        order = np.lexsort((lo_all, row))
+        lo_all, hi_all = lo_all[order], hi_all[order]
+        bounds = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
+        cols: tuple[list, ...] = ([], [], [], [])
         for k in range(batch.num_rows):
-            a, b = int(offs[k]), int(offs[k + 1])
-            text = raw[a:b]
-            lo, hi = lo_all[at[k] - base : at[k + 1] - base], hi_all[at[k] - base : at[k + 1] - base]
+            text = raw[int(offs[k]) : int(offs[k + 1])]
+            lo, hi = lo_all[bounds[k] : bounds[k + 1]], hi_all[bounds[k] : bounds[k + 1]]
             removed = spans = 0
             digest = hashlib.sha256()
             if len(lo):
-                order = np.argsort(lo, kind="stable")
-                lo, end = lo[order], np.maximum.accumulate(hi[order] + SPAN)
+                end = np.maximum.accumulate(hi + SPAN)
                 new = np.flatnonzero(np.concatenate(([True], lo[1:] > end[:-1])))
                 starts, ends = lo[new], end[np.append(new[1:], len(lo)) - 1]
                 removed, spans, p = int((ends - starts).sum()), len(starts), 0
@@ -398,15 +424,13 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest.update(text[p:])
             else:
                 digest.update(text)
-            for c, x in zip(cols, (b - a, removed, spans, digest.hexdigest()), strict=True):
+            for c, x in zip(cols, (len(text), removed, spans, digest.hexdigest()), strict=True):
                 c.append(x)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_runs(text: DataFrame, buckets: int) -> DataFrame:
-    """(doc, lo, hi): starts lo..hi of 200-byte strings that occur elsewhere, by row_id, of text(row_id, text, doc_id).
-
-    All joins take the same columns of text, so that one exchange of the texts serves all."""
+def marks_of(text: DataFrame, buckets: int) -> DataFrame:
+    """(doc, marks): by row_id, the samples of text(row_id, text, doc_id) that are settled or open, as (position and flags, gram)."""
     named = text.select("row_id", "text").mapInArrow(_name(buckets), REFS)
     lives = named.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_survivors, "row_id long, number long")
     numbers = lives.groupBy("row_id").agg(F.collect_set("number").alias("numbers")).withColumnRenamed("row_id", "doc").hint("merge")
@@ -415,28 +439,24 @@ def repeated_runs(text: DataFrame, buckets: int) -> DataFrame:
     by_gram = Window.partitionBy("h")
     each = Window.partitionBy("h", "e")
     found = found.repartition("h").withColumns({"least": F.min("e").over(by_gram), "most": F.max("e").over(by_gram), "near": F.count("*").over(by_gram), "times": F.sum("times").over(each), "nth": F.row_number().over(each.orderBy("doc", "at"))})
-    found = found.withColumn("open", F.expr("least <> most and nth = 1"))
-    settled = found.where("times > 1").selectExpr("doc", "shiftright(at, 16) - (shiftright(at, 8) & 255) lo", "shiftright(at, 16) - (at & 255) hi")
-    listed = found.where("open").groupBy("doc").agg(F.collect_list(F.struct("at", "h", F.expr(f"near > {HOT}").alias("hot"))).alias("open"))
-    around = "doc long, at long, h long, around binary"
-
-    def near(hot: bool) -> DataFrame:
-        some = listed.withColumn("open", F.expr(f"filter(open, x -> x.hot = {str(hot).lower()})")).where("size(open) > 0").hint("shuffle_hash")
-        return text.join(some, text.row_id == some.doc).select(*text.columns, "open").mapInArrow(_neighbourhoods, around)
-
-    sorted_ = near(False).repartition("h").sortWithinPartitions("h").mapInArrow(_resolve, "doc long, lo long, hi long")
-    dealt = near(True).mapInArrow(_windows, "doc long, at long, h long, e long, times long")
-    again = dealt.groupBy("h", "e").agg(F.sum("times").alias("all")).where("all > 1")
-    dealt = dealt.join(again, ["h", "e"]).select("doc", "at").union(dealt.where("times > 1").select("doc", "at"))
-    return settled.union(sorted_).union(dealt.selectExpr("doc", "at lo", "at hi"))
+    found = found.withColumns({"open": F.expr("least <> most and nth = 1"), "settled": F.expr("times > 1")}).where("open or settled")
+    mark = F.expr(f"shiftleft(at, 3) + if(open, {OPEN}, 0) + if(settled, {SETTLED}, 0) + if(near > {HOT}, {IS_HOT}, 0)")
+    return found.groupBy("doc").agg(F.collect_list(F.struct(mark.alias("mark"), F.when(F.col("open"), F.col("h")).otherwise(0).alias("h"))).alias("marks"))
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs(doc_id, text)."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs(doc_id, text).
+
+    All joins take the same rows and columns of the texts, so that one exchange of them serves all."""
     arrow_rows(docs.sparkSession)
     rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    text = rows.select("row_id", "text", "doc_id")
-    runs = repeated_runs(text, max(16, size * len(COVER) // PERIOD // BUCKET)).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")).hint("shuffle_hash")
-    joined = text.join(runs, text.row_id == runs.doc, "left").select("doc_id", "text", F.coalesce("runs", F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)")).alias("runs"))
+    text = rows.select("row_id", "text", "doc_id").where("row_id is not null")
+    marks = marks_of(text, max(16, size * len(COVER) // PERIOD // BUCKET)).hint("shuffle_hash")
+    around = text.join(marks, text.row_id == marks.doc).select(*text.columns, "marks").mapInArrow(_open, AROUND)
+    repeated = around.repartition("h").sortWithinPartitions("h").mapInArrow(_resolve, "doc long, lo long, hi long")
+    runs = repeated.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("lo", "hi")).alias("runs")).hint("shuffle_hash")
+    joined = text.join(marks, text.row_id == marks.doc, "left").join(runs, text.row_id == runs.of, "left")
+    none = {c: F.array().cast(df.schema[c].dataType) for c, df in (("marks", marks), ("runs", runs))}
+    joined = joined.select(*text.columns, *(F.coalesce(c, x).alias(c) for c, x in none.items()))
     return joined.mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
