@@ -6,6 +6,7 @@ import functools
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -37,7 +38,17 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-def ensure_checkpoint(spark: SparkSession) -> None:
-    """Sets a folder for checkpoint() where the cluster names none."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder that spark.checkpoint.dir names: its lineage ends there.
+
+    On one machine without that setting a folder of our own is used; on a cluster that is an error."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        at = f"file://{tempfile.mkdtemp(prefix='cut-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    path, schema = f"{at.rstrip('/')}/cut-{uuid.uuid4().hex}", df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
