@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw
 from .steps import alternates, in_order, numbered, valid_prefix
 
 
@@ -44,5 +45,6 @@ def split(rows: DataFrame, ratio: float = 0.9, key: str = "conv_id", seed: int |
 
 
 def shuffled(rows: DataFrame, seed: int, key: str) -> DataFrame:
-    """A repeatable order by a keyed hash."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    """A repeatable order by a keyed draw; keys are whole numbers, or hashed where they are not."""
+    whole = rows.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
+    return rows.orderBy(draw(F.lit(seed), F.col(key) if whole else F.xxhash64(key)), F.col(key))
