@@ -15,9 +15,13 @@ def in_order(key: str, order: str):
 
 def pair_count(steps: DataFrame, first: str, second: str, key: str = "conv_id", order: str = "turn", name: str = "pairs") -> DataFrame:
     """Adjacent (first, second) role pairs of each conversation; equal to a greedy scan, as the roles differ."""
+    return pair_counts(steps, {name: (first, second)}, key, order)
+
+
+def pair_counts(steps: DataFrame, pairs: dict[str, tuple[str, str]], key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Counts of several kinds of adjacent pairs by name, in one pass."""
     after = F.lead("role").over(in_order(key, order))
-    hit = (F.col("role") == first) & (after == second)
-    return steps.withColumn("_hit", hit).groupBy(key).agg(F.count_if("_hit").alias(name))
+    return steps.withColumn("_after", after).groupBy(key).agg(*(F.count_if((F.col("role") == a) & (F.col("_after") == b)).alias(name) for name, (a, b) in pairs.items()))
 
 
 def valid_prefix(steps: DataFrame, valid: Column, key: str = "conv_id", order: str = "turn") -> DataFrame:
