@@ -93,15 +93,159 @@ def keyset_page(df: DataFrame, cursor, size: int, key: str) -> DataFrame:
     return (df.where(F.col(key) > cursor) if known else df).orderBy(key).limit(size)
 
 
+def page_by_number(df: DataFrame, cursor: str | None, size: int, ord_: str) -> DataFrame:
+    """A page from an integer cursor (none or no number: the start), with next_cursor ('' at the end)."""
+    text = str(cursor or "").strip()
+    start = max(0, int(text)) if text.lstrip("+-").isdigit() else 0
+    total = df.agg(F.count("*").alias("_total"))
+    after = F.when(F.col("_total") > start + size, F.lit(str(start + size))).otherwise(F.lit(""))
+    return df.orderBy(ord_).offset(start).limit(size).crossJoin(F.broadcast(total)).withColumn("next_cursor", after).drop("_total")
+
+
+def page_by_token(df: DataFrame, offset: str | None, max_records: int | None, page_size: int | None, ord_: str, cap: int = 100) -> DataFrame:
+    """A page of the least of both sizes and the store's cap, with the token of the next one (null at the end)."""
+    size = min(max_records or cap, page_size or cap, cap)
+    out = page_by_number(df, offset, size, ord_)
+    return out.withColumn("offset", F.nullif("next_cursor", F.lit(""))).drop("next_cursor")
+
+
+def lookup(df: DataFrame, key: str, value, miss: str = "error", default: dict | None = None) -> DataFrame:
+    """The row of a key.  Where there is none: an error when it is read, no row ('empty'), or a row of defaults ('default')."""
+    row = df.where(F.col(key) == F.lit(value))
+    if miss == "empty":
+        return row
+    one = df.sparkSession.range(1).select(F.lit(value).cast(df.schema[key].dataType).alias("_key"))
+    both = one.join(row, F.col("_key") == F.col(key), "left")
+    if miss == "error":
+        found = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"no row for key {value!r}")).cast(df.schema[key].dataType)).otherwise(F.col(key))
+        return both.select(*(found.alias(c) if c == key else F.col(c) for c in df.columns))
+    values = {key: value, **(default or {})}
+    there = F.col(key).isNotNull()
+    return both.select(*(F.when(there, F.col(c)).otherwise(F.lit(values.get(c)).cast(df.schema[c].dataType)).alias(c) for c in df.columns))
+
+
+def at_keys(df: DataFrame, columns: list[str], keys: list[str], separator: str = ":") -> DataFrame:
+    """Rows whose columns, joined by the separator, are one of the keys; each column is compared by itself, so that scans can skip."""
+    parts = [k.split(separator) for k in keys]
+    wanted = [[F.lit(x).cast(df.schema[c].dataType) for c, x in zip(columns, p, strict=True)] for p in parts if len(p) == len(columns)]
+    if not wanted:
+        return df.limit(0)
+    return df.where(reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c) == v for c, v in zip(columns, w, strict=True)]) for w in wanted]))
+
+
+def coordinate_key(lat: Column, lon: Column) -> Column:
+    return F.format_string("%.4f,%.4f", lat, lon)
+
+
+def due_between(due: Column, low: str | None, high: str | None) -> Column:
+    """Text dates inside the bounds, which count; no due date lets a row pass, as does no bound."""
+    ok = F.lit(True)
+    if low:
+        ok = ok & (due >= low)
+    if high:
+        ok = ok & (due <= high)
+    return due.isNull() | (due == "") | ok
+
+
+def tagged_union(branches: dict[str, DataFrame], ord_: str, tag: str = "kind") -> DataFrame:
+    """Rows of all branches with their tag, ordered by branch and then by each branch's order (columns _branch, ord_)."""
+    return reduce(DataFrame.unionByName, [df.withColumns({tag: F.lit(name), "_branch": F.lit(k)}) for k, (name, df) in enumerate(branches.items())]).orderBy("_branch", ord_)
+
+
+def entities(lists: DataFrame, key: str, ids: str, table: DataFrame, id_: str) -> DataFrame:
+    """(key, position, table's columns) for the ids that a list names, in its order; ids that the table lacks are dropped."""
+    named = lists.select(key, F.posexplode(ids).alias("position", id_))
+    return named.join(table, id_).select(key, "position", *table.columns)
+
+
+def index_search(index: DataFrame, key: str, ids: str, query: str, table: DataFrame, id_: str) -> DataFrame:
+    """The table's rows that entries of an index (key, array ids) name, where the key holds the query; once for each entry."""
+    return index.where(contains_any(query, key)).select(key, F.explode(ids).alias(id_)).join(table, id_)
+
+
+def facets(df: DataFrame, keys: Column, default: str = "N/A") -> DataFrame:
+    """(key, n) of every element of a list column; a missing list counts as the default, an empty one not at all."""
+    return df.select(F.explode(F.coalesce(keys, F.array(F.lit(default)))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def mean_hours(df: DataFrame, by: list[str], start: Column, end: Column, form: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
+    """Mean hours between two text times for each group; rows that do not parse are left out, a group without any has 0."""
+    at = lambda c: F.unix_timestamp(F.try_to_timestamp(c, F.lit(form)))
+    return df.groupBy(*by).agg(F.coalesce(F.avg((at(end) - at(start)) / 3600), F.lit(0.0)).alias("hours"))
+
+
+def nested(df: DataFrame, outer: str, inner: str, value: str, ord_: str) -> DataFrame:
+    """(outer, items): a map from inner to the list of values, in order."""
+    lists = df.groupBy(outer, inner).agg(F.transform(F.sort_array(F.collect_list(F.struct(ord_, value))), lambda x: x[value]).alias("_v"))
+    return lists.groupBy(outer).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(inner, "_v")))).alias("items"))
+
+
+def first_zone(address: Column, zones: list[list[str]]) -> Column:
+    """The 1-based number of the first zone one of whose names the address holds, else one more than there are."""
+    out = None
+    for k, names in enumerate(zones, 1):
+        hit = reduce(lambda a, b: a | b, [F.contains(address, F.lit(x)) for x in names])
+        out = F.when(hit, k) if out is None else out.when(hit, k)
+    return out.otherwise(len(zones) + 1)
+
+
+def zone_price(df: DataFrame, a: Column, b: Column, company: Column, weight: Column, rates: DataFrame, multipliers: DataFrame, rate: float = 10.0, multiplier: float = 1.5) -> DataFrame:
+    """df with price and days: rate of the company x weight x multiplier of the unordered pair of zones.
+
+    rates(company, rate), multipliers(zones 'low-high', multiplier); what they lack has the defaults, text that is no weight is 1."""
+    rows = df.withColumns({"_a": a, "_b": b, "_company": company, "_weight": F.coalesce(F.try_to_number(weight, F.lit("999999999D999999")).cast("double"), F.lit(1.0))})
+    rows = rows.withColumn("_zones", F.concat_ws("-", F.least("_a", "_b"), F.greatest("_a", "_b")))
+    rows = rows.join(F.broadcast(rates.selectExpr("company _company", "rate _rate")), "_company", "left").join(F.broadcast(multipliers.selectExpr("zones _zones", "multiplier _multiplier")), "_zones", "left")
+    price = F.bround(F.coalesce("_rate", F.lit(rate)) * F.col("_weight") * F.coalesce("_multiplier", F.lit(multiplier)), 2)
+    days = F.when(F.col("_a") == F.col("_b"), 1).when(F.abs(F.col("_a") - F.col("_b")) <= 2, 2).otherwise(3)
+    return rows.withColumns({"price": price, "days": days}).select(*df.columns, "price", "days")
+
+
+def a1_range(sheet: DataFrame, range_: str | None, row: str = "row", cells: str = "cells") -> DataFrame:
+    """Rows (0-based row, array cells) of a range in A1 notation with single letters; a range that is none gives all."""
+    import re
+
+    m = re.fullmatch(r"([A-Z])(\d+):([A-Z])(\d+)", range_ or "")
+    if not m:
+        return sheet
+    first, last = ord(m[1]) - 65, ord(m[3]) - 65
+    some = sheet.where(F.col(row).between(int(m[2]) - 1, int(m[4]) - 1))
+    return some.withColumn(cells, F.slice(cells, first + 1, max(0, last - first + 1)))
+
+
+def insert_documents(old: DataFrame, new: DataFrame, counter: int, key: str = "_id", ord_: str = "_ord") -> tuple[DataFrame, int]:
+    """old and new rows; new ones without a key get gen_<counter> in their order.  Returns the next counter too."""
+    from pyspark.sql import Window
+
+    missing = new.where(F.col(key).isNull())
+    n = missing.count()
+    numbered = missing.withColumn(key, F.concat(F.lit("gen_"), (F.row_number().over(Window.orderBy(ord_)) - 1 + counter).cast("string")))  # one client's insert: small
+    return old.unionByName(new.where(F.col(key).isNotNull())).unionByName(numbered), counter + n
+
+
+def guarded_update(df: DataFrame, wanted: Column, guard: Column, changes: dict[str, Column], message: str) -> DataFrame:
+    """df with the changes in the rows that are wanted; a wanted row that fails the guard is an error when it is read."""
+    ok = F.when(guard, True).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
+    return df.withColumns({c: F.when(wanted, F.when(ok, v)).otherwise(F.col(c)) for c, v in changes.items()})
+
+
 def floor_quantiles(df: DataFrame, key: str, value: str) -> DataFrame:
     """sorted[n // 4], [n // 2], [3n // 4] for each key; not interpolated.
 
-    Rank and count come from a window over each key's rows, which spill, instead of a collected list."""
+    Equal values are counted first; ranges of (key, value), sorted over all tasks, are summed up, and each
+    range only adds what stands before it, so that no task holds a key's rows."""
     from pyspark.sql import Window
 
-    by = Window.partitionBy(key)
-    rows = df.withColumns({"_i": F.row_number().over(by.orderBy(value)) - 1, "_n": F.count("*").over(by)})
-    at = lambda q: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * q / 4), F.col(value)))
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_c"))
+    # parts in the order of value within a key: a part is a bucket of the key's values by their rank among quantiles of it
+    cuts = df.groupBy(key).agg(F.count(value).alias("_n"), F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("_cuts"))
+    rows = counts.join(F.broadcast(cuts), key).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
+    parts = rows.groupBy(key, "_part").agg(F.sum("_c").alias("_s"))
+    before = parts.withColumn("_before", F.coalesce(F.sum("_s").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    rows = rows.join(F.broadcast(before), [key, "_part"])
+    upto = F.sum("_c").over(Window.partitionBy(key, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    rows = rows.withColumn("_upto", upto)
+    at = lambda q: F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * q / 4), F.col(value)))
     return rows.groupBy(key).agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
 
 
@@ -137,6 +281,31 @@ def degrees_apart(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Col
     return F.sqrt(F.pow(lat2 - lat1, F.lit(2)) + F.pow(lon2 - lon1, F.lit(2)))
 
 
+def nearest(df: DataFrame, lat: Column, lon: Column, sites: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """df with nearest: the key of the nearest of sites(key, lat, lon) in the plane, the first by key among equals.
+
+    Sites are a short list (at most `most`, else an error), which every row scans as a constant."""
+    found = sites.orderBy(key).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} sites")
+    if not found:
+        return df.withColumn("nearest", F.lit(None).cast(sites.schema[key].dataType))
+    listed = F.array(*(F.struct(F.lit(float(r["lat"])).alias("lat"), F.lit(float(r["lon"])).alias("lon"), F.lit(i).alias("i"), F.lit(r[key]).cast(sites.schema[key].dataType).alias("key")) for i, r in enumerate(found)))
+    best = F.array_min(F.transform(listed, lambda s: F.struct(degrees_apart(lat, lon, s["lat"], s["lon"]).alias("d"), s["i"].alias("i"), s["key"].alias("key"))))
+    return df.withColumn("nearest", best["key"])
+
+
+def within(points: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
+    """Pairs of points(lat, lon, ...) and centres(c_lat, c_lon, ...) less than radius degrees apart.
+
+    Points meet centres by cells as wide as the radius, of which a centre looks at nine; distances are then checked."""
+    cell = lambda c, d=0: F.floor(c / radius).cast("long") + d
+    nine = F.array(*(F.struct(cell(F.col("c_lat"), i).alias("_x"), cell(F.col("c_lon"), j).alias("_y")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    near = centres.select("*", F.inline(nine))
+    met = points.withColumns({"_x": cell(F.col("lat")), "_y": cell(F.col("lon"))}).join(near, ["_x", "_y"])
+    return met.where(degrees_apart(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")) < radius).drop("_x", "_y")
+
+
 def replay(calls: DataFrame, key: str, order: str) -> DataFrame:
     """State after each call (key, order, op, item, value) of a client: set, add, delete over a small map.
 
