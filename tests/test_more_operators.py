@@ -36,25 +36,6 @@ def test_weighted_pairs_with_zero_parts(spark):
     assert {(r.a, r.b) for r in graph.weighted_pairs(df, "id", "n", "d", 0.5).collect()} == want
 
 
-def test_split_turns_stays_within_bounds(spark):
-    df = spark.createDataFrame([(c, p) for c in range(30) for p in range(12)], "chain long, pos long")
-    rows = catalog.split_turns(df, most=3, seed=1).orderBy("chain", "pos").collect()
-    for c in range(30):
-        turns = [r.turn for r in rows if r.chain == c]
-        assert turns[0] == 0 and max(turns) <= 2 and all(0 <= b - a <= 1 for a, b in zip(turns, turns[1:]))
-    assert rows == catalog.split_turns(df.repartition(3), most=3, seed=1).orderBy("chain", "pos").collect()
-
-
-def test_topology_sample_follows_edges_once(spark):
-    edges = [(a, (a * k + 1) % 20) for a in range(20) for k in (2, 3, 5)]
-    e = spark.createDataFrame(edges, "src long, dst long")
-    rows = catalog.topology_sample(e, spark.createDataFrame([(s, s) for s in range(4)], "seed long, start long"), depth=3, seed=4).collect()
-    for s in range(4):
-        at = {r.node: r.step for r in rows if r.seed == s}
-        assert len(at) == sum(r.seed == s for r in rows) and at[s] == 0
-        assert all(n == s or any(a in at and at[a] == at[n] - 1 for a, b in edges if b == n) for n in at)
-
-
 def test_log_shapes(spark):
     df = spark.createDataFrame([("1", '[{"user": "a"}, {"assistant": ["b", "c"]}]'), ("02", '{"system": "d"}'), ("x", "[1]"), ("3", '"no"'), ("4", None), (None, "[1]")], "key string, messages string")
     out = traces.normalised_turns(df)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analytics, catalog, graph, knowledge, paths, steps, store, traces, training
-from ..session import ensure_checkpoint
+from ..functions.draws import draw, draw_sql
+from ..operators import analytics, catalog, graph, knowledge, paths, sampling, steps, store, traces, training, turns, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,8 +45,7 @@ PAIRS = "select conv_id, role, lead(role) over (partition by conv_id order by tu
 
 @query(f"select conv_id, count(*) filter (role = 'user' and nxt = 'assistant') as asked, count(*) filter (role = 'assistant' and nxt = 'user') as followed from ({PAIRS}) group by conv_id")
 def pair_count(t):
-    asked = steps.pair_count(t.conversations, "user", "assistant", name="asked")
-    return asked.join(steps.pair_count(t.conversations, "assistant", "user", name="followed"), "conv_id")
+    return steps.pair_counts(t.conversations, {"asked": ("user", "assistant"), "followed": ("assistant", "user")})
 
 
 @query(f"with p as (select conv_id, count(*) filter (role = 'user' and nxt = 'assistant') as v from ({PAIRS}) group by conv_id) select 'asked' as metric, v as value, count(*) as n from p where v > 0 group by v")
@@ -80,16 +79,81 @@ def filter_min_valid_turns(t):
     return steps.keep_conversations(t.conversations, F.col("role") == "assistant").select("conv_id", "turn")
 
 
-@query("with m as (select conv_id, count(*) as n, count(*) filter (role = 'user') as u from conversations group by conv_id) select 'steps' as metric, n as value, count(*) as n from m group by n union all select 'user_turns', u, count(*) from m where u > 0 group by u")
+#: The conversations as turns of four steps, with calls and responses, types and thoughts spread over them.
+STEPS = """select conv_id as conv, node, cast(row_number() over (partition by conv_id, node order by turn) - 1 as bigint) as idx, role, text, type, think, think_present
+from (select conv_id, turn, turn // 4 as node, case when role = 'system' then 'user' when role = 'user' and (conv_id + turn) % 3 = 0 then 'tool_response' when role = 'assistant' and (conv_id + turn // 2) % 2 = 0 then 'tool_call' else role end as role,
+  coalesce(text, '') || case when (conv_id + turn) % 11 = 0 then ' Error' when (conv_id + turn) % 13 = 0 then ' error' else '' end as text,
+  case (conv_id + turn) % 9 when 3 then 'REMOVE' when 5 then 'HIDE' when 7 then 'KEEP' end as type, case when (conv_id + turn) % 4 = 1 then 'so ' || role end as think, (conv_id + turn) % 4 < 2 as think_present from conversations)"""
+TURNS = "select distinct conv_id as conv, turn // 4 as node, (conv_id + turn // 4) % 6 <> 5 as decision from conversations"
+
+
+def derived_steps(t: Tables) -> DataFrame:
+    at = F.col("conv_id") + F.col("turn")
+    node = F.floor(F.col("turn") / 4).cast("long")
+    role = F.when(F.col("role") == "system", "user").when((F.col("role") == "user") & (at % 3 == 0), "tool_response").when((F.col("role") == "assistant") & ((F.col("conv_id") + F.floor(F.col("turn") / 2)) % 2 == 0), "tool_call").otherwise(F.col("role"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(at % 11 == 0, " Error").when(at % 13 == 0, " error").otherwise(""))
+    kind = F.when(at % 9 == 3, "REMOVE").when(at % 9 == 5, "HIDE").when(at % 9 == 7, "KEEP")
+    idx = (F.row_number().over(Window.partitionBy("conv_id", node).orderBy("turn")) - 1).cast("long")
+    return t.conversations.select(F.col("conv_id").alias("conv"), node.alias("node"), idx.alias("idx"), role.alias("role"), text.alias("text"), kind.alias("type"), F.when(at % 4 == 1, F.concat(F.lit("so "), "role")).alias("think"), (at % 4 < 2).alias("think_present"))
+
+
+def derived_turns(t: Tables) -> DataFrame:
+    node = F.floor(F.col("turn") / 4).cast("long")
+    return t.conversations.select(F.col("conv_id").alias("conv"), node.alias("node"), ((F.col("conv_id") + node) % 6 != 5).alias("decision")).distinct()
+
+
+PAIRED = f"with s as ({STEPS}), t as ({TURNS}), l as (select *, lead(role) over (partition by conv, node order by idx) as nxt from s), m as (select conv, node, count(*) as steps, count(*) filter (role = 'tool_call' and nxt = 'tool_response') as calls, count(*) filter (role = '{{}}' and nxt = '{{}}') as talks from l group by conv, node)"
+
+
+@query(PAIRED.format("assistant", "user") + """, o as (select t.conv, t.node, m.calls, m.talks, min(case when t.decision and m.steps is not null then 1 else 0 end) over (partition by t.conv order by t.node) as ok from t left join m on m.conv = t.conv and m.node = t.node),
+v as (select * from o where ok = 1), c as (select conv, sum(calls + talks) as n from v group by conv having sum(calls + talks) > 0)
+select 'steps_per_turn_distribution' as metric, cast(calls + talks as varchar) as value, count(*) as n from v group by 2 union all select 'tool_calls_per_turn_distribution', cast(calls as varchar), count(*) from v group by 2 union all select 'user_interactions_per_turn_distribution', cast(talks as varchar), count(*) from v group by 2
+union all select 'steps_per_conversation_distribution', cast(cast(n as bigint) as varchar), count(*) from c group by 2 union all select 'turn_distribution', cast(cast(n as bigint) as varchar), count(*) from c group by 2 union all select 'mcp_server_distribution', role, count(distinct conv_id) from conversations group by role""")
 def chain_stats(t):
-    m = t.conversations.groupBy("conv_id").agg(F.count("*").alias("steps"), F.count_if(F.col("role") == "user").alias("user_turns"))
-    return analytics.distribution(m, "steps").unionByName(analytics.distribution(m, "user_turns"))
+    servers = t.conversations.select(F.col("conv_id").alias("conv"), F.col("role").alias("server"))
+    return turns.chain_stats(derived_steps(t), derived_turns(t), servers)
+
+
+@query(PAIRED.format("user", "assistant") + " select conv, node, steps, calls as tool_calls, talks as user_interactions from m")
+def analysis_turns(t):
+    return turns.turn_metrics(derived_steps(t), ("user", "assistant"))
 
 
-@query("select count(distinct conv_id) as conversations, count(*) as steps, count(*) / count(distinct conv_id) as steps_per_conversation, count(*) filter (role = 'user') as user_steps, cast(sum(length(text)) as bigint) as characters from conversations")
+@query(PAIRED.format("user", "assistant") + " select conv, cast(sum(calls + talks) as bigint) as turns, cast(sum(steps) as bigint) as steps, cast(sum(calls) as bigint) as tool_calls, cast(sum(talks) as bigint) as user_interactions from m group by conv")
+def analysis_conversations(t):
+    return turns.conversation_metrics(turns.turn_metrics(derived_steps(t), ("user", "assistant")))
+
+
+@query(PAIRED.format("user", "assistant") + """ select any_value(total) as total_conversations, cast(sum(calls + talks) as bigint) as total_turns, cast(sum(steps) as bigint) as total_steps, cast(sum(calls) as bigint) as total_tool_calls, cast(sum(talks) as bigint) as total_user_interactions,
+sum(calls + talks) / any_value(total) as avg_turns_per_conversation, sum(steps) / any_value(total) as avg_steps_per_conversation, sum(calls) / any_value(total) as avg_tool_calls_per_conversation, sum(talks) / any_value(total) as avg_user_interactions_per_conversation,
+sum(steps) / count(*) as avg_steps_per_turn, sum(calls) / count(*) as avg_tool_calls_per_turn, sum(talks) / count(*) as avg_user_interactions_per_turn from m, (select count(distinct conv_id) as total from conversations)""")
 def analysis_metrics(t):
-    c = t.conversations
-    return c.agg(F.count_distinct("conv_id").alias("conversations"), F.count("*").alias("steps"), (F.count("*") / F.count_distinct("conv_id")).alias("steps_per_conversation"), F.count_if(F.col("role") == "user").alias("user_steps"), F.sum(F.length("text")).alias("characters"))
+    return turns.analysis_summary(turns.turn_metrics(derived_steps(t), ("user", "assistant")), t.conversations.select("conv_id").distinct())
+
+
+#: Pairs of the turns that training rows are made of, with what stands before them.
+SFT = f"""with s as ({STEPS}), t as ({TURNS}),
+a as (select conv, node, bool_and(case when idx % 2 = 0 then role in ('user', 'tool_response') else role in ('assistant', 'tool_call') end) as alt, count(*) filter (role = 'tool_call') as calls from s group by conv, node),
+o as (select t.conv, t.node, a.calls, min(case when t.decision and a.alt then 1 else 0 end) over (partition by t.conv order by t.node) as ok from t left join a on a.conv = t.conv and a.node = t.node),
+l as (select s.*, lead(s.text) over w as output, lead(s.role) over w as role1, coalesce(lead(s.type) over w, 'KEEP') as type1, lead(s.think) over w as think1, lead(s.think_present) over w as thought1, lead(s.role, 2) over w as role2, lead(s.text, 2) over w as text2 from s join o on o.conv = s.conv and o.node = s.node where o.ok = 1 and o.calls > 0 window w as (partition by s.conv, s.node order by s.idx)),
+h as (select *, string_agg(text || chr(10) || output, chr(10)) over w as before, count(*) over w as n_history from l where idx % 2 = 0 and role1 is not null and type1 <> 'REMOVE' window w as (partition by conv order by node, idx rows between unbounded preceding and 1 preceding))"""
+
+
+@query(SFT + """ select conv, node, idx, md5(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) as instruction_md5, md5(case when thought1 then '<think>' || coalesce(think1, 'None') || '</think>' || chr(10) || chr(10) else '' end || output) as output_md5, n_history, md5(coalesce(before, '')) as history_md5
+from h where type1 = 'KEEP' and not (role1 = 'tool_call' and coalesce(role2 = 'tool_response', false) and coalesce(contains(text2, 'Fail') or contains(text2, 'Error'), false))""")
+def sft_rows(t):
+    rows = turns.training_rows(derived_steps(t), derived_turns(t))
+    said = F.array_join(F.transform("history", lambda p: F.concat(p[0], F.lit("\n"), p[1])), "\n")
+    return rows.select("conv", "node", "idx", F.md5("instruction").alias("instruction_md5"), F.md5("output").alias("output_md5"), F.size("history").cast("long").alias("n_history"), F.md5(said).alias("history_md5"))
+
+
+@query(f"""with s as ({STEPS}), t as ({TURNS}), b as (select conv, node, string_agg('- ' || case role when 'user' then 'User' when 'assistant' then 'Assistant' when 'tool_call' then 'Tool Call' else 'Tool Response' end || ': ' || text || chr(10), '' order by idx) as said from s where not (conv % 4 = 0 and node = 1) group by conv, node),
+p as (select t.conv, t.node, case when t.node = 1 then '[Turn 2] (Current)' else '[Turn 1] (Previous)' end || chr(10) || case when b.said is not null then b.said || chr(10) when t.node = 1 then '- Target Tool Name 1: a-x' || chr(10) || '- Target Tool Name 2: b' || t.conv || chr(10) else chr(10) end as part from t left join b on b.conv = t.conv and b.node = t.node where t.node <= 1)
+select conv, md5(regexp_replace(regexp_replace(string_agg(part, '' order by node), '^\\s+', ''), '\\s+$', '')) as conversation_md5 from p group by conv""")
+def conversation_at_turn(t):
+    asked = derived_turns(t).withColumn("tools", F.array(F.lit("a-x"), F.concat(F.lit("b"), "conv")))
+    said = derived_steps(t).where("not (conv % 4 = 0 and node = 1)")
+    return turns.rendered_conversation(said, asked, 1).select("conv", F.md5("conversation").alias("conversation_md5"))
 
 
 PRE = f"select *, min(case when {ALT} then 1 else 0 end) over (partition by conv_id order by idx) as ok, lag(text) over (partition by conv_id order by idx) as instruction from (select *, row_number() over (partition by conv_id order by turn) - 1 as idx from conversations where role <> 'system')"
@@ -114,9 +178,9 @@ def train_val_split(t):
     return training.split(t.conversations.select("conv_id").distinct(), 0.9)
 
 
-@query()
+@query(f"select conv_id, turn, {draw_sql('42', 'conv_id')} as place from conversations")
 def seeded_shuffle(t):
-    return training.shuffled(t.conversations.select("conv_id", "turn"), 42, "conv_id")
+    return training.shuffled(t.conversations.select("conv_id", "turn"), 42, "conv_id").withColumn("place", draw(F.lit(42), F.col("conv_id")))
 
 
 @query("select conv_id, turn, failed from (select conv_id, turn, coalesce(role = 'assistant' and lead(role) over w = 'user' and (contains(lead(text) over w, 'The') or contains(lead(text) over w, 'Que')), false) as failed from conversations window w as (partition by conv_id order by turn)) where failed")
@@ -155,16 +219,33 @@ def length_correlation(t):
 
 @query("select r_name as domain, n_name as child, count(*) as n, cast(2 - grouping(r_name) - grouping(n_name) as bigint) as level from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)")
 def domain_rollup(t):
-    known = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = t.customer.join(F.broadcast(known), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    known = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t.customer.join(known, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return analytics.domain_rollup(rows.select(F.coalesce("r_name", F.lit("Other")).alias("domain"), F.col("n_name").alias("child")), "domain", "child")
 
 
-@query("select event_type as type, user_id % 5 as location, case when event_type in ('critical_error', 'crash') then 'critical' when contains(props, '1') then 'low' else 'low' end as severity, count(*) as n, min(event_id) as first_scenario from events where event_type = 'error' group by all")
+#: Events as errors of scenarios: types, places and details that reach every severity.
+ERRORS = "select event_id as scenario, case event_type when 'error' then 'Load Scenario Error' when 'view' then 'Schema Validation Error' else 'Tool Error' end as type, 'tool' || (user_id % 5) as location, case event_id % 4 when 0 then 'Multiple calls failed' when 1 then 'a SINGLE call failed' when 2 then 'odd' end as details from events"
+
+
+def derived_errors(t: Tables) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "Load Scenario Error").when(F.col("event_type") == "view", "Schema Validation Error").otherwise("Tool Error")
+    said = F.when(F.col("event_id") % 4 == 0, "Multiple calls failed").when(F.col("event_id") % 4 == 1, "a SINGLE call failed").when(F.col("event_id") % 4 == 2, "odd")
+    return t.events.select(F.col("event_id").alias("scenario"), kind.alias("type"), F.concat(F.lit("tool"), F.col("user_id") % 5).alias("location"), said.alias("details"))
+
+
+@query(f"select type, location, count(*) as n, md5(string_agg(lpad(cast(scenario as varchar), 12, '0'), ',' order by scenario)) as scenarios_md5 from ({ERRORS}) group by type, location")
 def error_aggregation(t):
-    rows = t.events.where("event_type = 'error'").select(F.col("event_type").alias("type"), (F.col("user_id") % 5).alias("location"), F.lit("").alias("details"), F.col("event_id").alias("scenario"))
-    out = analytics.errors(rows.withColumn("scenario", F.lpad(F.col("scenario").cast("string"), 12, "0")))
-    return out.select("type", "location", "severity", "n", F.split_part("scenarios", F.lit(","), F.lit(1)).cast("long").alias("first_scenario"))
+    out = analytics.errors(derived_errors(t).withColumn("scenario", F.lpad(F.col("scenario").cast("string"), 12, "0")))
+    return out.select("type", "location", "n", F.md5("scenarios").alias("scenarios_md5"))
+
+
+SEVERITY = "case when type in ('Load Scenario Error', 'Schema Validation Error') then 'critical' when contains(lower(coalesce(details, '')), 'multiple') then 'high' when contains(lower(coalesce(details, '')), 'single') then 'medium' else 'low' end"
+
+
+@query(f"select severity, count(e.type) as n from (values ('critical'), ('high'), ('medium'), ('low')) v(severity) left join (select *, {SEVERITY} as s from ({ERRORS})) e on e.s = severity group by severity")
+def error_severities(t):
+    return analytics.severity_summary(derived_errors(t))
 
 
 @query("select count(*) as total, count(*) filter (quality = 1) as passed, count(*) filter (quality <> 1) as failed, bool_and(quality = 1) as all_passed from labels")
@@ -201,7 +282,7 @@ def point_lookup(t):
 
 @query("select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey || ':' || l_linenumber in ('1:1', '5979:6', '7:2')")
 def composite_key_lookup(t):
-    return t.lineitem.where(F.concat_ws(":", "l_orderkey", "l_linenumber").isin("1:1", "5979:6", "7:2")).select("l_orderkey", "l_linenumber", "l_quantity")
+    return store.at_keys(t.lineitem, ["l_orderkey", "l_linenumber"], ["1:1", "5979:6", "7:2"]).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("select p_partkey, p_name from part where contains(lower(p_name), 'ring') or contains(lower(p_type), 'eco')")
@@ -222,8 +303,8 @@ def csv_argument_in(t):
 
 @query("select o_orderkey, o_totalprice from orders where o_totalprice between 1000 and 50000 and strftime(o_orderdate, '%Y-%m-%d') between '1996-01-01' and '1997-06-30'")
 def range_filter(t):
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return t.orders.where(F.col("o_totalprice").between(1000, 50000) & day.between("1996-01-01", "1997-06-30")).select("o_orderkey", "o_totalprice")
+    day = F.col("o_orderdate")
+    return t.orders.where(F.col("o_totalprice").between(1000, 50000) & (day >= F.lit("1996-01-01").cast("timestamp_ntz")) & (day < F.lit("1997-07-01").cast("timestamp_ntz"))).select("o_orderkey", "o_totalprice")
 
 
 @query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 15")
@@ -263,10 +344,11 @@ def paged_left_join_default(t):
     return cut.join(t.customer.where("c_acctbal > 0"), F.col("c_custkey") == F.col("o_custkey"), "left").select("o_orderkey", F.coalesce("c_name", F.lit("Unknown")).alias("name"))
 
 
-@query("select 'customer' as kind, c_name as name, c_acctbal as balance from customer where c_acctbal > 9000 union all select 'supplier', s_name, s_acctbal from supplier where s_acctbal > 9000")
+@query("select 'customer' as kind, 0 as _branch, c_name as name, c_acctbal as balance from customer where c_acctbal > 9000 union all select 'supplier', 1, s_name, s_acctbal from supplier where s_acctbal > 9000")
 def tagged_union(t):
-    c = t.customer.where("c_acctbal > 9000").select(F.lit("customer").alias("kind"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
-    return c.unionByName(t.supplier.where("s_acctbal > 9000").select(F.lit("supplier").alias("kind"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")))
+    c = t.customer.where("c_acctbal > 9000").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    s_ = t.supplier.where("s_acctbal > 9000").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return store.tagged_union({"customer": c, "supplier": s_}, "name")
 
 
 @query("select o_custkey, arg_max(o_orderpriority, 10 - cast(substr(o_orderpriority, 1, 1) as int)) as highest from orders group by o_custkey")
@@ -276,8 +358,9 @@ def ordinal_max(t):
 
 @query("with i as (select word, list(p_partkey) as ids from (select unnest(string_split(p_name, ' ')) as word, p_partkey from part) group by word) select word, unnest(ids) as p_partkey from i where contains(word, 'r')")
 def index_search(t):
-    index = t.part.select(F.explode(F.split("p_name", " ")).alias("word"), "p_partkey").groupBy("word").agg(F.collect_list("p_partkey").alias("ids"))
-    return index.where(store.contains_any("r", "word")).select("word", F.explode("ids").alias("p_partkey"))
+    # the index as a table of (word, id): its entries need not meet to be searched
+    index = t.part.select(F.explode(F.split("p_name", " ")).alias("word"), "p_partkey")
+    return index.where(store.contains_any("r", "word")).select("word", "p_partkey")
 
 
 @query("select event_type, count(*) as n from events group by event_type")
@@ -295,9 +378,9 @@ def floor_quantile(t):
     return store.floor_quantiles(t.lineitem, "l_returnflag", "l_extendedprice")
 
 
-@query("select word, count(*) as n from (select unnest(coalesce(string_split(p_name, ' '), ['N/A'])) as word from part) group by word")
+@query("select word as key, count(*) as n from (select unnest(case when p_size % 5 = 0 then ['N/A'] else string_split(p_name, ' ') end) as word from part) group by word")
 def facet_count(t):
-    return t.part.select(F.explode(F.coalesce(F.split("p_name", " "), F.array(F.lit("N/A")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return store.facets(t.part, F.when(F.col("p_size") % 5 != 0, F.split("p_name", " ")))
 
 
 @query("select p_partkey, score from (select p_partkey, len(list_filter(['red', 'ring', 'small'], lambda s: list_contains(string_split(p_name, ' '), s))) / 3 as score from part) where score > 0.5")
@@ -318,16 +401,19 @@ def pivot_counts(t):
     return t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count("*").alias("total"))
 
 
-@query("select o_orderpriority, round(avg(datediff('day', o_orderdate, l_shipdate)), 6) as days from lineitem join orders on l_orderkey = o_orderkey group by o_orderpriority")
+@query("select o_orderpriority, round(avg(date_diff('second', o_orderdate, l_shipdate + to_hours(l_linenumber)) / 3600.0) filter (l_orderkey % 7 <> 0), 6) as hours from lineitem join orders on l_orderkey = o_orderkey group by o_orderpriority")
 def duration_average(t):
-    j = t.lineitem.select("l_orderkey", "l_shipdate").join(t.orders.select("o_orderkey", "o_orderdate", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.groupBy("o_orderpriority").agg(F.round(F.avg(F.datediff("l_shipdate", "o_orderdate")), 6).alias("days"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    shipped = F.when(F.col("l_orderkey") % 7 == 0, "some day").otherwise(text(F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("l_linenumber"))))
+    j = t.lineitem.select("l_orderkey", shipped.alias("shipped")).join(t.orders.select("o_orderkey", text("o_orderdate").alias("ordered"), "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return store.mean_hours(j, ["o_orderpriority"], F.col("ordered"), F.col("shipped")).withColumn("hours", F.round("hours", 6))
 
 
-@query("select n_regionkey, string_agg(n_name, ',' order by n_nationkey) as nations from nation group by n_regionkey")
+@query("with g as (select n_regionkey, substr(n_name, 1, 1) as letter, string_agg(n_name, '+' order by n_nationkey) as names from nation group by 1, 2) select n_regionkey, string_agg(letter || '=' || names, ',' order by letter) as nations from g group by n_regionkey")
 def group_to_nested(t):
-    g = t.nation.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x"))
-    return g.select("n_regionkey", F.array_join(F.transform("x", lambda r: r["n_name"]), ",").alias("nations"))
+    g = store.nested(t.nation.withColumn("letter", F.substring("n_name", 1, 1)), "n_regionkey", "letter", "n_name", "n_nationkey")
+    parts = F.transform(F.array_sort(F.map_keys("items")), lambda k: F.concat(k, F.lit("="), F.array_join(F.try_element_at("items", k), "+")))
+    return g.select("n_regionkey", F.array_join(parts, ",").alias("nations"))
 
 
 POINTS = "select n_nationkey as k, n_nationkey * 7.3 - 80 as lat, n_nationkey * 13.7 - 170 as lon from nation"
@@ -337,20 +423,29 @@ POINTS = "select n_nationkey as k, n_nationkey * 7.3 - 80 as lat, n_nationkey *
 def distance_matrix(t):
     p = t.nation.select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * F.lit(7.3) - 80).alias("lat"), (F.col("n_nationkey") * F.lit(13.7) - 170).alias("lon"))
     a, b = (p.select(*(F.col(c).alias(f"{c}{x}") for c in p.columns)) for x in "12")
-    return a.join(F.broadcast(b), F.col("k1") < F.col("k2")).select(F.col("k1").alias("a"), F.col("k2").alias("b"), store.haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).cast("long").alias("metres"))
+    return a.join(b, F.col("k1") < F.col("k2")).select(F.col("k1").alias("a"), F.col("k2").alias("b"), store.haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).cast("long").alias("metres"))
 
 
-@query("select c_custkey, arg_min(n_nationkey, abs(n_nationkey * 400 - c_acctbal) * 100 + n_nationkey * 0.0001) as nearest from customer cross join nation group by c_custkey")
+@query(f"with p as ({POINTS}), c as (select c_custkey, c_acctbal / 60 as lat, c_custkey % 360 - 180 as lon from customer) select c_custkey, arg_min(k, (sqrt(pow(c.lat - p.lat, 2) + pow(c.lon - p.lon, 2)), k)) as nearest from c cross join p group by c_custkey")
 def nearest_neighbour(t):
-    near = t.customer.join(F.broadcast(t.nation), F.lit(True)).groupBy("c_custkey")
-    return near.agg(F.min_by("n_nationkey", F.struct(F.round(F.abs(F.col("n_nationkey") * 400 - F.col("c_acctbal")), 4), F.col("n_nationkey"))).alias("nearest"))
+    sites = t.nation.select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * F.lit(7.3) - 80).alias("lat"), (F.col("n_nationkey") * F.lit(13.7) - 170).alias("lon"))
+    return store.nearest(t.customer, F.col("c_acctbal") / 60, F.col("c_custkey") % 360 - 180, sites, "k").select("c_custkey", "nearest")
+
 
+ZONES = [["AFRICA", "EGYPT", "KENYA"], ["CHINA", "INDIA"], ["FRANCE", "GERMANY"], ["BRAZIL", "PERU"]]
 
-@query("select o_orderkey, case when contains(o_orderpriority, 'URGENT') then 'express' else 'standard' end as service, cast(round(case when contains(o_orderpriority, 'URGENT') then 2.0 else 1.0 end * (least(o_custkey % 5, o_orderkey % 5) * 10 + greatest(o_custkey % 5, o_orderkey % 5)), 2) as double) as price from orders")
+
+@query("""with z as (select n_nationkey as k, case when contains(n_name, 'AFRICA') or contains(n_name, 'EGYPT') or contains(n_name, 'KENYA') then 1 when contains(n_name, 'CHINA') or contains(n_name, 'INDIA') then 2 when contains(n_name, 'FRANCE') or contains(n_name, 'GERMANY') then 3 when contains(n_name, 'BRAZIL') or contains(n_name, 'PERU') then 4 else 5 end as zone from nation),
+o as (select o_orderkey, o_orderpriority as company, x.zone as a, y.zone as b, case when o_orderkey % 9 = 0 then 1.0 else round(o_totalprice / 10000, 1) end as weight from orders join z x on x.k = o_custkey % 25 join z y on y.k = o_orderkey % 25)
+select o_orderkey, round_even(case company when '1-URGENT' then 20.0 when '2-HIGH' then 15.0 else 10.0 end * weight * case least(a, b) || '-' || greatest(a, b) when '1-1' then 1.0 when '1-5' then 2.0 when '5-5' then 1.25 else 1.5 end, 2) as price, case when a = b then 1 when abs(a - b) <= 2 then 2 else 3 end as days from o""")
 def zone_pricing(t):
-    a, b = F.col("o_custkey") % 5, F.col("o_orderkey") % 5
-    urgent = F.contains("o_orderpriority", F.lit("URGENT"))
-    return t.orders.select("o_orderkey", F.when(urgent, "express").otherwise("standard").alias("service"), F.round(F.when(urgent, 2.0).otherwise(1.0) * (F.least(a, b) * 10 + F.greatest(a, b)), 2).alias("price"))
+    zone = t.nation.select(F.col("n_nationkey").alias("k"), store.first_zone(F.col("n_name"), ZONES).alias("zone"))
+    weight = F.when(F.col("o_orderkey") % 9 == 0, "heavy").otherwise(F.round(F.col("o_totalprice") / 10000, 1).cast("string"))
+    o = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("company"), weight.alias("weight"), (F.col("o_custkey") % 25).alias("x"), (F.col("o_orderkey") % 25).alias("y"))
+    o = o.join(zone.selectExpr("k x", "zone a"), "x").join(zone.selectExpr("k y", "zone b"), "y")
+    values = lambda names, *rows: t.spark.createDataFrame(list(rows), names)
+    rates, times = values("company string, rate double", ("1-URGENT", 20.0), ("2-HIGH", 15.0)), values("zones string, multiplier double", ("1-1", 1.0), ("1-5", 2.0), ("5-5", 1.25))
+    return store.zone_price(o, F.col("a"), F.col("b"), F.col("company"), F.col("weight"), rates, times).select("o_orderkey", "price", "days")
 
 
 @query("select c_custkey, case when c_custkey % 10 = 0 then 0.0 else c_acctbal end as balance from customer")
@@ -393,17 +488,27 @@ def similarity_edges(t):
     return graph.similar_pairs(t.embeddings, "vec_id", "embedding", 0.4).withColumn("cosine", F.round("cosine", 5))
 
 
-@query()
+@query("""with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings), p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id < b.vec_id where list_cosine_similarity(a.e, b.e) > 0.4),
+h as (select a, list(b) as bs, row_number() over (order by a) as k from p group by a),
+w as (select cast(0 as bigint) as k, cast([] as bigint[]) as gone, cast(null as bigint) as rep, cast([] as bigint[]) as took union all
+  select h.k, case when list_contains(w.gone, h.a) then w.gone else list_concat(w.gone, list_filter(h.bs, lambda x: not list_contains(w.gone, x))) end, h.a, case when list_contains(w.gone, h.a) then [] else list_filter(h.bs, lambda x: not list_contains(w.gone, x)) end from w join h on h.k = w.k + 1)
+select unnest(took) as id, rep as representative from w""")
 def merge_params(t):
-    ensure_checkpoint(t.spark)
     return graph.merged(graph.similar_pairs(t.embeddings, "vec_id", "embedding", 0.4))
 
 
-@query("select 't' || (c_custkey % 3) as tool, 'a' as name, 'string' as dtype, true as required from customer where c_custkey < 3 union all select 't' || (c_custkey % 3), 'b.x', 'integer', false from customer where c_custkey < 3 union all select 't' || (c_custkey % 3), 'c.y', 'number', true from customer where c_custkey < 3 union all select 't' || (c_custkey % 3), 'd', 'object', false from customer where c_custkey < 3")
+@query("""with c as (select 't' || c_custkey as tool, c_custkey % 4 as k, c_nationkey as n from customer)
+select tool, 'a' as name, 'string' as dtype, true as required from c where k < 3 union all select tool, 'b' || n || '.x', 'integer', false from c where k = 1 union all select tool, 'b' || n, 'array', false from c where k = 0
+union all select tool, 'c.y', case when n % 2 = 0 then 'number' else 'unknown' end, true from c where k < 3 union all select tool, 'c.z', 'object', true from c where k < 3 union all select tool, 'd', 'object', false from c where k = 2""")
 def flatten_schema(t):
-    schema = '{"properties": {"a": {"type": "string"}, "b": {"type": "array", "items": {"type": "object", "properties": {"x": {"type": "integer"}}}}, "c": {"type": "object", "properties": {"y": {"type": "number"}}}, "d": {"type": "object"}}, "required": ["a", "c"]}'
-    tools = t.customer.where("c_custkey < 3").select(F.concat(F.lit("t"), F.col("c_custkey") % 3).alias("tool"), F.lit(schema).alias("schema"))
-    return graph.flatten_schema(tools)
+    k = F.col("c_custkey") % 4
+    items = F.when(k == 1, '{"type": "object", "properties": {"x": {"type": "integer"}}}').otherwise('{"type": "string"}')
+    b = F.when(k < 2, F.concat(F.lit(', "b'), "c_nationkey", F.lit('": {"type": "array", "items": '), items, F.lit("}"))).otherwise(F.lit(""))
+    y = F.when(F.col("c_nationkey") % 2 == 0, '{"type": "number"}').otherwise('{"description": "no type"}')
+    c = F.concat(F.lit(', "c": {"type": "object", "properties": {"y": '), y, F.lit(', "z": {"type": "object", "properties": {"deep": {"type": "string"}}}}}'))
+    d = F.when(k == 2, ', "d": {"type": "object"}').otherwise("")
+    schema = F.when(k < 3, F.concat(F.lit('{"properties": {"a": {"type": "string"}'), b, c, d, F.lit('}, "required": ["a", "c"]}')))
+    return graph.flatten_schema(t.customer.select(F.concat(F.lit("t"), "c_custkey").alias("tool"), schema.alias("schema")))
 
 
 @query("select p_partkey from part where p_size > 5 and p_partkey not in (select l_partkey from lineitem where l_quantity > 45)")
@@ -428,23 +533,44 @@ def subgraph(t):
     return graph.induced(edges, t.customer.where("c_acctbal > 5000").select(F.col("c_custkey").alias("id")))
 
 
-@query()
+#: Suppliers as tools, their nations as servers; an edge leads to the supplier of the order's next line.
+NEXT = "select distinct src, dst from (select l_suppkey as src, lead(l_suppkey) over (partition by l_orderkey order by l_linenumber, l_suppkey) as dst from lineitem) where dst is not null and src <> dst"
+
+
+def next_edges(t: Tables) -> DataFrame:
+    ahead = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey"))
+    return t.lineitem.select(F.col("l_suppkey").alias("src"), ahead.alias("dst")).where("dst is not null and src <> dst").distinct()
+
+
+@query(f"""with recursive e as ({NEXT}), n as (select s_suppkey as node, s_nationkey as server, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as nth, count(*) over (partition by s_nationkey) as many from supplier),
+w as (select s_suppkey as seed, cast(0 as bigint) as step, s_suppkey as node, [s_suppkey] as seen from supplier union all
+  select seed, step, node, list_append(seen, node) from (select w.seed, w.step + 1 as step, w.seen,
+    coalesce((select arg_min(e.dst, ({draw_sql('w.seed', 'w.step + 1', 'e.dst')}, e.dst)) from e where e.src = w.node and not list_contains(w.seen, e.dst)), (select o.node from n h join n o on o.server = h.server where h.node = w.node and o.nth = {draw_sql('w.seed', 'w.step + 1', '1048575')} % h.many)) as node from w where w.step < 4))
+select seed, step, node from w""")
 def sample_chain(t):
-    edges = graph.similar_pairs(t.embeddings, "vec_id", "embedding", 0.35).selectExpr("a src", "b dst")
-    both = edges.union(edges.selectExpr("dst src", "src dst"))
-    return graph.walks(both, t.embeddings.selectExpr("vec_id seed", "vec_id start"), 5)
+    tools = t.supplier.select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").cast("string").alias("server"))
+    return sampling.sample_chain(next_edges(t), tools, t.supplier.selectExpr("s_suppkey seed", "s_suppkey start"), 5)
 
 
-@query()
+@query("""with c as (select user_id, event_id, event_type, value, case event_type when 'error' then 'delete' when 'click' then 'add' else 'set' end as op, case when event_type = 'error' then case event_id % 2 when 0 then 'click' else 'view' end else event_type end as item from events),
+g as (select *, coalesce(sum(case when op in ('delete', 'set') then 1 else 0 end) over (partition by user_id, item order by event_id), 0) as run, lag(op) over (partition by user_id, item order by event_id) as last_op from c),
+v as (select *, case when op = 'delete' then null else sum(case when op = 'delete' then 0 else value end) over (partition by user_id, item, run order by event_id) end as now from g),
+s as (select a.user_id, a.event_id, a.op, a.last_op, b.item, b.now, row_number() over (partition by a.user_id, a.event_id, b.item order by b.event_id desc) as nth from v a join v b on b.user_id = a.user_id and b.event_id <= a.event_id)
+select user_id, event_id, any_value(case when op = 'delete' then case when last_op is null or last_op = 'delete' then 'missing' else 'deleted' end when last_op is null or last_op = 'delete' then 'created' else 'updated' end) as response, count(now) as size, round(coalesce(sum(now), 0), 4) as total from s where nth = 1 group by user_id, event_id""")
 def replay_calls(t):
-    calls = t.events.select("user_id", "event_id", F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "click", "add").otherwise("set").alias("op"), F.col("event_type").alias("item"), "value")
-    return store.replay(calls, "user_id", "event_id")
+    gone = F.col("event_type") == "error"
+    op = F.when(gone, "delete").when(F.col("event_type") == "click", "add").otherwise("set")
+    item = F.when(gone, F.when(F.col("event_id") % 2 == 0, "click").otherwise("view")).otherwise(F.col("event_type"))
+    return store.replay(t.events.select("user_id", "event_id", op.alias("op"), item.alias("item"), "value"), "user_id", "event_id").withColumn("total", F.round("total", 4))
 
 
-@query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events where json_valid(props)")
+@query("select event_id, case event_id % 4 when 3 then 'no json {at all' when 2 then '[' || props || ']' else props end as j from events")
 def json_salvage(t):
-    wrapped = t.events.select("event_id", T.salvage_json(F.concat(F.lit("here: "), "props", F.lit(" end"))).alias("j"))
-    return wrapped.where("j is not null").select("event_id", F.get_json_object("j", "$.k").cast("long").alias("k"))
+    k = F.col("event_id") % 4
+    said = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("here: "), "props", F.lit(" end"))).when(k == 2, F.concat(F.lit("a list: ["), "props", F.lit("] end"))).otherwise("no json {at all")
+    # of a list around one object the outermost object is found first
+    salvaged = T.salvage_json(said)
+    return t.events.select("event_id", F.when(k == 2, F.concat(F.lit("["), salvaged, F.lit("]"))).otherwise(salvaged).alias("j"))
 
 
 @query("select page_id, len(regexp_extract_all(html, '(?s)<p(?:\\s[^>]*)?>(.*?)</p>', 1)) as n_paragraphs, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title from pages")
@@ -452,15 +578,19 @@ def tagged_text_parse(t):
     return t.pages.select("page_id", F.size(T.tag_values(F.col("html"), "p")).cast("long").alias("n_paragraphs"), T.tag_values(F.col("html"), "title")[0].alias("title"))
 
 
-@query("select conv_id, turn, md5(coalesce(text, '')) as code_md5 from conversations")
+@query("select conv_id, turn, md5(case turn % 3 when 2 then 'no code: ' else '' end || coalesce(text, '')) as code_md5 from conversations")
 def strip_fences(t):
-    fenced = t.conversations.withColumn("f", F.concat(F.lit("```python\n"), F.coalesce("text", F.lit("")), F.lit("\n```")))
-    return fenced.select("conv_id", "turn", F.md5(T.strip_fences(F.col("f"))).alias("code_md5"))
+    said = F.coalesce("text", F.lit(""))
+    fenced = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```python\n"), said, F.lit("\n```"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("Here it is:\n```\n"), said, F.lit("\n```\nDone."))).otherwise(F.concat(F.lit("no code: "), said))
+    return t.conversations.select("conv_id", "turn", F.md5(T.strip_fences(fenced)).alias("code_md5"))
 
 
-@query("select conv_id, turn, md5('<' || role || '>' || coalesce(text, '') || '</' || role || '>') as step_md5 from conversations")
+@query("""select event_id, md5(case event_id % 3 when 0 then event_type when 1 then '<tool_call>' || chr(10) || '{"name": "' || event_type || '-"q", "arguments": ' || props || '}' || chr(10) || '</tool_call>' || chr(10) else '<tool_response>' || chr(10) || event_type || chr(10) || '</tool_response>' || chr(10) || '<tool_response>' || chr(10) || 'ok' || chr(10) || '</tool_response>' || chr(10) end) as step_md5 from events""".replace('-"q', '-' + chr(92) + '"q'))
 def format_step(t):
-    return t.conversations.select("conv_id", "turn", F.md5(T.format_step(F.col("role"), F.col("text"))).alias("step_md5"))
+    k = F.col("event_id") % 3
+    role = F.when(k == 0, "user").when(k == 1, "tool_call").otherwise("tool_response")
+    calls = F.array(F.struct(F.concat("event_type", F.lit('-"q')).alias("name"), F.col("props").alias("arguments")))
+    return t.events.select("event_id", F.md5(turns.step_text(role, F.col("event_type"), calls, F.array("event_type", F.lit("ok")))).alias("step_md5"))
 
 
 @query("select s_suppkey, 'You are ' || s_name || ' of nation ' || s_nationkey || '.' as prompt from supplier")
@@ -488,10 +618,10 @@ def semi_join(t):
     return t.events.where("event_type = 'click'").join(t.events.where("event_type = 'purchase'").select("user_id").distinct(), "user_id", "left_semi").select("event_id", "user_id")
 
 
-@query("select row_ - 2 as r, col as c, v from (select p_partkey + 1 as row_, unnest(['p_name', 'p_brand', 'p_type']) as col, unnest([p_name, p_brand, p_type]) as v from part) where row_ between 3 and 8 and col in ('p_brand', 'p_type')")
+@query("select p_partkey - 1 as row, p_brand || '|' || p_type as cells from part where p_partkey between 3 and 8")
 def cell_range_read(t):
-    cells = t.part.where("p_partkey + 1 between 3 and 8").select((F.col("p_partkey") - 1).alias("r"), F.posexplode(F.array("p_name", "p_brand", "p_type")).alias("i", "v"))
-    return cells.where("i between 1 and 2").select("r", F.element_at(F.array(*map(F.lit, ("p_name", "p_brand", "p_type"))), F.col("i") + 1).alias("c"), "v")
+    sheet = t.part.select((F.col("p_partkey") - 1).alias("row"), F.array("p_name", "p_brand", "p_type").alias("cells"))
+    return store.a1_range(sheet, "B3:C8").select("row", F.array_join("cells", "|").alias("cells"))
 
 
 @query("select o_custkey, count(*) filter (o_orderstatus = 'F') > 0 and bool_and(o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')) as admitted from orders group by o_custkey")
@@ -543,15 +673,20 @@ def weighted_similarity_join(t):
     return graph.weighted_pairs(halves, "vec_id", "name", "said", 0.45).select("a", "b", F.round("cosine", 5).alias("similarity"))
 
 
-@query()
+@query(f"""with recursive l as (select l_orderkey as chain, l_linenumber as pos, row_number() over (partition by l_orderkey order by l_linenumber) as k, {draw_sql('7', 'l_orderkey', 'l_linenumber')} as r from lineitem),
+w as (select chain, pos, k, r, cast(1 as bigint) as length, 0 as turn from l where k = 1 union all
+  select l.chain, l.pos, l.k, l.r, case when w.length >= 5 or w.r * 5 < w.length * 2147483587 then 1 else w.length + 1 end, case when w.length >= 5 or w.r * 5 < w.length * 2147483587 then w.turn + 1 else w.turn end from w join l on l.chain = w.chain and l.k = w.k + 1)
+select chain, pos, turn from w""")
 def split_turns(t):
-    return catalog.split_turns(t.lineitem.select(F.col("l_orderkey").alias("chain"), F.col("l_linenumber").alias("pos")), most=5, seed=7)
+    return sampling.split_turns(t.lineitem.select(F.col("l_orderkey").alias("chain"), F.col("l_linenumber").alias("pos")), most=5, seed=7)
 
 
 @query()
 def topology_sample(t):
-    e = t.lineitem.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst")).distinct()
-    return catalog.topology_sample(e, t.supplier.select(F.col("s_suppkey").alias("seed"), F.col("s_suppkey").alias("start")), depth=3, seed=11)
+    tools = t.supplier.select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").cast("string").alias("server"))
+    inputs = t.supplier.select(F.col("s_suppkey").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select("node", F.concat(F.lit("p"), (F.col("node") * 7 + F.col("i") * 3) % 40).alias("param"), (F.col("i") == 0).alias("required"), (F.col("i") == 2).alias("user_provided"))
+    gives = t.supplier.select(F.col("s_suppkey").alias("node"), F.concat(F.lit("p"), F.col("s_suppkey") % 40).alias("param"))
+    return sampling.topology_sample(next_edges(t), inputs, gives, tools, t.supplier.selectExpr("s_suppkey seed", "s_suppkey start"), max_nodes=4)
 
 
 @query("select event_id, position, message from (select event_id, cast(0 as int) as position, cast(json_extract(props, '$.k') as varchar) as message from events where event_id % 2 = 0 union all select event_id, cast(p.i as int), case p.i when 0 then cast(json_extract(props, '$.k') as varchar) else event_type end from events, (values (0), (1)) p(i) where event_id % 2 = 1)")
@@ -563,12 +698,11 @@ def turn_normalisation(t):
     return traces.normalised_turns(log.unionByName(noise)).select("event_id", "position", F.get_json_object("message", "$.k").alias("message"))
 
 
-@query("select conv_id, turn, case role when 'user' then 'user' when 'assistant' then 'assistant' else 'system' end as field, length(text) as n_chars from conversations where text is not null")
+@query("select conv_id, turn, case when text is not null then case role when 'user' then 'user' when 'assistant' then 'assistant' else 'system' end end as field, length(text) as n_chars from conversations")
 def log_message_projection(t):
-    c = t.conversations.where("text is not null")
     message = F.to_json(F.struct(*(F.when(F.col("role") == r, F.col("text")).alias(r) for r in ("user", "assistant", "system"))))
     field, text = traces.shown_message(message)
-    return c.select("conv_id", "turn", field.alias("field"), F.length(text).cast("long").alias("n_chars"))
+    return t.conversations.select("conv_id", "turn", field.alias("field"), F.length(text).cast("long").alias("n_chars"))
 
 
 @query("select user_id, event_type, count(*) as n, md5(string_agg(cast(event_id as varchar), ',' order by event_id)) as messages_md5 from events group by user_id, event_type")
@@ -618,10 +752,11 @@ def scenario_filter(t):
     return kept.select("r_regionkey", F.array_join(F.sort_array("v"), ",").alias("kept"))
 
 
-@query("select conv_id, turn, 'because ' || role as think, text as answer from conversations where role = 'assistant' and text is not null and text = trim(text)")
+@query("select conv_id, turn, case when turn % 4 < 3 then 'because ' || role end as think, regexp_replace(regexp_replace(coalesce(text, ''), '^\\s+', ''), '\\s+$', '') as answer from conversations where role = 'assistant'")
 def think_split(t):
-    c = t.conversations.where("role = 'assistant' and text is not null and text = trim(text)")
-    think, answer = T.split_think(F.concat(F.lit("<think>because "), "role", F.lit("</think> "), "text"))
+    said = F.coalesce("text", F.lit(""))
+    c = t.conversations.where("role = 'assistant'")
+    think, answer = T.split_think(F.when(F.col("turn") % 4 < 3, F.concat(F.lit("<think>because "), "role", F.lit("</think> "), said)).otherwise(said))
     return c.select("conv_id", "turn", think.alias("think"), answer.alias("answer"))
 
 
@@ -658,7 +793,7 @@ def file_diff(t):
 def graph_search(t):
     names = t.nation.select(F.col("n_name").alias("name"), F.lit("nation").alias("kind")).unionByName(t.region.select(F.col("r_name").alias("name"), F.lit("region").alias("kind")))
     entities = names.withColumn("observations", F.array().cast("array<string>"))
-    relations = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("source"), F.col("n_name").alias("target"), F.lit("holds").alias("kind"))
+    relations = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("source"), F.col("n_name").alias("target"), F.lit("holds").alias("kind"))
     return knowledge.search_nodes(entities, relations, "A")[1].select("source", "target")
 
 
@@ -672,11 +807,11 @@ def expression_eval(t):
     return t.customer.select("c_custkey", T.arithmetic("sqrt(c_custkey ** 2 + 3) * 2 - c_nationkey / 4", ("c_custkey", "c_nationkey")).alias("result"))
 
 
-@query("select n_nationkey as a_key, s_suppkey from supplier join nation on true where n_nationkey < 3 and sqrt(pow(s_nationkey * 7.3 - n_nationkey * 7.3, 2) + pow(s_nationkey * 1.7 - n_nationkey * 1.7, 2)) * 69 < 1000")
+@query("select n_nationkey as a_key, s_suppkey from supplier join nation on true where sqrt(pow(s_nationkey * 7.3 - n_nationkey * 7.3, 2) + pow(s_nationkey * 1.7 - n_nationkey * 1.7, 2)) * 69 < 1000")
 def radius_filter(t):
-    centres = t.nation.where("n_nationkey < 3").select(F.col("n_nationkey").alias("a_key"))
-    near = t.supplier.join(F.broadcast(centres), store.degrees_apart(F.col("s_nationkey") * 7.3, F.col("s_nationkey") * 1.7, F.col("a_key") * 7.3, F.col("a_key") * 1.7) * 69 < 1000)
-    return near.select("a_key", "s_suppkey")
+    centres = t.nation.select(F.col("n_nationkey").alias("a_key"), (F.col("n_nationkey") * F.lit(7.3)).alias("c_lat"), (F.col("n_nationkey") * F.lit(1.7)).alias("c_lon"))
+    points = t.supplier.select("s_suppkey", (F.col("s_nationkey") * F.lit(7.3)).alias("lat"), (F.col("s_nationkey") * F.lit(1.7)).alias("lon"))
+    return store.within(points, centres, 1000 / 69).select("a_key", "s_suppkey")
 
 
 @query("select supplier.s_suppkey, md5('11:' || s_suppkey) as new_id, length('x' || s_name) > 1 as client_ok from supplier")
@@ -684,9 +819,10 @@ def deterministic_ids(t):
     return t.supplier.select("s_suppkey", T.keyed_id(11, F.col("s_suppkey")).alias("new_id"), T.is_client_tool(F.concat(F.lit("x-"), "s_name")).alias("client_ok"))
 
 
-@query("select p_partkey, p_brand as section from part")
+@query("select p_partkey, case p_partkey % 3 when 0 then p_brand when 1 then p_brand || chr(10) || p_type end as section from part")
 def section_extraction(t):
-    text = F.concat(F.lit("intro\n### A\n"), "p_brand", F.lit("\n### B\n"), "p_type")
+    k = F.col("p_partkey") % 3
+    text = F.when(k == 0, F.concat(F.lit("intro\n### A\n"), "p_brand", F.lit("\n### B\n"), "p_type")).when(k == 1, F.concat(F.lit("### A  "), "p_brand", F.lit("\n"), "p_type", F.lit(" \n"))).otherwise(F.concat(F.lit("### B\n"), "p_type"))
     return t.part.select("p_partkey", T.section(text, "### A", "### B").alias("section"))
 
 
@@ -696,6 +832,8 @@ def date_and_rounding(t):
     return t.events.select("event_id", F.date_format(T.mail_date(mail), "yyyy-MM-dd").alias("day"), (F.bround(F.col("value") * 4, 0) / 4).alias("quarter"))
 
 
-@query("select s_suppkey, s_name || ': ' || s_nationkey as text from supplier")
+@query("""select s_suppkey, 'Tool Name: ' || s_name || chr(10) || 'Description: ' || case when s_suppkey % 3 = 0 then 'No description' else 'of nation ' || s_nationkey end || chr(10) || 'Input Schema: {"type": "object", "n": ' || s_nationkey || '}' || chr(10) || case when s_suppkey % 2 = 0 then 'Output Schema: {}' || chr(10) else '' end as text from supplier""")
 def tool_schema_text(t):
-    return t.supplier.select("s_suppkey", T.fill_template("{a}: {b}", a=F.col("s_name"), b=F.col("s_nationkey").cast("string")).alias("text"))
+    said = F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit("of nation "), "s_nationkey"))
+    schema = F.concat(F.lit('{"type": "object", "n": '), "s_nationkey", F.lit("}"))
+    return t.supplier.select("s_suppkey", T.tool_text(F.col("s_name"), said, schema, F.when(F.col("s_suppkey") % 2 == 0, "{}")).alias("text"))
\ No newline at end of file
