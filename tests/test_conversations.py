@@ -259,3 +259,22 @@ def test_named_tools(spark):
     assert [(r._id, r.v) for r in said[8][1].collect()] == [("gen_1", 5), ("x", 1)]
     assert "no tool" in said[9][0] and "unknown arguments ['odd'], missing ['expression']" in said[10][0].replace("missing ones", "missing")
     assert len(registry.names()) > 45 and registry.names(["Calculator"]) == ["Calculator-calculate"]
+
+
+def test_tools_by_rule(spark):
+    schema = lambda *a: {"type": "object", "properties": {x: {"type": "string"} for x in a}, "required": list(a)}
+    metadata = [{"class_name": "Shop", "tools": [{"name": "list_items", "input_schema": schema()}, {"name": "get_item_details", "input_schema": schema("item_id")}, {"name": "delete_item", "input_schema": schema("item_id")}, {"name": "search_items", "input_schema": schema("query")}, {"name": "get_two", "input_schema": schema("item_id", "x")}, {"name": "pay", "input_schema": None}]}]
+    tools = registry.by_rule(metadata, {"items": "item_id", "users": "user_id"})
+    assert set(tools) == {"Shop-list_items", "Shop-get_item_details", "Shop-delete_item", "Shop-search_items"}
+    for name, f in tools.items():
+        registry.tool(name)(f)
+    state = {"items": spark.createDataFrame([("i1", "Red cup", 0), ("i2", "blue 50% cup", 1), (None, "x", 2)], "item_id string, title string, _ord long"), "users": None}
+    run = lambda name, **a: registry.call(name, state, a)
+    assert [r.item_id for r in run("Shop-list_items")[1].collect()] == ["i1", "i2", None]
+    assert [r.title for r in run("Shop-get_item_details", item_id="i2")[1].collect()] == ["blue 50% cup"]
+    assert [r.item_id for r in run("Shop-search_items", query="50%")[1].collect()] == ["i2"]
+    after, gone = run("Shop-delete_item", item_id="i1")
+    assert gone.count() == 1 and [r.item_id for r in after["items"].orderBy("_ord").collect()] == ["i2", None] and state["items"].count() == 3
+    for name in tools:
+        del registry.TOOLS[name]
+    assert len(registry.current_datetime(spark).first().now) == 19

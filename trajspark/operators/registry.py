@@ -393,3 +393,62 @@ def reverse_geocode(state, latitude, longitude):
     one = _said(state["cities"].sparkSession, latitude=float(latitude), longitude=float(longitude))
     near = store.nearest(one, F.col("latitude"), F.col("longitude"), state["cities"].selectExpr("city", "latitude lat", "longitude lon"), "city")
     return near.withColumn("nearest", F.coalesce("nearest", F.lit("Unknown Location"))).withColumn("formatted_address", F.concat("nearest", F.lit(f" ({latitude:.4f}, {longitude:.4f})")))
+
+
+# ---- tools by rule, from metadata
+
+READS, LISTS, SEARCHES, DELETES = ("get", "query", "fetch", "lookup", "show"), ("list", "get_all"), ("search", "find"), ("delete", "remove", "cancel")
+
+
+def by_rule(metadata: list[dict], keys: dict[str, str]) -> dict[str, Callable[..., tuple[State, DataFrame]]]:
+    """Tools that metadata (class_name, tools with name and input_schema) describes and a rule can build, by name.
+
+    keys gives the key column of each table of the state.  A tool that lists and needs no argument scans the table that its
+    name ends with; one that reads, or deletes, by the single argument that is some table's key looks it up, or
+    drops it; one that searches by a single text looks for it in all text columns of the table that its name
+    ends with.  Other tools are not built; built ones are registered with `tool` by the caller."""
+    built: dict[str, Callable[..., tuple[State, DataFrame]]] = {}
+    for server in metadata:
+        for t in server["tools"]:
+            name, schema = t["name"], t.get("input_schema") or {}
+            needed = schema.get("required") or []
+            verb = lambda verbs: any(name == v or name.startswith(f"{v}_") for v in verbs)  # noqa: B023, E731
+            named = [x for x in keys if name.endswith(f"_{x}")]
+            keyed = [x for x, k in keys.items() if needed == [k]]
+            full = f"{server['class_name']}-{name}"
+            if verb(LISTS) and not needed and len(named) == 1:
+                built[full] = lambda state, table=named[0]: state[table].orderBy("_ord")
+            elif verb(SEARCHES) and len(needed) == 1 and len(named) == 1:
+                built[full] = _searching(named[0], needed[0])
+            elif verb(READS) and len(keyed) == 1:
+                built[full] = _keyed(keyed[0], needed[0], lambda state, table, rows, _: (state, rows))
+            elif verb(DELETES) and len(keyed) == 1:
+                built[full] = _keyed(keyed[0], needed[0], lambda state, table, rows, rest: ({**state, table: rest}, rows))
+    return built
+
+
+def _signed(run: Callable, argument: str) -> Callable:
+    run.__signature__ = inspect.Signature([inspect.Parameter("state", inspect.Parameter.POSITIONAL_OR_KEYWORD), inspect.Parameter(argument, inspect.Parameter.KEYWORD_ONLY)])
+    return run
+
+
+def _keyed(table: str, key: str, then: Callable) -> Callable:
+    def run(state, **value):
+        hit = F.col(key) == F.lit(value[key])
+        return then(state, table, state[table].where(hit), state[table].where(~F.coalesce(hit, F.lit(False))))
+
+    return _signed(run, key)
+
+
+def _searching(table: str, argument: str) -> Callable:
+    def run(state, **value):
+        rows = state[table]
+        texts = [f.name for f in rows.schema.fields if f.dataType.typeName() == "string"]
+        return rows.where(store.contains_any(str(value[argument]), *texts)).orderBy("_ord") if texts else rows.limit(0)
+
+    return _signed(run, argument)
+
+
+def current_datetime(spark: SparkSession) -> DataFrame:
+    """The helper that tells an agent the time: one row, in the session's zone."""
+    return spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("now"))

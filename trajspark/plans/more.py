@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analytics, checkpoints, graph, registry, store, views
+from ..operators import analytics, checkpoints, graph, paths, registry, store, views
 from ..sources import files
 from .queries import NEXT, STEPS, derived_steps, next_edges, query
 
@@ -109,6 +109,19 @@ def due_range(t):
     return t.orders.select("o_orderkey", due.alias("due")).where(store.due_between(F.col("due"), "1995-06-01", "1996-03-31T00"))
 
 
+@query("select o_orderpriority as _id, round(avg(case when o_orderkey % 9 = 0 then 0 else o_totalprice end), 4) as mean, count(*) as n from (select * from orders where o_orderstatus = 'F' order by o_totalprice desc, o_orderkey limit 300 offset 5) group by o_orderpriority")
+def document_pipeline(t):
+    rows = t.orders.withColumn("price", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice")))
+    stages = [{"$match": {"o_orderstatus": "F"}}, {"$sort": {"o_totalprice": -1}}, {"$skip": 5}, {"$limit": 300}, {"$project": {"o_orderpriority": 1, "price": 1}}, {"$unknown": {}}, {"$group": {"_id": "$o_orderpriority", "mean": {"$avg": "$price"}, "n": {"$sum": 1}}}]
+    return store.aggregate(rows, stages, "o_orderkey").select("_id", F.round("mean", 4).alias("mean"), F.col("n").cast("long").alias("n"))
+
+
+@query()
+def file_versions(t):
+    old, new = F.concat_ws("\n", "p_name", "p_brand", "p_type"), F.concat_ws("\n", "p_name", "p_type", F.when(F.col("p_size") > 25, F.col("p_brand")))
+    return paths.unified_diff(t.part.select("p_partkey", F.concat(F.lit("f"), "p_partkey").alias("path"), old.alias("old"), new.alias("new")), "old", "new").select("p_partkey", "diff")
+
+
 @query("with l as (select n_regionkey, list(case when n_nationkey % 4 = 0 then n_nationkey + 100 else n_nationkey end order by n_name desc) as ids from nation group by n_regionkey), p as (select n_regionkey as region, unnest(ids) as n_nationkey, generate_subscripts(ids, 1) - 1 as position from l) select region, position, n_nationkey, n_name from p join nation using (n_nationkey)")
 def entities_by_list(t):
     id_ = F.when(F.col("n_nationkey") % 4 == 0, F.col("n_nationkey") + 100).otherwise(F.col("n_nationkey"))
