@@ -51,8 +51,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
 SIGN_SETS, SIGN_SHINGLES = 2048, 1 << 23
 #: Sets at one key up to which every pair is looked at; of more, each is tied to one of them.
 FEW = 48
-#: Cluster members up to which their ids are broadcast; beyond, texts are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Places of sets in tiles (about 40 bytes each) up to which they are broadcast; beyond, texts are joined by shuffle.
+BROADCAST_PLACES = 500_000
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n_words: int) -> list[np.ndarray]:
@@ -367,6 +367,12 @@ def _dealt(member: DataFrame, sets: int, shingles: int) -> DataFrame:
     return rows.withColumn("t", F.expr(f"concat({own}, {up}, {down})")).drop("blocks", "above", "below")
 
 
+def _by_tile(rows: DataFrame) -> DataFrame:
+    """rows dealt over as many tasks as the session's shuffles have: a tile's cost is its pairs, not its
+    bytes, so that tasks must not be put together by size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *TILE_KEY).groupBy(*TILE_KEY)
+
+
 def ngram_jaccard(docs: DataFrame, n_words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, rep_id) for every row of docs(doc_id, text).
 
@@ -408,15 +414,15 @@ def ngram_jaccard(docs: DataFrame, n_words: int = 5, num: int = 80, den: int = 1
     signed = sets.join(clusters.withColumnRenamed("node", "k1"), "k1").selectExpr("k1", "s signature", "comp cluster")
     member = cut(reps.join(signed, "k1").where("doc_id is not null").select("doc_id", "n", "cluster", band, "signature"))
     signs = _dealt(member, SIGN_SETS, SIGN_SHINGLES).select("doc_id", "n", "cluster", "band", "sub", "signature", F.explode("t").alias("t")).select("doc_id", "n", "cluster", "band", "sub", "signature", "t.*")
-    clusters = components(signs.groupBy(*TILE_KEY).applyInPandas(_sign_tile(num, den), "u long, v long"))
+    clusters = components(_by_tile(signs).applyInPandas(_sign_tile(num, den), "u long, v long"))
 
     member = cut(member.select("doc_id", "n", "band").join(clusters.selectExpr("node doc_id", "comp cluster"), "doc_id"))
-    dealt = _dealt(member, BLOCK_SETS, BLOCK_SHINGLES).select("doc_id", "cluster", "band", "sub", "t")
-    few = member.count() <= BROADCAST_ROWS
+    dealt = cut(_dealt(member, BLOCK_SETS, BLOCK_SHINGLES).select("doc_id", "cluster", "band", "sub", "t"))
+    few = (dealt.agg(F.sum(F.size("t") + 1)).first()[0] or 0) <= BROADCAST_PLACES
     tile = "array<struct<band1: int, sub1: int, band2: int, sub2: int>>"
     found = text.join(F.broadcast(dealt) if few else dealt.hint("shuffle_hash"), "doc_id").mapInArrow(_arrays_of(n_words), f"doc_id long, cluster long, band int, sub int, t {tile}, shingles binary")
     links = found.select("doc_id", "cluster", "band", "sub", "shingles", F.explode("t").alias("t")).select("doc_id", "cluster", "band", "sub", "shingles", "t.*")
-    links = links.groupBy(*TILE_KEY).applyInPandas(_tile(num, den), "u long, v long")
+    links = _by_tile(links).applyInPandas(_tile(num, den), "u long, v long")
     comp = components(links)
 
     named = reps.select("k1", "k2", F.col("doc_id").alias("rep_id")).join(comp.selectExpr("node rep_id", "comp"), "rep_id", "left")
