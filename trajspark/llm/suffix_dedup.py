@@ -64,7 +64,7 @@ REACH = PERIOD  # a sample lies at 0..REACH-1 in a window
 GRAM = SPAN - PERIOD + 1
 SLICE = 1 << 18
 #: Text that is named before its names are dealt out, and samples that a bucket should hold.
-UNIT, BUCKET = 1 << 24, 4_000_000
+UNIT, BUCKET = 1 << 23, 1_500_000
 #: Open neighbourhoods of one gram up to which one task sorts them.
 HOT = 20_000
 CHUNK = 8_192
