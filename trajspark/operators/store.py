@@ -229,24 +229,28 @@ def guarded_update(df: DataFrame, wanted: Column, guard: Column, changes: dict[s
     return df.withColumns({c: F.when(wanted, F.when(ok, v)).otherwise(F.col(c)) for c, v in changes.items()})
 
 
+#: Values of an approximate rank err by at most 1 / ACCURACY of all.
+ACCURACY = 10_000
+
+
 def floor_quantiles(df: DataFrame, key: str, value: str) -> DataFrame:
     """sorted[n // 4], [n // 2], [3n // 4] for each key; not interpolated.
 
-    Equal values are counted first; ranges of (key, value), sorted over all tasks, are summed up, and each
-    range only adds what stands before it, so that no task holds a key's rows."""
+    Approximate ranks, whose error is bounded, enclose each quantile between two values; what is below
+    is only counted, and the few rows between them are sorted."""
     from pyspark.sql import Window
 
-    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_c"))
-    # parts in the order of value within a key: a part is a bucket of the key's values by their rank among quantiles of it
-    cuts = df.groupBy(key).agg(F.count(value).alias("_n"), F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("_cuts"))
-    rows = counts.join(F.broadcast(cuts), key).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-    parts = rows.groupBy(key, "_part").agg(F.sum("_c").alias("_s"))
-    before = parts.withColumn("_before", F.coalesce(F.sum("_s").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    rows = rows.join(F.broadcast(before), [key, "_part"])
-    upto = F.sum("_c").over(Window.partitionBy(key, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
-    rows = rows.withColumn("_upto", upto)
-    at = lambda q: F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * q / 4), F.col(value)))
-    return rows.groupBy(key).agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
+    rows = df.select(F.col(key).alias("_k"), F.col(value).alias("_v")).where("_v is not null")
+    at = [min(1.0, max(0.0, q / 4 + d * 2 / ACCURACY)) for q in (1, 2, 3) for d in (-1, 1)]
+    edges = rows.groupBy("_k").agg(F.count("*").alias("_n"), F.percentile_approx("_v", at, ACCURACY).alias("_e")).withColumnRenamed("_k", "_at")
+    met = rows.join(edges, F.col("_k").eqNullSafe(F.col("_at"))).select("_k", "_v", "_n", "_e")
+    below = met.groupBy("_k").agg(*(F.count_if(F.col("_v") < F.col("_e")[2 * q]).alias(f"_b{q}") for q in range(3)))
+    inside = F.filter(F.array(*(F.when(F.col("_v").between(F.col("_e")[2 * q], F.col("_e")[2 * q + 1]), F.lit(q)) for q in range(3))), lambda q: q.isNotNull())
+    near = met.select("_k", "_v", "_n", F.explode(inside).alias("_q"))
+    near = near.withColumn("_i", F.row_number().over(Window.partitionBy("_k", "_q").orderBy("_v")) - 1).join(below.withColumnRenamed("_k", "_key"), F.col("_k").eqNullSafe(F.col("_key")))
+    hit = F.col("_i") == F.floor(F.col("_n") * (F.col("_q") + 1) / 4) - F.element_at(F.array("_b0", "_b1", "_b2"), F.col("_q") + 1)
+    out = near.where(hit).groupBy("_k").agg(*(F.max(F.when(F.col("_q") == q, F.col("_v"))).alias(f"q{q + 1}") for q in range(3)))
+    return out.withColumnRenamed("_k", key)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
