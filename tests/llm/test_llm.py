@@ -132,6 +132,31 @@ def test_line_dedup(docs, texts, least):
     assert got == {i: (None if t is None else "\n".join(x for j, x in enumerate(lines[i]) if j not in gone[i]), len(lines[i]), len(gone[i])) for i, t in enumerate(texts)}
 
 
+def test_line_suffix_array(spark):
+    """All suffixes of repeated lines, in an order of which neighbours' common prefixes tell all others'."""
+    r = random.Random(3)
+    long = [f"line {k}" for k in range(150)]
+    texts = [long, ["x", *long, "y"], ["a"] * 70, ["a"] * 9 + ["b"], [], ["only"]] + [r.choices("abc", k=r.randrange(1, 30)) for _ in range(12)]
+    texts += [texts[6], texts[7] + ["z"], ["z", *texts[8]]]
+    lines = line_dedup.lines_table(spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts)], "row_id long, text string"), 3)
+    got = sorted(tuple(x) for x in line_dedup.suffix_array(lines).select("at", "doc", "line", "lcp").collect())
+    times = Counter(x for t in texts for x in t)
+    assert [x[0] for x in got] == list(range(len(got)))
+    assert sorted(x[1:3] for x in got) == [(i, j) for i, t in enumerate(texts) for j, x in enumerate(t) if times[x] > 1]
+
+    def shared(p, q):
+        return sum(1 for _ in itertools.takewhile(lambda z: z[0] == z[1], zip(texts[p[0]][p[1] :], texts[q[0]][q[1] :], strict=False)))
+
+    places = [x[1:3] for x in got]
+    assert [x[3] for x in got] == [0] + [shared(p, q) for p, q in itertools.pairwise(places)]
+    assert max(x[3] for x in got) == 150
+    for i in range(0, len(got), 7):
+        least = 10**9
+        for j in range(i + 1, len(got)):
+            least = min(least, got[j][3])
+            assert shared(places[i], places[j]) == least
+
+
 @pytest.mark.parametrize("block", [8 << 20, 40])
 def test_decontamination(spark, docs, texts, block, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)

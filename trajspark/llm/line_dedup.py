@@ -6,17 +6,22 @@ occurs more than once; all copies but the first, by (doc_id, line), are deleted.
 1. Every line gets an ID (128 bits of hashes of its bytes); each position also gets m, the least
    number of lines from there that hold min_words words (an empty line counts as one).
    Lines that occur once lie in no repeated run and leave at once.
-2. Prefix doubling: ranks of sequences of 2**k lines are sorted pairs of ranks of 2**(k-1)
-   lines; a position whose sequence occurs once is dropped, for nothing longer repeats there.
-   m is at most min_words, so log2(min_words) rounds do, whatever the data.
-3. Positions that agree on m lines form one interval of the suffix array with a common prefix
-   of at least m: they are found by the ranks of the first and the last 2**k of the m lines.
-   The maximal repeated runs are the unions of these. In each interval all but the first
-   position give up their m lines; where a copy overlaps the first one, only what goes beyond.
+2. Prefix doubling: ranks of sequences of 2**k lines are sorted pairs of ranks of 2**(k-1) lines,
+   until no group of equal ranks splits, however many lines a repeat has.  A rank is the number
+   of suffixes that sort before; a suffix alone with its rank has its final place.  The end of a
+   text sorts first, then lines that occur once, by place, then the others, by ID.
+3. The suffix array is the sort by final rank; suffixes equal to their ends follow each other by
+   (doc, line).  The LCP array has the lines that each suffix shares with the one before it:
+   down the levels of step 2, 2**k lines are shared where the ranks at that depth are equal.
+4. LCP intervals: where suffixes follow each other with a common prefix of at least m, they all
+   begin with the same m lines.  The maximal repeated runs are the unions of these.  In each
+   interval all but the first position give up their m lines; where a copy overlaps the first
+   one, only what goes beyond.
 
 Hot lines and pairs: counts and ranks are taken with map-side combining and joined back, those of
 keys with more than a thousandth of the rows by broadcast (at most 1000 keys), so that no task
-gets all rows of one.  `min_words` is the operator's limit: shorter repeats stay by contract.
+gets all rows of one.  Places in a sort are counted by its tasks; of each, the driver sees one sum.
+`min_words` is the operator's limit: shorter repeats stay by contract.
 
 Null texts stay null and empty ones empty; neither has lines.  A line is what stands between
 line feeds.  Repeated rows are copies like others, the first in doc_id order is kept; rows
@@ -28,11 +33,14 @@ n_removed in any case, which it replaces; texts are whole, however long.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from . import _arrays as A
 from ._tables import arrow_rows, cut, drop, numbered, spread_join
@@ -69,47 +77,102 @@ def _lines(min_words: int):
                 bounds = A.first_of_row(row, len(offs) - 1)
                 here = np.arange(len(row))
                 m = np.where(last <= bounds[row + 1], last - here, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array(here - bounds[row]), pa.array(A.signed(h)), pa.array(A.signed(h2)), pa.array(m)], ["doc", "line", "id", "id2", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array(here - bounds[row]), pa.array(A.signed(h)), pa.array(A.signed(h2)), pa.array(m), pa.array(bounds[row + 1] - here)], ["doc", "line", "id", "id2", "m", "tail"])
 
     return run
 
 
-def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(doc, start, stop): line ranges to delete, by row_id, of docs(row_id, text)."""
-    lines = docs.select("row_id", "text").mapInArrow(_lines(min_words), "doc long, line long, id long, id2 long, m long")
-    lines = cut(lines)
-    again = lines.groupBy("id", "id2").agg(F.count("*").alias("n")).where("n > 1").withColumn("rank", F.monotonically_increasing_id())
-    at = spread_join(lines, again, ["id", "id2"], "n").select("doc", "line", "rank", "m")
-    at = cut(at)
-    drop(lines)
-    out, k = None, 0
-    while (1 << k) <= min_words:
-        # intervals with 2**k <= m < 2**(k+1): the first and the last 2**k of the m lines
-        own = at.where(f"m >= {1 << k} and m < {2 << k}")
-        end = at.selectExpr("doc", "line last", "rank upper")
-        runs = own.withColumn("last", F.expr(f"line + m - {1 << k}")).join(end, ["doc", "last"])
-        key = ["m", "rank", "upper"]
-        runs = cut(runs.select("doc", "line", *key))
-        first = runs.groupBy(*key).agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        found = spread_join(runs, first, key, "n").where("doc <> first.doc or line <> first.line").selectExpr("doc", "if(doc = first.doc, greatest(line, first.line + m), line) start", "line + m stop")
-        found = cut(found)
-        out = found if out is None else out.union(found)
-        if (2 << k) > min_words:
+def lines_table(docs: DataFrame, min_words: int) -> DataFrame:
+    """All lines of docs(row_id, text): doc, line, id, id2, m, and tail, the lines from there to the end."""
+    return cut(docs.select("row_id", "text").mapInArrow(_lines(min_words), "doc long, line long, id long, id2 long, m long, tail long"))
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, total = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        before = total + np.cumsum(n) - n
+        total += int(n.sum())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(before)], [*batch.schema.names, "part", "before"])
+
+
+def placed(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with `before`: the sum of n over all rows ahead in the order of keys, which are unique."""
+    schema = StructType([*rows.schema.fields, StructField("part", IntegerType()), StructField("before", LongType())])
+    rows = cut(rows.orderBy(*keys).mapInArrow(_sums, schema))
+    shifts, total = [], 0
+    for part, n in sorted(rows.groupBy("part").agg(F.sum("n")).collect()):
+        shifts.append((part, total))
+        total += n
+    shifts = rows.sparkSession.createDataFrame(shifts, "part int, shift long")
+    return rows.join(F.broadcast(shifts), "part").withColumn("before", F.expr("before + shift")).drop("part", "shift")
+
+
+def ranked(lines: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Prefix doubling: (levels, rows), both (doc, line, tail, m, rank, size).
+
+    levels[k] has the suffixes that share their rank at depth 2**k with others, size of them;
+    rows has all suffixes that begin with a line that occurs again, by their final ranks."""
+    names = placed(lines.groupBy("id", "id2").agg(F.count("*").alias("n")).where("n > 1"), "id", "id2")
+    groups = names.count()
+    after = cut(spread_join(lines, names.selectExpr("id", "id2", "before rank", "n size", "n"), ["id", "id2"], "n").select("doc", "line", "tail", "m", "rank", "size"))
+    drop(names)
+    levels, settled = [after], after.where("size = 1")
+    key = ["rank", "kind", "a", "b"]
+    while groups:
+        h, tied = 1 << (len(levels) - 1), levels[-1]
+        ahead = settled.union(tied).selectExpr("doc", f"line - {h} line", "rank upper")
+        pairs = tied.join(ahead, ["doc", "line"], "left").withColumn("kind", F.expr(f"case when tail <= {h} then 0 when upper is null then 1 else 2 end"))
+        pairs = cut(pairs.selectExpr("doc", "line", "tail", "m", "rank", "kind", "case kind when 0 then 0L when 1 then doc else upper end a", "if(kind = 1, line, 0L) b"))
+        names = pairs.groupBy(*key).agg(F.count("*").alias("n")).withColumn("open", F.lit(True))
+        # settled suffixes keep their places, and so count among those before
+        names = placed(names.union(settled.selectExpr("rank", "0 kind", "0L a", "0L b", "1L n", "false open")), *key).where("open")
+        now = names.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
+        if now[0] > groups:
+            after = cut(spread_join(pairs, names.selectExpr(*key, "before name", "n size", "n"), key, "n").selectExpr("doc", "line", "tail", "m", "name rank", "size"))
+            settled = settled.union(after.where("size = 1"))
+            levels.append(after.where("size > 1"))
+        drop(pairs)
+        drop(names)
+        if now[0] == groups:
             break
-        ahead = F.lead("rank", 1).over(Window.partitionBy("doc").orderBy("line"))
-        if k == 0:
-            next_line = F.lead("line", 1).over(Window.partitionBy("doc").orderBy("line"))
-            pairs = at.withColumn("upper", F.when(next_line == F.col("line") + 1, ahead))
-        else:
-            pairs = at.join(at.selectExpr("doc", f"line - {1 << k} line", "rank upper"), ["doc", "line"], "left")
-        # a position with no repeated sequence 2**k further on has none of twice the length
-        pairs = cut(pairs.where("upper is not null").select("doc", "line", "m", "rank", "upper"))
-        names = pairs.groupBy("rank", "upper").agg(F.count("*").alias("n")).where("n > 1").orderBy("rank", "upper").withColumn("name", F.monotonically_increasing_id())
-        after = cut(spread_join(pairs, names, ["rank", "upper"], "n").selectExpr("doc", "line", "name rank", "m"))
-        drop(at)
+        groups = now[1]
+    return levels, settled.union(levels[-1])
+
+
+def suffix_array(lines: DataFrame) -> DataFrame:
+    """(at, doc, line, m, lcp): the suffixes that begin with a line that occurs again, their places, and
+    how many lines each shares with the one before it; of a cut lines_table, which is dropped."""
+    levels, rows = ranked(lines)
+    drop(lines)
+    array = placed(rows.selectExpr("doc", "line", "tail", "m", "rank", "1L n"), "rank", "doc", "line").withColumnRenamed("before", "at")
+    before = array.selectExpr("at + 1 at", "doc doc2", "line line2", "rank rank2")
+    # of one rank at last: equal to their ends
+    pairs = cut(array.join(before, "at", "left").selectExpr("at", "doc", "line", "m", "doc2", "line2", "if(rank = rank2, tail, 0L) lcp"))
+    drop(array)
+    # others differ at the last level, so that each level below adds its 2**k lines at most once
+    for k, level in reversed(list(enumerate(levels[:-1]))):
+        one = level.selectExpr("doc", "line next", "rank")
+        two = level.selectExpr("doc doc2", "line next2", "rank rank2")
+        more = pairs.selectExpr("*", "line + lcp next", "line2 + lcp next2").join(one, ["doc", "next"], "left").join(two, ["doc2", "next2"], "left")
+        more = cut(more.selectExpr("at", "doc", "line", "m", "doc2", "line2", f"if(rank = rank2, lcp + {1 << k}, lcp) lcp"))
         drop(pairs)
-        at, k = after, k + 1
-    return out.where("start < stop")
+        pairs = more
+    drop(reduce(DataFrame.union, levels))
+    return pairs.drop("doc2", "line2")
+
+
+def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """(doc, start, stop): line ranges to delete, by row_id, of docs(row_id, text)."""
+    array = suffix_array(lines_table(docs, min_words))
+    # an interval begins where fewer than m lines are shared; whatever stands within one has its m
+    runs = placed(array.where("m > 0").selectExpr("at", "doc", "line", "m", "if(lcp < m, 1L, 0L) n"), "at").selectExpr("before + n interval", "doc", "line", "m")
+    drop(array)
+    first = runs.groupBy("interval").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    found = spread_join(runs, first, ["interval"], "n").where("doc <> first.doc or line <> first.line").selectExpr("doc", "if(doc = first.doc, greatest(line, first.line + m), line) start", "line + m stop")
+    found = cut(found.where("start < stop"))
+    drop(runs)
+    return found
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
