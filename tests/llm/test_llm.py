@@ -157,6 +157,54 @@ def test_line_suffix_array(spark):
             assert shared(places[i], places[j]) == least
 
 
+@pytest.mark.parametrize("packed", [1, 3, 16])
+def test_line_suffix_array_from_any_depth(spark, packed, monkeypatch):
+    """Groups go over several partitions, and all levels are used; what is equal to its end leaves at once."""
+    monkeypatch.setattr(line_dedup, "PACKED", packed)
+    r = random.Random(packed)
+    long = [f"line {k % 9} {k // 50}" for k in range(90)]
+    texts = [long, [*long, "y"], ["x", *long[5:]], long, ["a"] * 40, ["a"] * 33, ["a"] * 33, *[["a", "b", "a"]] * 60, *[long[:40]] * 20]
+    texts += [r.choices("ab", k=r.randrange(1, 60)) for _ in range(15)]
+    texts += [[*texts[-1], "once", *texts[-2]], [*texts[-1], "again once", *texts[-2]]]
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        lines = line_dedup.lines_table(spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts)], "row_id long, text string"), 3)
+        got = sorted(tuple(x) for x in line_dedup.suffix_array(lines).select("at", "doc", "line", "lcp").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    times = Counter(x for t in texts for x in t)
+    assert [x[0] for x in got] == list(range(len(got)))
+    assert sorted(x[1:3] for x in got) == [(i, j) for i, t in enumerate(texts) for j, x in enumerate(t) if times[x] > 1]
+
+    def shared(p, q):
+        return sum(1 for _ in itertools.takewhile(lambda z: z[0] == z[1], zip(texts[p[0]][p[1] :], texts[q[0]][q[1] :], strict=False)))
+
+    places = [x[1:3] for x in got]
+    assert [x[3] for x in got] == [0] + [shared(p, q) for p, q in itertools.pairwise(places)]
+    # sorted: what is shared with the next but one is the least of what neighbours share
+    for i in range(len(got) - 2):
+        assert shared(places[i], places[i + 2]) == min(got[i + 1][3], got[i + 2][3])
+    same = [p for p in places if texts[p[0]][p[1] :] == ["b", "a"]]
+    assert same == sorted(same) and len(same) >= 60
+
+
+def test_line_dedup_starts_few_jobs(spark):
+    """Short copies are done with after one sort, however many; a round more than needed costs CPU on every partition."""
+    docs = spark.createDataFrame([(i, "\n".join(f"word of line {k} " * 9 for k in range(6))) for i in range(40)], "doc_id long, text string")
+    spark.sparkContext.setJobGroup("few", "line dedup")
+    try:
+        assert sorted(r.n_removed for r in line_dedup.line_dedup(docs).collect()) == [0] + [6] * 39
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+    assert jobs <= 50
+
+
 @pytest.mark.parametrize("block", [8 << 20, 40])
 def test_decontamination(spark, docs, texts, block, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)

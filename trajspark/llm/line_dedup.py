@@ -6,13 +6,15 @@ occurs more than once; all copies but the first, by (doc_id, line), are deleted.
 1. Every line gets an ID (128 bits of hashes of its bytes); each position also gets m, the least
    number of lines from there that hold min_words words (an empty line counts as one).
    Lines that occur once lie in no repeated run and leave at once.
-2. Prefix doubling: ranks of sequences of 2**k lines are sorted pairs of ranks of 2**(k-1) lines,
-   until no group of equal ranks splits, however many lines a repeat has.  A rank is the number
-   of suffixes that sort before; a suffix alone with its rank has its final place.  The end of a
-   text sorts first, then lines that occur once, by place, then the others, by ID.
-3. The suffix array is the sort by final rank; suffixes equal to their ends follow each other by
-   (doc, line).  The LCP array has the lines that each suffix shares with the one before it:
-   down the levels of step 2, 2**k lines are shared where the ranks at that depth are equal.
+2. Prefix doubling from PACKED lines on: suffixes are sorted by their first PACKED line IDs, later by
+   pairs of ranks at half the depth, until no suffix is tied, however many lines a repeat has.  A
+   rank is the number of suffixes that sort before.  What is alone with its rank, or equal to the
+   others of it to its end, has its final place and leaves.  The end of a text sorts first, then
+   lines that occur once, by place, then the others, by ID.
+3. The suffix array has these places; suffixes equal to their ends follow each other by (doc, line).
+   The LCP array has the lines that each suffix shares with the one before it: from the IDs in
+   the first sort; where a later one told two apart, down the levels of step 2, whose lines are
+   shared where the ranks at that depth are equal, and by the IDs of what remains.
 4. LCP intervals: where suffixes follow each other with a common prefix of at least m, they all
    begin with the same m lines.  The maximal repeated runs are the unions of these.  In each
    interval all but the first position give up their m lines; where a copy overlaps the first
@@ -20,7 +22,8 @@ occurs more than once; all copies but the first, by (doc_id, line), are deleted.
 
 Hot lines and pairs: counts and ranks are taken with map-side combining and joined back, those of
 keys with more than a thousandth of the rows by broadcast (at most 1000 keys), so that no task
-gets all rows of one.  Places in a sort are counted by its tasks; of each, the driver sees one sum.
+gets all rows of one.  Sorts end with (doc, line), so that no large group is one task's; places in
+them are counted by its tasks, and the driver sees a sum, or the first and last row, of each.
 `min_words` is the operator's limit: shorter repeats stay by contract.
 
 Null texts stay null and empty ones empty; neither has lines.  A line is what stands between
@@ -32,11 +35,14 @@ n_removed in any case, which it replaces; texts are whole, however long.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +54,10 @@ from ._tables import arrow_rows, cut, drop, numbered, spread_join
 U = np.uint64
 FEED = np.ones(256, dtype=bool)
 FEED[10] = False
+#: Lines that the first sort looks at, and the bytes of a line's ID.
+PACKED, SYMBOL = 16, 16
+#: What follows the lines looked at: the end of the text, a line that occurs once, or others.
+END, ONCE, MORE = 0, 1, 2
 
 
 def lines_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,58 +118,185 @@ def placed(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.join(F.broadcast(shifts), "part").withColumn("before", F.expr("before + shift")).drop("part", "shift")
 
 
-def ranked(lines: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Prefix doubling: (levels, rows), both (doc, line, tail, m, rank, size).
-
-    levels[k] has the suffixes that share their rank at depth 2**k with others, size of them;
-    rows has all suffixes that begin with a line that occurs again, by their final ranks."""
-    names = placed(lines.groupBy("id", "id2").agg(F.count("*").alias("n")).where("n > 1"), "id", "id2")
-    groups = names.count()
-    after = cut(spread_join(lines, names.selectExpr("id", "id2", "before rank", "n size", "n"), ["id", "id2"], "n").select("doc", "line", "tail", "m", "rank", "size"))
-    drop(names)
-    levels, settled = [after], after.where("size = 1")
-    key = ["rank", "kind", "a", "b"]
-    while groups:
-        h, tied = 1 << (len(levels) - 1), levels[-1]
-        ahead = settled.union(tied).selectExpr("doc", f"line - {h} line", "rank upper")
-        pairs = tied.join(ahead, ["doc", "line"], "left").withColumn("kind", F.expr(f"case when tail <= {h} then 0 when upper is null then 1 else 2 end"))
-        pairs = cut(pairs.selectExpr("doc", "line", "tail", "m", "rank", "kind", "case kind when 0 then 0L when 1 then doc else upper end a", "if(kind = 1, line, 0L) b"))
-        names = pairs.groupBy(*key).agg(F.count("*").alias("n")).withColumn("open", F.lit(True))
-        # settled suffixes keep their places, and so count among those before
-        names = placed(names.union(settled.selectExpr("rank", "0 kind", "0L a", "0L b", "1L n", "false open")), *key).where("open")
-        now = names.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
-        if now[0] > groups:
-            after = cut(spread_join(pairs, names.selectExpr(*key, "before name", "n size", "n"), key, "n").selectExpr("doc", "line", "tail", "m", "name rank", "size"))
-            settled = settled.union(after.where("size = 1"))
-            levels.append(after.where("size > 1"))
-        drop(pairs)
-        drop(names)
-        if now[0] == groups:
-            break
-        groups = now[1]
-    return levels, settled.union(levels[-1])
+def _keys(packed: int):
+    """Of lines that occur again, by (doc, line): up to `packed` line IDs from each, and what follows them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (batches := list(batches)):
+            return
+        table = pa.Table.from_batches(batches)
+        doc, line, m, tail, *ids = (table[c].to_numpy() for c in ("doc", "line", "m", "tail", "id", "id2"))
+        symbols = np.stack(ids, 1).astype(">i8")
+        n = len(doc)
+        # lines up to one that occurs once, or to the end
+        last = np.flatnonzero(np.append((doc[1:] != doc[:-1]) | (line[1:] != line[:-1] + 1), True))
+        length = last[np.searchsorted(last, np.arange(n))] + 1 - np.arange(n)
+        kind = np.where(length > packed, MORE, np.where(length == tail, END, ONCE)).astype(np.int32)
+        length = np.minimum(length, packed)
+        for i in range(0, n, 1 << 14):
+            own = slice(i, i + (1 << 14))
+            offs = np.concatenate(([0], np.cumsum(length[own])))
+            at = np.repeat(np.arange(i, i + len(offs) - 1) - offs[:-1], length[own]) + np.arange(offs[-1])
+            key = pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer((offs * SYMBOL).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(symbols[at]))])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[own]) for x in (doc, line, m, tail, kind)), key], ["doc", "line", "m", "tail", "kind", "key"])
+
+    return run
+
+
+def _shared(keys: pa.Array, at: np.ndarray) -> np.ndarray:
+    """Leading line IDs that the keys at these places share with those before them."""
+    _, offsets, data = keys.buffers()
+    offs = np.frombuffer(offsets, np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
+    symbols = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].view(np.uint64).reshape(-1, 2)
+    offs = (offs - offs[0]) // SYMBOL
+    most = np.minimum(offs[at] - offs[at - 1], offs[at + 1] - offs[at])
+    out, left = np.zeros(len(at), np.int64), np.arange(len(at))
+    while len(left := left[most[left] > out[left]]):
+        left = left[(symbols[offs[at[left]] + out[left]] == symbols[offs[at[left] - 1] + out[left]]).all(1)]
+        out[left] += 1
+    return out
+
+
+PAIR = ["doc1", "line1", "doc2", "line2"]
+SORTED = ["doc", "line", "m", "tail", "rank", "lcp", *PAIR, "kind", "key"]
+FOUND = "part int, idx long, old long, new long, tied boolean, edge int"
+
+
+def _split(depth: int):
+    """Rows sorted by (rank, kind, key, doc, line), with what a partition knows of their groups: the places in
+    it where those of their rank (old) and of their rank, kind and key (new) begin, -1 if before it; whether
+    neighbours are in one group; and the lcp, or the pair to find it by, of the group and the one before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (batches := list(batches)):
+            return
+        table = pa.Table.from_batches(batches).combine_chunks()
+        part, n = TaskContext.get().partitionId(), table.num_rows
+        doc, line, rank, lcp, kind = (table[c].to_numpy() for c in ("doc", "line", "rank", "lcp", "kind"))
+        key = table["key"].chunk(0)
+        other = np.zeros(n, bool)
+        other[1:] = rank[1:] != rank[:-1]
+        begins = other.copy()
+        begins[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == ONCE) | pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+        here = np.arange(n)
+        old, new = (np.maximum.accumulate(np.where(x, here, -1)) for x in (other, begins))
+        same = ~begins
+        same[0] = False
+        tied = (kind == MORE) & (same | np.append(same[1:], False))
+        # new groups within old ones
+        cut_at = np.flatnonzero(begins & ~other)
+        lcp = lcp.copy()
+        lcp[cut_at] = depth if depth else _shared(key, cut_at)
+        pairs = [table[c].chunk(0) for c in PAIR]
+        if depth:
+            both = (kind[cut_at] == MORE) & (kind[cut_at - 1] == MORE)
+            hit = np.zeros(n, bool)
+            hit[cut_at] = True
+            known = np.zeros(n, bool)
+            known[cut_at[~both]] = True
+            ahead = np.maximum(here - 1, 0)
+            pairs = [pc.if_else(pa.array(hit), pa.array(x, mask=known), p) for x, p in zip((doc, line, doc[ahead], line[ahead]), pairs, strict=True)]
+        first = np.where(new < 0, here, new)
+        edge = np.zeros(n, np.int32)
+        edge[0], edge[-1] = 1, edge[-1] | 2
+        if n == 1:
+            edge[0] = 3
+        columns = {c: table[c].chunk(0) for c in SORTED} | {"lcp": pa.array(lcp[first])} | {c: p.take(pa.array(first)) for c, p in zip(PAIR, pairs, strict=True)}
+        columns |= {"part": pa.array(np.full(n, part, np.int32)), "idx": pa.array(here), "old": pa.array(old), "new": pa.array(new), "tied": pa.array(tied), "edge": pa.array(edge)}
+        yield from pa.Table.from_pydict(columns).to_batches(max_chunksize=1 << 14)
+
+    return run
+
+
+def _seams(rows: list, depth: int) -> pa.Table:
+    """What each partition has to add to what it knows, from the first and last rows of all."""
+    by_part = defaultdict(dict)
+    for r in rows:
+        by_part[r.part] |= {x: r for x in (1, 2) if r.edge & x}
+    out, base, last = [], 0, None
+    for part, ends in sorted(by_part.items()):
+        f, e = ends[1], ends[2]
+        old = bool(last) and f.rank == last.rank
+        new = old and f.kind == last.kind != ONCE and f.key == last.key
+        seam = {"part": part, "base": base, "first_old": last_old if old else base, "first_new": last_new if new else base, "before": new, "after": False}
+        if new:
+            found = last_found
+        elif not old:
+            found = (f.lcp, *(f[c] for c in PAIR))
+        elif not depth:
+            both = zip(*([x[i : i + SYMBOL] for i in range(0, len(x), SYMBOL)] for x in (f.key, last.key)), strict=False)
+            found = (sum(1 for _ in takewhile(lambda x: x[0] == x[1], both)), *[None] * 4)
+        else:
+            found = (depth, *((f.doc, f.line, last.doc, last.line) if f.kind == last.kind == MORE else [None] * 4))
+        if new:
+            out[-1]["after"] = True
+        out.append(seam | dict(zip(("first_lcp", *(f"first_{c}" for c in PAIR)), found, strict=True)))
+        last_old = seam["first_old"] if e.old < 0 else base + e.old
+        last_new = seam["first_new"] if e.new < 0 else base + e.new
+        last_found = found if e.new < 0 else (e.lcp, *(e[c] for c in PAIR))
+        last, base = e, base + e.idx + 1
+    longs = ["base", "first_old", "first_new", "first_lcp", *(f"first_{c}" for c in PAIR)]
+    return pa.Table.from_pylist(out, pa.schema([("part", pa.int32()), *((c, pa.int64()) for c in longs), ("before", pa.bool_()), ("after", pa.bool_())]))
+
+
+def split(rows: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(all, tied) of rows SORTED, where suffixes of one rank share `depth` lines and differ by (key, kind).
+
+    Those not open have their places `at`, and lcp with the place before (or what is known of it, and the
+    pair of suffixes that has the same).  The open ones, tied, share a new rank; lcp is their first place's."""
+    kinds = StructType([*rows.select(*SORTED).schema.fields, *StructType.fromDDL(FOUND).fields])
+    found = cut(rows.select(*SORTED).orderBy("rank", "key", "kind", "doc", "line").mapInArrow(_split(depth), kinds))
+    ends = found.where("edge > 0").select("part", "edge", "idx", "old", "new", "doc", "line", "rank", "kind", "key", "lcp", *PAIR).collect()
+    seams = rows.sparkSession.createDataFrame(_seams(ends, depth))
+    found = found.join(F.broadcast(seams), "part").selectExpr(
+        "doc", "line", "m", "tail", "key", "rank", "base + idx place", "if(old < 0, first_old, base + old) o", "if(new < 0, first_new, base + new) n",
+        f"kind = {MORE} and (tied or edge % 2 = 1 and before or edge > 1 and after) open", *(f"if(new < 0, first_{c}, {c}) {c}" for c in ("lcp", *PAIR)),
+    )
+    # what follows the first of its group without being open is equal to it to the end
+    rest = (f"if(place > n and not open, null, {c}) {c}" for c in PAIR)
+    found = found.selectExpr("doc", "line", "m", "tail", "rank + n - o rank", "rank + place - o at", "if(place > n and not open, tail, lcp) lcp", *rest, "open", "key")
+    return found, cut(found.where("open").select("doc", "line", "m", "tail", "rank", "lcp", *PAIR))
 
 
 def suffix_array(lines: DataFrame) -> DataFrame:
     """(at, doc, line, m, lcp): the suffixes that begin with a line that occurs again, their places, and
     how many lines each shares with the one before it; of a cut lines_table, which is dropped."""
-    levels, rows = ranked(lines)
-    drop(lines)
-    array = placed(rows.selectExpr("doc", "line", "tail", "m", "rank", "1L n"), "rank", "doc", "line").withColumnRenamed("before", "at")
-    before = array.selectExpr("at + 1 at", "doc doc2", "line line2", "rank rank2")
-    # of one rank at last: equal to their ends
-    pairs = cut(array.join(before, "at", "left").selectExpr("at", "doc", "line", "m", "doc2", "line2", "if(rank = rank2, tail, 0L) lcp"))
-    drop(array)
-    # others differ at the last level, so that each level below adds its 2**k lines at most once
-    for k, level in reversed(list(enumerate(levels[:-1]))):
-        one = level.selectExpr("doc", "line next", "rank")
-        two = level.selectExpr("doc doc2", "line next2", "rank rank2")
-        more = pairs.selectExpr("*", "line + lcp next", "line2 + lcp next2").join(one, ["doc", "next"], "left").join(two, ["doc2", "next2"], "left")
-        more = cut(more.selectExpr("at", "doc", "line", "m", "doc2", "line2", f"if(rank = rank2, lcp + {1 << k}, lcp) lcp"))
-        drop(pairs)
-        pairs = more
-    drop(reduce(DataFrame.union, levels))
-    return pairs.drop("doc2", "line2")
+    often = lines.groupBy("id", "id2").agg(F.count("*").alias("n")).where("n > 1")
+    again = spread_join(lines, often, ["id", "id2"], "n").select("doc", "line", "m", "tail", "id", "id2")
+    keys = again.repartition("doc").sortWithinPartitions("doc", "line").mapInArrow(_keys(PACKED), "doc long, line long, m long, tail long, kind int, key binary")
+    found, tied = split(keys.selectExpr("*", "0L rank", "0L lcp", *(f"cast(null as long) {c}" for c in PAIR)), 0)
+    drop(again)
+    out = ["at", "doc", "line", "m", "lcp"]
+    array, depth, levels = found.where("not open").select(*out), PACKED, [tied]
+    if not tied.limit(1).count():
+        return array
+    # doubling needs no other texts than those with tied suffixes
+    known = cut(found.join(tied.select("doc").distinct(), "doc", "left_semi").select("doc", "line", "rank", "open", "key"))
+    ranks, pairs = known.where("not open").select("doc", "line", "rank"), []
+    while tied.limit(1).count():
+        ahead = ranks.union(tied.select("doc", "line", "rank")).selectExpr("doc", f"line - {depth} line", "rank upper")
+        rows = tied.join(ahead, ["doc", "line"], "left").withColumn("kind", F.expr(f"case when tail <= {depth} then {END} when upper is null then {ONCE} else {MORE} end"))
+        found, tied = split(rows.withColumn("key", F.expr(f"if(kind = {MORE}, upper, kind - {MORE})")), depth)
+        settled = found.where("not open")
+        array = array.union(settled.where("doc1 is null").select(*out))
+        pairs.append(settled.where("doc1 is not null").select(*out, *PAIR))
+        ranks = ranks.union(settled.select("doc", "line", "rank"))
+        levels.append(tied)
+        depth *= 2
+    # pairs differ within what the last step looked at, so that each level below adds its lines at most once
+    more = reduce(DataFrame.union, pairs)
+    for k, level in reversed(list(enumerate(levels[:-2]))):
+        sides = (level.selectExpr(f"doc doc{i}", f"line next{i}", f"rank rank{i}") for i in (1, 2))
+        more = reduce(lambda x, y: x.join(y, [c for c in y.columns if c[:4] != "rank"], "left"), sides, more.selectExpr("*", "line1 + lcp next1", "line2 + lcp next2"))
+        more = more.selectExpr("at", "doc", "line", "m", f"if(rank1 = rank2, lcp + {PACKED << k}, lcp) lcp", *PAIR)
+    sides = (known.selectExpr(f"doc doc{i}", f"line next{i}", f"key key{i}") for i in (1, 2))
+    more = reduce(lambda x, y: x.join(y, [c for c in y.columns if c[:3] != "key"], "left"), sides, more.selectExpr("*", "line1 + lcp next1", "line2 + lcp next2"))
+    more = more.withColumn("most", F.expr(f"coalesce(least(length(key1), length(key2)) div {SYMBOL}, 0)").cast("int"))
+    part = "substring({}, %d * (k - 1) + 1, %d)" % (SYMBOL, SYMBOL)
+    differ = f"get(filter(sequence(1, most), k -> {part.format('key1')} <> {part.format('key2')}), 0)"
+    more = cut(more.selectExpr("at", "doc", "line", "m", f"lcp + if(key1 is null or key2 is null or most = 0, 0, coalesce({differ} - 1, most)) lcp"))
+    drop(reduce(DataFrame.union, [x.select("doc") for x in (known, *levels)]))
+    return array.union(more)
 
 
 def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
