@@ -108,3 +108,19 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert {d: (codec.best(sentencepiece_codec.normal(t).encode()) if t else []) for d, t in want} == {d: x[0] for d, x in got.items()}
     assert all(x[1] == len(x[0]) and x[2] and x[3] == len(dict(want)[d] or "") for d, x in got.items())
     assert 30 < len(want) < len(good)
+
+
+def test_line_dedup_stage_starts_few_jobs(spark, sf_dir):
+    """Rounds over all partitions for texts with short repeats only added up in the executors' memory."""
+    lines = [f"word of line {k} " * 9 for k in range(11)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i % 3 : 9 + i % 3])) for i in range(30)], "doc_id long, text string")
+    spark.sparkContext.setJobGroup("few in stage", "line dedup")
+    try:
+        # later copies go whole; of the second and third text their last line stays
+        kept = corpus_pipeline.cut_repeated_lines(spark, docs, sf_dir).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few in stage"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+    assert sorted(lines) == sorted(x for r in kept for x in r.text.split("\n"))
+    assert jobs <= 55

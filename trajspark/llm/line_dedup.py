@@ -270,12 +270,13 @@ def suffix_array(lines: DataFrame) -> DataFrame:
     array, depth, levels = found.where("not open").select(*out), PACKED, [tied]
     if not tied.limit(1).count():
         return array
-    # doubling needs no other texts than those with tied suffixes
+    # doubling needs no other texts than those with tied suffixes; some columns of a file may look
+    # small enough to be broadcast when they are not, and so are merged
     known = cut(found.join(tied.select("doc").distinct(), "doc", "left_semi").select("doc", "line", "rank", "open", "key"))
     ranks, pairs = known.where("not open").select("doc", "line", "rank"), []
     while tied.limit(1).count():
         ahead = ranks.union(tied.select("doc", "line", "rank")).selectExpr("doc", f"line - {depth} line", "rank upper")
-        rows = tied.join(ahead, ["doc", "line"], "left").withColumn("kind", F.expr(f"case when tail <= {depth} then {END} when upper is null then {ONCE} else {MORE} end"))
+        rows = tied.join(ahead.hint("merge"), ["doc", "line"], "left").withColumn("kind", F.expr(f"case when tail <= {depth} then {END} when upper is null then {ONCE} else {MORE} end"))
         found, tied = split(rows.withColumn("key", F.expr(f"if(kind = {MORE}, upper, kind - {MORE})")), depth)
         settled = found.where("not open")
         array = array.union(settled.where("doc1 is null").select(*out))
@@ -289,7 +290,7 @@ def suffix_array(lines: DataFrame) -> DataFrame:
         sides = (level.selectExpr(f"doc doc{i}", f"line next{i}", f"rank rank{i}") for i in (1, 2))
         more = reduce(lambda x, y: x.join(y, [c for c in y.columns if c[:4] != "rank"], "left"), sides, more.selectExpr("*", "line1 + lcp next1", "line2 + lcp next2"))
         more = more.selectExpr("at", "doc", "line", "m", f"if(rank1 = rank2, lcp + {PACKED << k}, lcp) lcp", *PAIR)
-    sides = (known.selectExpr(f"doc doc{i}", f"line next{i}", f"key key{i}") for i in (1, 2))
+    sides = (known.selectExpr(f"doc doc{i}", f"line next{i}", f"key key{i}").hint("merge") for i in (1, 2))
     more = reduce(lambda x, y: x.join(y, [c for c in y.columns if c[:3] != "key"], "left"), sides, more.selectExpr("*", "line1 + lcp next1", "line2 + lcp next2"))
     more = more.withColumn("most", F.expr(f"coalesce(least(length(key1), length(key2)) div {SYMBOL}, 0)").cast("int"))
     part = "substring({}, %d * (k - 1) + 1, %d)" % (SYMBOL, SYMBOL)
