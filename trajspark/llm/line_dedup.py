@@ -287,7 +287,7 @@ def suffix_array(lines: DataFrame) -> DataFrame:
     # pairs differ within what the last step looked at, so that each level below adds its lines at most once
     more = reduce(DataFrame.union, pairs)
     for k, level in reversed(list(enumerate(levels[:-2]))):
-        sides = (level.selectExpr(f"doc doc{i}", f"line next{i}", f"rank rank{i}") for i in (1, 2))
+        sides = (level.selectExpr(f"doc doc{i}", f"line next{i}", f"rank rank{i}").hint("merge") for i in (1, 2))
         more = reduce(lambda x, y: x.join(y, [c for c in y.columns if c[:4] != "rank"], "left"), sides, more.selectExpr("*", "line1 + lcp next1", "line2 + lcp next2"))
         more = more.selectExpr("at", "doc", "line", "m", f"if(rank1 = rank2, lcp + {PACKED << k}, lcp) lcp", *PAIR)
     sides = (known.selectExpr(f"doc doc{i}", f"line next{i}", f"key key{i}").hint("merge") for i in (1, 2))
